@@ -49,7 +49,7 @@ def daily_counts(df: DataFrame, group: Column, day: Column, metrics: dict[str, C
 
 def combine(*parts: DataFrame) -> DataFrame:
     """One table of counts from any number of them (days, partitions, runs)."""
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, [p.select("grp", "metric", "value", "n") for p in parts])
     return rows.groupBy("grp", "metric", "value").agg(F.sum("n").alias("n"))
 
 
