@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.conversations import conversations
+from tallyloom.llm.leakage import leaked
 from tallyloom.plans.registry import Registry
 from tallyloom.tables import load
 
@@ -30,3 +31,9 @@ R = Registry()
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     """Turns of every whole conversation of the comments."""
     return conversations(load(spark, directory, "comments"), load(spark, directory, "comment_threads"))
+
+
+@R.add("p7_found")
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that repeat a passage of an evaluation item, with the item."""
+    return leaked(load(spark, directory, "documents"), load(spark, directory, "eval_items")).select("doc_id", "item_id")
