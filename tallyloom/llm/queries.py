@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.conversations import conversations
 from tallyloom.llm.leakage import leaked
+from tallyloom.llm.splitting import split_oversized
 from tallyloom.plans.registry import Registry
 from tallyloom.tables import load
 
@@ -37,3 +38,21 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that repeat a passage of an evaluation item, with the item."""
     return leaked(load(spark, directory, "documents"), load(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+@R.add(
+    "p8_found",
+    r"""
+    SELECT DISTINCT doc_id FROM documents
+    WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]+')) > 512
+    """,
+)
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents of more than 512 tokens: those that the splitter cuts into pieces."""
+    return split_oversized(load(spark, directory, "documents")).filter("piece = 1").select("doc_id").distinct()
+
+
+@R.add("p8_pieces")
+def p8_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of every document of more than 512 tokens, in order, with their overlap."""
+    return split_oversized(load(spark, directory, "documents"))
