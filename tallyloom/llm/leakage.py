@@ -2,14 +2,17 @@
 
 1. Corpus statistics: the document frequency of every term of the items, over all documents, with
    partial counts per partition.
-2. Anchors: of each item the rarest terms, so many that every stretch of ``min_words`` words holds
-   ``PER_STRETCH`` of them; more than its edits can touch.
-3. Postings (term, document, positions) of the anchor terms, stored once in the shared folder.
-4. Offset-adjusted intersection: postings meet the anchors by term; position minus the anchor's
-   position in the item is the offset, and hits of one (document, item) whose offsets lie in one
-   band are counted by plain aggregation. Nothing is intersected pairwise.
-5. Bands with enough distinct anchors are read again and aligned word by word: phrase matches and
-   proximity matches with up to one edit in ten words.
+2. Anchors: of each item the rarest terms (document frequency times use in the items), so many that
+   every stretch of ``min_words`` words holds ``PER_STRETCH`` of them.
+3. The index: postings (term -> documents, positions) of the anchor terms, partitioned by document
+   in segments and stored once in the shared folder. The items are the queries that go to every
+   segment, in blocks of bounded size.
+4. Offset-adjusted intersection within each segment: a posting's position minus the anchor's
+   position in the item is the offset; a (document, item) is a candidate if so many anchors of one
+   stretch are hit at like offsets that at most the allowed edits can have spoiled the others. No
+   list of pairs is ever shuffled.
+5. Candidates are read again and aligned word by word: phrase matches and proximity matches with
+   up to one edit in ten words.
 
 Words are runs of letters, digits and underscores, case ignored. Numbers at line starts (of lists,
 quotes, listings) are no words of the text around them.
@@ -18,10 +21,11 @@ quotes, listings) are no words of the text around them.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +35,12 @@ from tallyloom.session import cut
 _WORD = re.compile(r"\w+")
 #: A number that opens a line, behind markers of quotes, lists, tables and diffs.
 _LINE_NUMBER = re.compile(r"(?m)^[ \t>#*+|/•·(\[{\"'-]*(\d+)(?=[ \t.):\]|}>-])")
-#: Anchors per stretch, and how many of them must be hit in one band. A stretch of 25 words may have 2 edits; each spoils one anchor at most.
-PER_STRETCH, LEAST_HITS = 7, 4
-#: Offsets of one passage drift by its edits; bands overlap by half, so a drift of BAND / 2 stays in one.
-BAND = 16
+#: Anchors per stretch of ``min_words``; all but the edits it may have must be hit.
+PER_STRETCH = 8
+#: Offsets within a stretch drift by its added and lost words; bands overlap by half, so a drift of BAND / 2 stays in one.
+BAND = 8
+#: Documents per segment of the index.
+SEGMENT = 2000
 #: Ids of documents up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Words that a fragment at either end of a stretch has at least.
@@ -56,9 +62,9 @@ def text_words(text: str) -> tuple[list[str], list[bool]]:
     return [w for w, _ in found], [w.isdigit() and at in heads for w, at in found]
 
 
-def _counted(text: str) -> list[str]:
-    w, head = text_words(text)
-    return [x for x, h in zip(w, head) if not h] if True in head else w
+def _counted(low: str) -> list[str]:
+    """The words of a lower-case text without numbers at line starts."""
+    return _WORD.findall(_LINE_NUMBER.sub(lambda m: m.group()[: -len(m.group(1))], low))
 
 
 def stretch(item: list[str], words: list[str], head: list[bool], min_words: int = 25, edits_in: int = 10) -> int:
@@ -115,32 +121,94 @@ def _doc_frequencies(vocabulary: frozenset):
     return kernel
 
 
-def _postings(terms: dict[str, int]):
+def _segments(terms: dict[str, int]):
+    """Index segments: postings sorted by term, as parallel arrays (term ends, document numbers, positions)."""
+
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.keys()
-        for b in batches:
-            term: list[int] = []
-            doc: list[int] = []
-            at: list[list[int]] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                low = t.lower()
-                if len(known & set(_WORD.findall(low))) < LEAST_HITS - 1:
-                    continue  # distinct anchors of a band are distinct places, of which two may share a term
-                places: dict[int, list[int]] = defaultdict(list)
-                for k, w in enumerate(_counted(low)):
-                    if w in known:
-                        places[terms[w]].append(k)
-                for w, ks in places.items():
-                    term.append(w)
-                    doc.append(i)
-                    at.append(ks)
-            if term:
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(doc, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["term", "doc_id", "at"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SEGMENT):
+                b = whole.slice(k, SEGMENT)
+                term: list[int] = []
+                doc: list[int] = []
+                at: list[int] = []
+                for n, t in enumerate(b.column(1).to_pylist()):
+                    found = [(x, p) for p, x in enumerate(map(terms.get, _counted(t.lower()))) if x is not None]
+                    if found:
+                        xs, ps = zip(*found)
+                        term.extend(xs)
+                        at.extend(ps)
+                        doc.extend([n] * len(xs))
+                if not term:
+                    continue
+                tt = np.array(term, dtype=np.int32)
+                order = np.argsort(tt, kind="stable")
+                distinct, counts = np.unique(tt, return_counts=True)
+                lists = [b.column(0).to_numpy(), distinct, np.cumsum(counts).astype(np.int32), np.array(doc, dtype=np.int32)[order], np.array(at, dtype=np.int32)[order]]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in lists], names=["docs", "terms", "ends", "doc", "at"])
 
     return kernel
 
 
-def _aligned(items: dict[int, list[str]], min_words: int, edits_in: int):
+def _intersected(anchors: list[tuple[int, int, int]], n_items: int, need: int, min_words: int):
+    """Candidates of each stored segment; ``anchors`` are (item number, term, position)."""
+    table = np.array(sorted((t, i, p) for i, t, p in anchors), dtype=np.int64).reshape(-1, 3)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = {int(t): k for k, t in reversed(list(enumerate(table[:, 0])))}
+        used = dict(zip(*(x.tolist() for x in np.unique(table[:, 0], return_counts=True))))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs, terms, ends, doc, at = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(5))
+                parts = []
+                begin = 0
+                for t, end in zip(terms.tolist(), ends.tolist()):
+                    m = used[t]
+                    a = table[first[t] : first[t] + m]
+                    d, p = doc[begin:end].astype(np.int64), at[begin:end].astype(np.int64)
+                    begin = end
+                    parts.append((np.repeat(d, m) * n_items + np.tile(a[:, 1], len(d)), np.repeat(p, m), np.tile(a[:, 2], len(d))))
+                pair, pos, anchor = (np.concatenate(x) for x in zip(*parts))
+                found: dict[int, list[int]] = {}
+                for shift in (0, BAND // 2):
+                    band = (pos - anchor + shift) // BAND
+                    key = pair * (1 << 30) + (band + (1 << 29))
+                    slot = (key * 0x9E3779B1 >> 7) & ((1 << 21) - 1)
+                    keep = np.bincount(slot, minlength=1 << 21)[slot] >= need  # others can't have enough hits
+                    k, a, p = key[keep], anchor[keep], pos[keep]
+                    order = np.lexsort((a, k))
+                    k, a, p = k[order], a[order], p[order]
+                    fresh = np.ones(len(k), dtype=bool)  # an anchor counts once in a band
+                    fresh[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
+                    k, a, p = k[fresh], a[fresh], p[fresh]
+                    if len(k) < need:
+                        continue
+                    hit = np.flatnonzero((k[need - 1 :] == k[: len(k) - need + 1]) & (a[need - 1 :] - a[: len(a) - need + 1] < min_words))
+                    for h in hit.tolist():
+                        pr = int(k[h] >> 30)
+                        lo, hi = int(p[h : h + need].min()), int(p[h : h + need].max())
+                        got = found.get(pr)
+                        found[pr] = [min(lo, got[0]), max(hi, got[1])] if got else [lo, hi]
+                if found:
+                    keys = sorted(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[[k // n_items for k in keys]], pa.int64()), pa.array([k % n_items for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int32()), pa.array([found[k][1] for k in keys], pa.int32())], names=["hit_id", "item", "lo", "hi"])
+
+    return kernel
+
+
+def _may_align(item: list[str], words: list[str], min_words: int, least: int) -> bool:
+    """Whether some stretch of the item has ``least`` words that occur in ``words`` at all."""
+    have = set(words)
+    total = 0
+    for k, w in enumerate(item):
+        total += w in have
+        if k >= min_words:
+            total -= item[k - min_words] in have
+        if k >= min_words - 1 and total >= least:
+            return True
+    return False
+
+
+def _aligned(items: list[tuple[int, list[str]]], min_words: int, edits_in: int):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, int]] = []
@@ -149,16 +217,16 @@ def _aligned(items: dict[int, list[str]], min_words: int, edits_in: int):
                 place = [k for k, h in enumerate(head) if not h]
                 best: dict[int, int] = {}
                 for c in found:
-                    item = items[c["item_id"]]
+                    name, item = items[c["item"]]
                     margin = len(item) + BAND
                     lo, hi = max(0, c["lo"] - margin), min(len(place) - 1, c["hi"] + margin)
-                    # one band may hold repeats far apart: cut long ranges into overlapping windows
-                    step = 4 * margin
+                    step = 4 * margin  # repeats far apart: overlapping windows
                     for s in range(lo, hi + 1, step):
                         e = min(hi, s + step + 2 * margin)
                         a, z = place[s], place[e] + 1
-                        got = stretch(item, words[a:z], head[a:z], min_words, edits_in)
-                        best[c["item_id"]] = max(best.get(c["item_id"], 0), got)
+                        part = words[a:z]
+                        if _may_align(item, part, min_words, min_words - min_words // edits_in):
+                            best[name] = max(best.get(name, 0), stretch(item, part, head[a:z], min_words, edits_in))
                         if e == hi:
                             break
                 out.extend((i, k, n) for k, n in best.items() if n)
@@ -169,20 +237,17 @@ def _aligned(items: dict[int, list[str]], min_words: int, edits_in: int):
     return kernel
 
 
-def _anchors(items: dict[int, list[str]], df: dict[str, int], min_words: int) -> list[tuple[int, str, int]]:
-    """(item, term, position): the rarest terms first, until every stretch holds PER_STRETCH."""
-    used = Counter(w for ws in items.values() for w in ws)
+def _anchors(items: list[tuple[int, list[str]]], df: dict[str, int], min_words: int) -> list[tuple[int, str, int]]:
+    """(item number, term, position): the rarest terms first, until every stretch holds PER_STRETCH (of its words, at most all)."""
+    used = Counter(w for _, ws in items for w in ws)
     out = []
-    for i, ws in items.items():
-        n = len(ws)
-        if n < min_words:
-            continue
-        windows = n - min_words + 1
+    for i, (_, ws) in enumerate(items):
+        windows = len(ws) - min_words + 1
         held = [0] * windows
         left = windows
-        for p in sorted(range(n), key=lambda p: ((df.get(ws[p], 0) + 1) * used[ws[p]], ws[p], p)):
+        for p in sorted(range(len(ws)), key=lambda p: (ws[p].isdigit(), (df.get(ws[p], 0) + 1) * used[ws[p]], ws[p], p)):
             lo, hi = max(0, p - min_words + 1), min(windows - 1, p)
-            if ws[p].isdigit() or all(held[k] >= PER_STRETCH for k in range(lo, hi + 1)):
+            if all(held[k] >= PER_STRETCH for k in range(lo, hi + 1)):
                 continue
             out.append((i, ws[p], p))
             for k in range(lo, hi + 1):
@@ -193,24 +258,19 @@ def _anchors(items: dict[int, list[str]], df: dict[str, int], min_words: int) ->
     return out
 
 
-def _block(docs: DataFrame, items: dict[int, list[str]], min_words: int, edits_in: int) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary = frozenset(w for ws in items.values() for w in ws)
+def _block(docs: DataFrame, items: list[tuple[int, list[str]]], min_words: int, edits_in: int) -> DataFrame:
+    vocabulary = frozenset(w for _, ws in items for w in ws)
     counts = docs.select("text").mapInArrow(_doc_frequencies(vocabulary), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = {r.term: r.df for r in counts.collect()}  # one row per term of the block's items
     anchors = _anchors(items, df, min_words)
     ids = {w: k for k, w in enumerate(sorted({w for _, w, _ in anchors}))}
-    table = spark.createDataFrame(pa.table({"item_id": pa.array([a[0] for a in anchors], pa.int64()), "a_term": pa.array([ids[a[1]] for a in anchors], pa.int32()), "a_at": pa.array([a[2] for a in anchors], pa.int32())}))
-    postings = cut(docs.select("doc_id", "text").mapInArrow(_postings(ids), "term int, doc_id long, at array<int>"))
-    hits = postings.join(table, F.col("term") == F.col("a_term")).select("doc_id", "item_id", "a_at", F.explode("at").alias("at"))
-    offset = F.col("at") - F.col("a_at")
-    half = BAND // 2
-    band = F.explode(F.array(F.floor(offset / BAND) * 2, F.floor((offset + half) / BAND) * 2 + 1)).alias("band")
-    bands = hits.select("doc_id", "item_id", "a_at", "at", band).groupBy("doc_id", "item_id", "band").agg(F.size(F.collect_set("a_at")).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    found = bands.filter(F.col("n") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("found"))
-    found = cut(found.withColumnRenamed("doc_id", "hit_id"))
+    index = cut(docs.select("doc_id", "text").mapInArrow(_segments(ids), "docs array<long>, terms array<int>, ends array<int>, doc array<int>, at array<int>"))
+    need = max(1, PER_STRETCH - min_words // edits_in)
+    hits = index.mapInArrow(_intersected([(i, ids[w], p) for i, w, p in anchors], len(items), need, min_words), "hit_id long, item int, lo int, hi int")
+    found = cut(hits.groupBy("hit_id").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("found")))
     few = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(found.select("hit_id")) if few else found.select("hit_id"), F.col("doc_id") == F.col("hit_id"), "left_semi")
+    ids_of = found.select(F.col("hit_id").alias("chosen_id"))
+    chosen = docs.join(F.broadcast(ids_of) if few else ids_of, F.col("doc_id") == F.col("chosen_id"), "left_semi")
     both = chosen.join(found, F.col("doc_id") == F.col("hit_id")).select("doc_id", "text", "found")
     return both.mapInArrow(_aligned(items, min_words, edits_in), "doc_id long, item_id long, words int")
 
@@ -227,21 +287,19 @@ def leaked(documents: DataFrame, items: DataFrame, min_words: int = 25, edits_in
     docs = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and length(text) > 0")
     rows = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id")
     out: DataFrame | None = None
-    block: dict[int, list[str]] = {}
+    block: list[tuple[int, list[str]]] = []
 
     def flush() -> None:
         nonlocal out, block
         if block:
             found = _block(docs, block, min_words, edits_in)
             out = found if out is None else out.unionByName(found)
-            block = {}
+            block = []
 
     for r in rows.toLocalIterator():
         w = item_words(r.text)
         if len(w) >= min_words:
-            if r.item_id in block:
-                flush()  # another text under the same id
-            block[r.item_id] = w
+            block.append((r.item_id, w))
             if len(block) >= items_per_block:
                 flush()
     flush()
