@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.conversations import conversations
 from tallyloom.llm.leakage import leaked
+from tallyloom.llm.packing import TOKENIZER, pack_documents
 from tallyloom.llm.splitting import split_oversized
 from tallyloom.plans.registry import Registry
 from tallyloom.tables import load
@@ -34,6 +35,12 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return conversations(load(spark, directory, "comments"), load(spark, directory, "comment_threads"))
 
 
+@R.add("p6_containers")
+def p6_containers(spark: SparkSession, directory: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Every non-blank document in a container of 2,048 tokens."""
+    return pack_documents(load(spark, directory, "documents"), 2048, tokenizer)
+
+
 @R.add("p7_found")
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that repeat a passage of an evaluation item, with the item."""
