@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.conversations import conversations
+from tallyloom.llm.docpairs import documented_functions
 from tallyloom.llm.leakage import leaked
 from tallyloom.llm.packing import TOKENIZER, pack_documents
 from tallyloom.llm.splitting import split_oversized
@@ -63,3 +64,15 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 def p8_pieces(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of every document of more than 512 tokens, in order, with their overlap."""
     return split_oversized(load(spark, directory, "documents"))
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Functions whose own documentation, directly above or inside, says something."""
+    return documented_functions(load(spark, directory, "source_files")).filter("doc_from = 'own'").select("file_id", "qualified_name")
+
+
+@R.add("p3_pairs")
+def p3_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Code-description pairs: signature and documentation, own or inherited."""
+    return documented_functions(load(spark, directory, "source_files"))
