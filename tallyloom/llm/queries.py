@@ -9,6 +9,7 @@ from tallyloom.llm.conversations import conversations
 from tallyloom.llm.docpairs import documented_functions
 from tallyloom.llm.leakage import leaked
 from tallyloom.llm.packing import TOKENIZER, pack_documents
+from tallyloom.llm.pairs import defective_pairs
 from tallyloom.llm.splitting import split_oversized
 from tallyloom.plans.registry import Registry
 from tallyloom.tables import load
@@ -76,3 +77,9 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 def p3_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Code-description pairs: signature and documentation, own or inherited."""
     return documented_functions(load(spark, directory, "source_files"))
+
+
+@R.add("p2_found")
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Defective pairs of stage results and of bot replies, with the defect."""
+    return defective_pairs(load(spark, directory, "stage_results"), load(spark, directory, "comments"))
