@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.operators.near_sets import near_duplicates
+from tallyloom.session import cut
+
 SEVERITIES = ("error", "warning", "note")
 CATEGORIES = ("security", "correctness", "reliability", "performance", "maintainability", "style", "vulnerability")
 #: Severity by rule prefix, in the order in which the prefixes are tried (so ANN meets A first).
@@ -68,28 +71,62 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), both / either).otherwise(F.lit(0.0))
 
 
+def _settled(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Ids kept by the greedy rule over (id, c) nodes and (id_a, id_b) edges, in parallel rounds.
+
+    In each round those that have no undecided better neighbour are kept and their neighbours
+    dropped; this gives what taking them one by one gives.
+    """
+    a = nodes.select(F.col("id").alias("id_a"), F.col("c").alias("ca"))
+    b = nodes.select(F.col("id").alias("id_b"), F.col("c").alias("cb"))
+    both = edges.join(a, "id_a").join(b, "id_b")
+    first = F.struct(F.col("ca").alias("c"), F.col("id_a").alias("id")) < F.struct(F.col("cb").alias("c"), F.col("id_b").alias("id"))
+    links = cut(both.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("better"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("worse")))
+    open_ = cut(nodes.select("id"))
+    kept: DataFrame | None = None
+    for _ in range(rounds):
+        free = cut(open_.join(links, F.col("id") == F.col("worse"), "left_anti"))
+        kept = free if kept is None else kept.unionByName(free)
+        hit = links.join(free, F.col("better") == F.col("id"), "left_semi").select(F.col("worse").alias("hit")).distinct()
+        gone = cut(hit.unionByName(free.select(F.col("id").alias("hit"))))
+        open_ = cut(open_.join(gone, F.col("id") == F.col("hit"), "left_anti"))
+        if not open_.limit(1).count():
+            break
+        links = cut(links.join(gone, F.col("better") == F.col("hit"), "left_anti").join(gone, F.col("worse") == F.col("hit"), "left_anti"))
+    return kept
+
+
 def greedy_dedup(findings: DataFrame, threshold: float = 0.5, heavy: int = 500) -> DataFrame:
     """Findings kept when taken by falling confidence: one is dropped if it shares more than ``threshold`` of its words with one kept before at the same file and line.
 
-    Order-dependent, so each place is folded in the JVM over its sorted array. Places of up to
-    ``heavy`` distinct texts only need one array of bounded size; equal texts of a place are
-    reduced to the first of them before (the others would be dropped by it anyway), so copies
-    never pile up. Rows without words are all kept.
+    Order-dependent, so each place is folded in the JVM over its sorted array. Equal texts of a
+    place are reduced to the first of them before (the others would be dropped by it anyway). A
+    place of more than ``heavy`` different texts isn't gathered: its pairs come from the
+    similarity join and the rule is settled in parallel rounds. Rows without words are all kept.
     """
     text = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("message", F.lit(""))), r"\s+"), lambda w: F.length(w) > 0))
-    f = findings.withColumn("__w", F.array_sort(text)).withColumn("__c", -F.coalesce("confidence", F.lit(0.0)))
-    blank = f.filter(F.size("__w") == 0)
+    f = findings.select("id", "file_path", "line_start", F.array_sort(text).alias("__w"), (-F.coalesce("confidence", F.lit(0.0))).alias("__c"))
+    blank = f.filter(F.size("__w") == 0).select(F.col("id").alias("kept_id"))
+    place = F.xxhash64(F.coalesce("file_path", F.lit("\0")), F.coalesce("line_start", F.lit(-1)))
     firsts = f.filter(F.size("__w") > 0).groupBy("file_path", "line_start", "__w").agg(F.min(F.struct("__c", "id")).alias("k"))
-    places = firsts.groupBy("file_path", "line_start").agg(F.array_sort(F.collect_list(F.struct(F.col("k.__c").alias("c"), F.col("k.id").alias("id"), F.col("__w").alias("w")))).alias("rows"))
+    firsts = firsts.select(place.alias("place"), F.col("k.__c").alias("c"), F.col("k.id").alias("id"), F.col("__w").alias("w"))
+    large = cut(firsts.groupBy("place").count().filter(F.col("count") > heavy).select(F.col("place").alias("large")))
+    any_large = large.limit(1).count() > 0
+    small = firsts.join(large, F.col("place") == F.col("large"), "left_anti") if any_large else firsts
+    places = small.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("c", "id", "w"))).alias("rows"))
 
     def step(kept: Column, x: Column) -> Column:
         alike = F.exists(kept, lambda y: F.size(F.array_intersect(y["w"], x["w"])) > threshold * F.size(F.array_union(y["w"], x["w"])))
         return F.when(alike, kept).otherwise(F.concat(kept, F.array(x)))
 
-    start = F.slice(F.col("rows"), 1, 0)
-    kept = places.select(F.explode(F.transform(F.aggregate("rows", start, step), lambda x: x["id"])).alias("kept_id"))
-    ids = kept.unionByName(blank.select(F.col("id").alias("kept_id")))
-    return findings.join(ids, F.col("id") == F.col("kept_id"), "left_semi")
+    kept = places.select(F.explode(F.transform(F.aggregate("rows", F.slice("rows", 1, 0), step), lambda x: x["id"])).alias("kept_id"))
+    if any_large:
+        rest = cut(firsts.join(large, F.col("place") == F.col("large"), "left_semi"))
+        hashed = F.array_join(F.transform("w", lambda x: F.concat(F.lit("h"), F.hex(F.xxhash64(x)))), " ")
+        keyed = rest.select("id", F.concat(F.lit("p"), F.hex("place")).alias("path"), F.lit(0).alias("line"), hashed.alias("text"))
+        edges = near_duplicates(keyed, "id", "path", "line", "text", threshold + 1e-7, max_gap=0)
+        kept = kept.unionByName(_settled(rest.select("id", "c"), edges).select(F.col("id").alias("kept_id")))
+    return findings.join(kept.unionByName(blank), F.col("id") == F.col("kept_id"), "left_semi")
 
 
 def override(findings: DataFrame, corrections: DataFrame, columns: list[str]) -> DataFrame:
