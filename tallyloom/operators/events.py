@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ranking import previous
+
 
 def _debounce_kernel(gap_us: int):
     def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,10 +47,9 @@ def debounce(events: DataFrame, key: str, time: str, id_: str, seconds: int = 60
 
 
 def new_revisions(df: DataFrame, key: str, order: list[str], sha: str) -> DataFrame:
-    """Rows whose revision differs from the one before (null-safe); the first of a key counts as new."""
-    w = W.partitionBy(key).orderBy(*order)
-    d = df.withColumn("__before", F.lag(sha).over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    return d.filter(F.col("__first") | ~F.col(sha).eqNullSafe(F.col("__before"))).drop("__before", "__first")
+    """Rows whose revision differs from the one before (null-safe); the first of a key counts as new. Skew-proof: by ranks, not by a window per key."""
+    d = previous(df, [key], order, [sha], "__before_")
+    return d.filter((F.col("rank") == 1) | ~F.col(sha).eqNullSafe(F.col(f"__before_{sha}"))).select(*df.columns)
 
 
 def unseen(rows: DataFrame, state: DataFrame, keys: list[str], sha: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.near_sets import near_duplicates
+from tallyloom.operators.ranking import distributed_rank
 from tallyloom.session import cut
 
 SEVERITIES = ("error", "warning", "note")
@@ -186,7 +186,12 @@ def aliased(raw: DataFrame, fields: Mapping[str, tuple[list[str], object]]) -> D
     return raw.select(*pick)
 
 
-def last_known(df: DataFrame, keys: list[str], order: Column, column: str) -> DataFrame:
-    """Each row with the last non-null value of ``column`` up to it, within ``keys`` by ``order``."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(f"last_{column}", F.last(column, ignorenulls=True).over(w))
+def zipped(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of two tables paired by their place within ``keys``; both have the same ``order`` columns, the right one's other columns come along."""
+    a = distributed_rank(left, keys, order, "__place")
+    b = distributed_rank(right, keys, order, "__other").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__other", *[c for c in right.columns if c not in keys and c not in left.columns])
+    same: Column = a["__place"] == b["__other"]
+    for i, k in enumerate(keys):
+        same = same & a[k].eqNullSafe(b[f"__k{i}"])
+    drop = [f"__k{i}" for i in range(len(keys))]
+    return a.join(b, same).drop("__place", "__other", *drop)

@@ -67,3 +67,31 @@ def weighted_positions(df: DataFrame, keys: list[str], order: list[str], weight:
     )
     totals = counts.groupBy(*keys).agg(F.sum("__w").alias("total"))
     return out, totals
+
+
+def distributed_last(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the last non-null ``column`` up to each row, within ``keys`` by ``order``.
+
+    Within a slice by a window over (slice, key); what earlier slices carry in comes from one row
+    per key and slice.
+    """
+    rows, grouped = _sorted_slices(df, keys, order, parts)
+    ends = grouped.agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("__at"))).alias("__end"))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.last("__end", ignorenulls=True).over(before).alias("__in"))
+    inside = W.partitionBy("__part", *keys).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    run = rows.withColumn("__last", F.last(column, ignorenulls=True).over(inside))
+    same: Column = run["__part"] == carried["__p"]
+    for i, k in enumerate(keys):
+        same = same & run[k].eqNullSafe(carried[f"__k{i}"])
+    return run.join(carried, same, "left").select(*[run[c] for c in df.columns], F.coalesce("__last", "__in").alias(name))
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "before_", parts: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` and the ``columns`` of the row before (null for the first), within ``keys`` by ``order``: ranks, then one join on key and rank."""
+    ranked = cut(distributed_rank(df, keys, order, "rank", parts))
+    b = ranked.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("rank") + 1).alias("__next"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    same: Column = ranked["rank"] == b["__next"]
+    for i, k in enumerate(keys):
+        same = same & ranked[k].eqNullSafe(b[f"__k{i}"])
+    return ranked.join(b, same, "left").select(*[ranked[c] for c in ranked.columns], *[b[f"{prefix}{c}"] for c in columns])

@@ -171,10 +171,12 @@ _W = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda
     SELECT id, CASE WHEN len({_W.format('message')}) > 0 AND len({_W.format('other')}) > 0 THEN round(len(list_intersect({_W.format('message')}, {_W.format('other')})) / len(list_distinct(list_concat({_W.format('message')}, {_W.format('other')}))), 6) ELSE 0 END AS overlap
     FROM n WHERE other IS NOT NULL""", "finds")))
 def u04_word_overlap(spark, d):
-    from pyspark.sql import Window as W
+    """Each message against the next of its review; neighbours by rank, so a large review is no one task."""
+    from tallyloom.operators.ranking import previous
 
-    n = v.finds(spark, d).withColumn("other", F.lead("message").over(W.partitionBy("review_id").orderBy("id"))).filter("other is not null")
-    return n.select("id", F.round(fi.word_overlap(F.col("message"), F.col("other")), 6).alias("overlap"))
+    f = v.finds(spark, d).select("review_id", "id", "message")
+    n = previous(f.withColumn("neg", -F.col("id")), ["review_id"], ["neg"], ["message"], "next_").filter("next_message is not null")
+    return n.select("id", F.round(fi.word_overlap(F.col("message"), F.col("next_message")), 6).alias("overlap"))
 
 
 @R.add("w05_greedy_dedup")
@@ -228,11 +230,9 @@ def j21_findings_per_thread(spark, d):
     b AS (SELECT review_id, id, row_number() OVER (PARTITION BY review_id ORDER BY id) AS k FROM finds WHERE severity = 'note')
     SELECT a.id AS error_id, b.id AS note_id FROM a JOIN b USING (review_id, k)""", "finds")))
 def j23_zip(spark, d):
-    from pyspark.sql import Window as W
-
-    f = v.finds(spark, d).select("review_id", "id", "severity").withColumn("k", F.row_number().over(W.partitionBy("review_id", "severity").orderBy("id")))
-    a, b = (f.filter(F.col("severity") == s).select("review_id", "k", F.col("id").alias(n)) for s, n in (("error", "error_id"), ("note", "note_id")))
-    return a.join(b, ["review_id", "k"]).select("error_id", "note_id")
+    f = v.finds(spark, d).select("review_id", "id", "severity")
+    a, b = (f.filter(F.col("severity") == s).select("review_id", F.col("id").alias("n"), F.col("id").alias(name)) for s, name in (("error", "error_id"), ("note", "note_id")))
+    return fi.zipped(a, b, ["review_id"], ["n"]).select("error_id", "note_id")
 
 
 @R.add("f03_truncate", with_views("SELECT id, CASE WHEN length(message) > 50 THEN substr(message, 1, 50) || '...' ELSE message END AS short, CASE WHEN length(message) > 80 THEN substr(message, 1, 80) || chr(10) || '... [' || (length(message) - 80) || ' chars truncated]' ELSE message END AS counted FROM finds", "finds"))

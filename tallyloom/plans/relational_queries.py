@@ -241,10 +241,10 @@ def w02_latest_version(spark, d):
 
 @R.add("w04_last_model", with_views("SELECT id, last_value(model IGNORE NULLS) OVER (PARTITION BY pull_request_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS last_model FROM revs", "revs"))
 def w04_last_model(spark, d):
-    from tallyloom.operators.findings import last_known
+    from tallyloom.operators.ranking import distributed_last
 
-    r = v.revs(spark, d).select("id", "pull_request_id", "model", F.struct("created_at", "id").alias("o"))
-    return last_known(r, ["pull_request_id"], F.col("o"), "model").select("id", "last_model")
+    r = v.revs(spark, d).select("id", "pull_request_id", "model", "created_at")
+    return distributed_last(r, ["pull_request_id"], ["created_at", "id"], "model", "last_model").select("id", "last_model")
 
 
 @R.add("u06_repository_names", with_views("SELECT DISTINCT full_name FROM repos WHERE full_name IS NOT NULL", "repos"))
