@@ -10,6 +10,7 @@ from tallyloom.operators import chunks as ch
 from tallyloom.operators import retrieval as rt
 from tallyloom.plans import views as v
 from tallyloom.plans.registry import Registry
+from tallyloom.session import cut
 
 R = Registry()
 
@@ -110,7 +111,7 @@ _BM25 = f"""
 def searched(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """Documents whose id is divisible by 100 as queries against all documents."""
     docs = v.load(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    index, stats = rt.postings(docs, "doc_id", "text"), rt.document_stats(docs, "text")
+    index, stats = cut(rt.postings(docs, "doc_id", "text")), rt.document_stats(docs, "text")  # the index is stored once, then read for frequencies and for scores
     return rt.bm25(index, stats, docs.filter("doc_id % 100 = 0"), "doc_id", "doc_id", "text", k)
 
 
