@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import code_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms (about 40 bytes each) that are broadcast at most.
+BROADCAST_TERMS = 500_000
 
 
 def postings(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] = code_tokens) -> DataFrame:
-    """(key, term, tf, dl): term counts of each document with its length; counted on the map side."""
-    t = docs.select(F.col(key).alias(key), tokens(F.col(text)).alias("__t"))
+    """(key, term, tf, dl): term counts of each document with its length.
+
+    The texts are partitioned by document before they are taken apart, so neither this count nor a
+    later sum per document needs another shuffle.
+    """
+    t = docs.repartition(key).select(F.col(key).alias(key), tokens(F.col(text)).alias("__t"))
     t = t.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term"))
     return t.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
@@ -30,8 +36,9 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
     """(query, key, score, rank): the best ``k`` documents of each query, score above 0.
 
     Idf by document frequency, negative ones replaced by ``EPSILON`` times the mean idf. Query
-    terms count as often as they stand. Postings meet queries by term; scores are rounded before
-    ranking, ties go to the smaller key.
+    terms count as often as they stand. Scores are rounded before ranking, ties go to the smaller
+    key. The queries' terms, if at most ``BROADCAST_TERMS``, go to every partition of documents,
+    where scores are summed in place; more terms meet the postings by shuffle.
     """
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
@@ -39,6 +46,8 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
     idf = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     q = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
     need = q.join(idf, "term")
+    if q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        need = F.broadcast(need)
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     scored = index.join(need, "term").groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score"))
