@@ -36,7 +36,7 @@ _WORD = re.compile(r"\w+")
 #: Heavy groups up to this number are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 #: Cells per stretch: one row in so many is sent to two stretches.
-STRETCH = 256
+STRETCH = 64
 
 
 def _emit(a: list[int], b: list[int]) -> pd.DataFrame:
