@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|\w+")
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})([^\n`]*)$")
@@ -172,11 +173,13 @@ def is_refusal(answer: str) -> bool:
             head = _SOUND.search(low)
             if head and not re.search(r"\b(?:help|helfen|ayudar|aider|answer|antworten|responder|répondre|comment|review|discuss|advice)\b", low, re.I):
                 rest += len(WORD.findall(low))
-                continue
-            refused = True
+            else:
+                refused = True
         elif not _COURTESY.match(low):
             rest += len(WORD.findall(low)) + 5 * ("⟨" in s)
-    return refused and rest <= 8
+        if rest > 8:  # too much else is said
+            return False
+    return refused
 
 
 # ---------------------------------------------------------------- truncation
@@ -357,7 +360,7 @@ FUNCTION_WORDS = {
     "fr": "le la les de des du un une et est en que qui ne pas pour dans ce cette ces il elle on au aux par sur avec plus se son sa ses leur mais ou où si nous vous je j'ai tu ils elles être sont été avant après sans trop car donc quand comme même aussi fait peut qu'il qu'elle c'est n'est d'un d'une lorsque deux y".split(),
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_MARKS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "çœêèàùûîô"}
+_MARKS = {"de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡áíóú]"), "fr": re.compile("[çœêèàùûîô]")}
 #: How a question names the language it wants the answer in.
 _NAMES = {
     "en": r"english|englisch(?:er|e|en)?|ingl[eé]s|anglais",
@@ -394,9 +397,12 @@ def language_scores(text: str) -> dict[str, float]:
                 return {k: float(n)}
     ws = [w.replace("’", "'") for w in words(prose)]
     split = [p for w in ws for p in ([w] if "'" not in w else [w, *w.split("'")])]
-    score = {k: float(sum(w in s for w in split)) for k, s in _SETS.items()}
-    for k, marks in _MARKS.items():
-        score[k] += 0.7 * sum(any(c in marks for c in w) for w in ws)
+    counts = Counter(split)
+    score = {k: float(sum(counts[w] for w in counts.keys() & s)) for k, s in _SETS.items()}
+    if not prose.isascii():
+        marked = [w for w in ws if not w.isascii()]
+        for k, marks in _MARKS.items():
+            score[k] += 0.7 * sum(bool(marks.search(w)) for w in marked)
     return {k: v for k, v in score.items() if v}
 
 
