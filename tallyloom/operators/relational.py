@@ -74,10 +74,10 @@ def repository_overview(repos: DataFrame, pulls: DataFrame, reviews: DataFrame,
 
 
 def repository_stats(pulls: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Per repository: reviews, mean findings, mean duration, total cost; nulls count as 0."""
+    """Per repository: reviews, mean findings, mean duration, total cost (summed as decimals, so the order of rows doesn't matter); nulls count as 0."""
     j = reviews.join(pulls.select(F.col("id").alias("pid"), "repository_id"), F.col("pull_request_id") == F.col("pid"))
     mean = lambda c, n: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n)
-    return j.groupBy("repository_id").agg(F.count("*").alias("n_reviews"), mean("total_findings", "avg_findings"), mean("duration", "avg_duration"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("total_cost"))
+    return j.groupBy("repository_id").agg(F.count("*").alias("n_reviews"), mean("total_findings", "avg_findings"), mean("duration", "avg_duration"), F.coalesce(F.sum(F.col("cost").cast("decimal(18,9)")).cast("double"), F.lit(0.0)).alias("total_cost"))
 
 
 def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

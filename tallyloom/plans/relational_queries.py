@@ -164,7 +164,7 @@ def a07_daily_trend(spark, d):
     return rel.daily_trend(v.revs(spark, d), v.finds(spark, d), ANCHOR, 30)
 
 
-@R.add("a08_repository_stats", with_views("SELECT p.repository_id, count(*) AS n_reviews, round(coalesce(avg(total_findings), 0), 6) AS avg_findings, round(coalesce(avg(duration), 0), 6) AS avg_duration, round(coalesce(sum(cost), 0), 6) AS total_cost FROM revs v JOIN prs p ON v.pull_request_id = p.id GROUP BY 1", "revs", "prs"))
+@R.add("a08_repository_stats", with_views("SELECT p.repository_id, count(*) AS n_reviews, round(coalesce(avg(total_findings), 0), 6) AS avg_findings, round(coalesce(avg(duration), 0), 6) AS avg_duration, coalesce(CAST(sum(CAST(cost AS DECIMAL(18, 9))) AS DOUBLE), 0) AS total_cost FROM revs v JOIN prs p ON v.pull_request_id = p.id GROUP BY 1", "revs", "prs"))
 def a08_repository_stats(spark, d):
     return rel.repository_stats(v.prs(spark, d), v.revs(spark, d))
 
