@@ -1,0 +1,40 @@
+"""Symbols of languages without a parser here: declarations found line by line with patterns, JVM-side."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyloom.functions.text import module_name
+from tallyloom.operators.chunks import lines_of
+from tallyloom.sources.files import language
+
+#: Declaration patterns by language: (kind, pattern with the name as its group).
+DECLARATIONS: dict[str, list[tuple[str, str]]] = {
+    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>")],
+    "java": [("class", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\(")],
+    "go": [("class", r"^type\s+(\w+)\s+(?:struct|interface)\b"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]")],
+    "rust": [("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)")],
+    "c": [("class", r"^\s*(?:typedef\s+)?struct\s+(\w+)"), ("function", r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*\)\s*\{?\s*$")],
+}
+DECLARATIONS["typescript"] = DECLARATIONS["javascript"] + [("class", r"^\s*(?:export\s+)?(?:interface|enum)\s+(\w+)")]
+DECLARATIONS["cpp"] = DECLARATIONS["c"] + [("class", r"^\s*class\s+(\w+)")]
+
+
+def line_symbols(files: DataFrame, lang: Column | None = None) -> DataFrame:
+    """(file_path, name, kind, line_start, qualified_name, is_exported) of files (file_path, content).
+
+    A line gives at most one symbol, by the first pattern of its language that fits; comments and
+    strings aren't told apart, as lines are all that is read.
+    """
+    known = language(F.col("file_path")) if lang is None else lang
+    lines = files.filter("content is not null").select("file_path", known.alias("lang"), F.posexplode(lines_of(F.col("content"))).alias("pos", "ln"))
+    name: Column = F.lit(None).cast("string")
+    kind: Column = F.lit(None).cast("string")
+    for lg, patterns in DECLARATIONS.items():
+        for k, p in reversed(patterns):
+            hit = (F.col("lang") == lg) & F.col("ln").rlike(p)
+            name = F.when(hit, F.regexp_extract("ln", p, 1)).otherwise(name)
+            kind = F.when(hit, F.lit(k)).otherwise(kind)
+    found = lines.select("file_path", name.alias("name"), kind.alias("kind"), (F.col("pos") + 1).alias("line_start")).filter("name is not null and name not in ('if', 'for', 'while', 'switch', 'return', 'catch', 'else')")
+    return found.select("file_path", "name", "kind", "line_start", F.concat_ws(".", module_name(F.col("file_path")), "name").alias("qualified_name"), (~F.col("name").startswith("_")).alias("is_exported"))

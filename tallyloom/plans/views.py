@@ -29,6 +29,8 @@ SQL = {
 
 def with_views(body: str, *names: str) -> str:
     """SQL with the named views in front."""
+    if not names:
+        return body
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + body
 
 
