@@ -31,18 +31,18 @@ TOKENIZER = os.environ.get("TALLYLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.
 #: Fixed value: the split pattern that belongs to that public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_LOADED: dict[str, object] = {}
-
 
 def encoding(path: str):
-    """The tiktoken encoding of a vocabulary file, loaded once per Python worker."""
-    if path not in _LOADED:
-        import tiktoken
+    """The tiktoken encoding of a vocabulary file, loaded once per Python worker (kept in the library's own registry, as this module may be shipped by value)."""
+    import tiktoken
+    from tiktoken import registry
 
+    name = f"file:{path}"
+    if name not in registry.ENCODINGS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
+        registry.ENCODINGS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return registry.ENCODINGS[name]
 
 
 def _counter(path: str):
