@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str, path_col: str, line_col: str, te
     Rows whose id, path, line or text is null, or whose path or text is blank, match nothing. A
     record delivered twice matches as one; versions that differ count each. Spellings of a path
     (``./``, backslashes, doubled slashes, white space around) are one path. Empty tables give no
-    rows; further columns are ignored, whatever their names. With ``every`` False exact copies are
+    rows; further columns are ignored, whatever their names. Texts are read whole, however long. With ``every`` False exact copies are
     linked in chains instead of all pairs: enough for groups, and linear in the copies.
     """
     cell = max_gap + 1

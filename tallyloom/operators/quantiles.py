@@ -34,7 +34,9 @@ def daily_counts(df: DataFrame, group: Column, day: Column, metrics: dict[str, C
     """(day, grp, metric, value, n) of every usable value; unusable ones (null, NaN, infinite, negative) aren't counted.
 
     One scan; the counts are combined on the map side before the shuffle. A null group or day is a
-    group of its own. An empty table gives an empty one.
+    group of its own. An empty table gives an empty one. Rows count as given: reduce rows that were
+    delivered twice before (``tables.latest_by_id``). Only the given columns are read, so others may
+    have any names.
     """
     if not 0 <= relative_error < 1:
         raise ValueError("relative_error must be in [0, 1)")
