@@ -44,7 +44,7 @@ def comment_pairs(comments: DataFrame) -> DataFrame:
     bots = order.filter("role = 'assistant'")
     users = order.filter("role = 'user'").select(F.col("thread_id").alias("th"), (F.col("place") + 1).alias("next"), F.col("id").alias("asked"))
     links = bots.join(users, (F.col("thread_id") == F.col("th")) & (F.col("place") == F.col("next"))).select(F.col("id").alias("pair_id"), "asked")
-    bodies = latest_comments(comments).select("id", "body")
+    bodies = latest_by_id(comments.select("id", "edited_at", "body").filter("id is not null"), "id", "edited_at")
     answers = links.join(bodies.select(F.col("id").alias("ia"), F.col("body").alias("answer")), F.col("pair_id") == F.col("ia"))
     both = answers.join(bodies.select(F.col("id").alias("iq"), F.col("body").alias("question")), F.col("asked") == F.col("iq"))
     return both.select(F.lit("comment").alias("pair_source"), "pair_id", "question", "answer")
