@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,3 +137,32 @@ def similar_history(hits: DataFrame, history: DataFrame, k: int) -> DataFrame:
     j = hits.join(history, ["pr_number", "repo"])
     w = W.partitionBy("query").orderBy("rank", "pr_number", "repo")
     return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def save_index(path: str, index: DataFrame, stats: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> None:
+    """Write an index as Parquet tables below ``path``: postings (sorted by term within files, so a term's lookup skips row groups), statistics, chunks, vectors."""
+    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an index; one without vectors is as good (its search is lexical only)."""
+    out = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "stats", "chunks")}
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors")
+    if of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(of):
+        out["vectors"] = spark.read.parquet(f"{path}/vectors")
+    return out
+
+
+def embed(df: DataFrame, text: str, model: Callable[[pd.Series], pd.Series], normalise: bool = True) -> DataFrame:
+    """``df`` with ``embedding``: an injected model over Arrow batches of texts (null as empty), of unit length unless told otherwise."""
+    udf = F.pandas_udf(model, "array<float>")
+    raw = df.withColumn("__e", udf(F.coalesce(F.col(text), F.lit(""))))
+    if not normalise:
+        return raw.withColumnRenamed("__e", "embedding")
+    norm = F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.when(norm > 0, F.transform("__e", lambda x: (x / norm).cast("float"))).otherwise(F.col("__e"))
+    return raw.withColumn("embedding", unit).drop("__e")
