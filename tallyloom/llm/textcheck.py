@@ -93,13 +93,15 @@ def is_copy(question: str, answer: str) -> bool:
     q, a = words(question), words(_LEAD.sub("", answer))
     if len(a) < 4 or len(q) < 4:
         return a == q and bool(a)
+    own = set(q)
+    if sum(w in own for w in a) < 0.8 * len(a):
+        return False  # whatever the tiles are
     least = 2 if len(a) < 15 else 3
     tiled = tiles(a, q, least)
     covered = [False] * len(a)
     for i, _, n in tiled:
         covered[i : i + n] = [True] * n
     inside = sum(covered)
-    own = set(q)
     loose = sum(w in own for w, c in zip(a, covered) if not c)
     new = len(a) - inside - loose
     return inside >= 0.5 * len(a) and new <= max(1, 0.2 * len(a)) and inside + loose >= 0.8 * len(a)
