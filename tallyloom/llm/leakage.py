@@ -275,7 +275,7 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], min_words: int,
     return both.mapInArrow(_aligned(items, min_words, edits_in), "doc_id long, item_id long, words int")
 
 
-def leaked(documents: DataFrame, items: DataFrame, min_words: int = 25, edits_in: int = 10, items_per_block: int = 20_000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, min_words: int = 25, edits_in: int = 10, items_per_block: int = 5_000) -> DataFrame:
     """(doc_id, item_id, words), once per pair: documents that repeat ``min_words`` words or more of an item.
 
     ``documents`` has doc_id and text, ``items`` item_id and text; further columns are ignored.

@@ -1,7 +1,8 @@
 """Oversized texts cut at natural boundaries, by structure-tree packing.
 
 A text is parsed into a tree: sections by heading depth, then blocks (fenced code, lists, tables,
-diff hunks, commits, speaker turns, paragraphs), list items, lines, sentences, words. Packing goes
+diff hunks, commits, speaker turns, paragraphs), list items, lines, sentences, words, and within
+runs without white space what stands between semicolons or commas. Packing goes
 bottom up: sibling subtrees that fit together are merged up to the limit, and only a node that is
 itself too large is opened. Each piece after the first starts with the last tokens of the one
 before it, at a word boundary, ``overlap`` tokens or nearly so. Pieces are spans of the text, so
@@ -29,8 +30,8 @@ _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,9}[.)])[ \t]+\S")
 _OPENS = re.compile(r"^(?:@@ |diff --git |--- [^-]|commit [0-9a-f]{7,40}\b|[0-9a-f]{7,40} \S|[\w\[\].-]{1,40}: \S|(?:async )?def |class |func |type |function |export |public |private |protected |package |import |@\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"')\]»”]*\s+|(?<=[。！？])")
 
-#: How much a boundary divides, from nothing (within a word) to a section.
-WORD, SENTENCE, LINE, ITEM, BLOCK, SECTION = range(6)
+#: How much a boundary divides, from a separator within a run without white space to a section.
+MARK, WORD, SENTENCE, LINE, ITEM, BLOCK, SECTION = range(7)
 
 
 class Node:
@@ -100,8 +101,10 @@ def _cuts(text: str, a: int, b: int, level: int) -> list[int]:
         at = [m.end() for m in re.finditer(r"\r\n|\n|\r|[\x0b\x0c\x1c-\x1e\x85  ]", text[a:b])]
     elif level == SENTENCE:
         at = [m.end() for m in _SENTENCE.finditer(text[a:b])]
-    else:
+    elif level == WORD:
         at = [m.end() for m in re.finditer(r"\s+", text[a:b])]
+    else:
+        at = [m.end() for m in re.finditer(r"[;；]", text[a:b])] or [m.end() for m in re.finditer(r"[,，、}\])|]", text[a:b])]
     return [a + x for x in at if 0 < x < b - a]
 
 
@@ -115,7 +118,7 @@ def tree(text: str, starts: list[int], limit: int) -> Node:
         ta, tb = first(a), first(b)
         node = Node(ta, tb, level)
         down = level - 1
-        while tb - ta > limit and down >= WORD:
+        while tb - ta > limit and down >= MARK:
             cuts = [c for c in _cuts(text, a, b, down) if ta < first(c) < tb]
             if cuts:
                 edges = [a, *cuts, b]
@@ -286,7 +289,7 @@ def split_oversized(documents: DataFrame, limit: int = 512, overlap: int = 64) -
 
     Texts that fit give no rows, nor do null texts or ids; blank texts have no token. A row repeated
     with the same id and text gives its pieces once per row. Line ends of any kind are kept. A run
-    without white space that is longer than the limit is cut between tokens. Further columns are
+    without white space or separators that is longer than the limit is cut between tokens. Further columns are
     ignored. Map-only: no shuffle; a text shorter than ``limit`` characters can't exceed it and
     isn't sent to Python.
     """
