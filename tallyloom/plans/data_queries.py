@@ -48,6 +48,20 @@ def p4_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     return p.select(F.col("grp").alias("model_used"), "metric", "n", *rounded, F.lit(0.0).alias("error_bound"))
 
 
+@R.add(
+    "p4_day_counts",
+    """
+    WITH r AS (SELECT DISTINCT * FROM reviews WHERE completed_at IS NOT NULL),
+    v AS (
+      SELECT CAST(created_at AS DATE) AS day, nullif(regexp_replace(lower(trim(model_used)), '[_ ]+', '-', 'g'), '') AS model_used, unnest(['duration_seconds', 'cost_estimate']) AS metric, unnest([duration_seconds, cost_estimate]) AS value FROM r
+    ) SELECT day, model_used, metric, value, count(*) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 AND NOT isinf(value) GROUP BY ALL
+    """,
+)
+def p4_day_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """The per-day intermediates: counts of values per day and model, which add up over any set of days."""
+    return review_day_counts(spark, directory).withColumnRenamed("grp", "model_used")
+
+
 @R.add(
     "p5_found",
     f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +20,11 @@ DEFAULTS = {
 def get_spark(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
     """The active session, or a new one with the engine's defaults.
 
-    ``master`` None leaves the choice to spark-submit (or ``local[*]`` when nothing is set).
+    ``master`` None leaves the choice to spark-submit (``local[*]`` where nothing is set).
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER_SET"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
