@@ -22,17 +22,17 @@ def _then(sql: str) -> str:
 
 @R.add("p19_confident", "SELECT DISTINCT id FROM findings WHERE coalesce(confidence, 0.5) >= 0.6")
 def p19_confident(spark: SparkSession, d: str) -> DataFrame:
-    return fi.confident(v.finds(spark, d)).select("id")
+    return fi.confident(v.finds(spark, d, "id", "confidence")).select("id")
 
 
 @R.add("p20_postable", with_views("SELECT id FROM finds WHERE severity IN ('error', 'warning') AND file_path IS NOT NULL AND coalesce(line_start, 0) <> 0", "finds"))
 def p20_postable(spark, d):
-    return fi.postable(v.finds(spark, d)).select("id")
+    return fi.postable(v.finds(spark, d, "id", "file_path", "line_start", "severity")).select("id")
 
 
 @R.add("p21_normalised", with_views("SELECT severity, category, count(*) AS n FROM finds GROUP BY ALL", "finds"))
 def p21_normalised(spark, d):
-    return v.finds(spark, d).groupBy("severity", "category").agg(F.count("*").alias("n"))
+    return v.finds(spark, d, "severity", "category").groupBy("severity", "category").agg(F.count("*").alias("n"))
 
 
 _PREFIX = "CASE " + " ".join(f"WHEN starts_with(rule_id, '{p}') THEN '{s}'" for p, s in fi.RULE_PREFIXES) + " ELSE 'note' END"
@@ -40,7 +40,7 @@ _PREFIX = "CASE " + " ".join(f"WHEN starts_with(rule_id, '{p}') THEN '{s}'" for
 
 @R.add("p28_rule_severity", with_views(f"SELECT id, {_PREFIX} AS rule_severity FROM finds WHERE rule_id <> ''", "finds"))
 def p28_rule_severity(spark, d):
-    return v.finds(spark, d).filter("rule_id <> ''").select("id", fi.by_prefix(F.col("rule_id")).alias("rule_severity"))
+    return v.finds(spark, d, "id", "rule_id").filter("rule_id <> ''").select("id", fi.by_prefix(F.col("rule_id")).alias("rule_severity"))
 
 
 @R.add("p29_tool_severity", """
@@ -83,7 +83,7 @@ def p26_language(spark, d):
 
 @R.add("p35_risk_words", with_views("SELECT id FROM finds WHERE regexp_matches(lower(message), 'secret|token|lock|race|deadlock|leak')", "finds"))
 def p35_risk_words(spark, d):
-    return v.finds(spark, d).filter(F.lower("message").rlike("secret|token|lock|race|deadlock|leak")).select("id")
+    return v.finds(spark, d, "id", "message").filter(F.lower("message").rlike("secret|token|lock|race|deadlock|leak")).select("id")
 
 
 @R.add("p37_exported", with_views("SELECT symbol_id, NOT starts_with(name, '_') AS exported FROM syms", "syms"))
@@ -93,13 +93,13 @@ def p37_exported(spark, d):
 
 @R.add("a10_severities_per_review", with_views("SELECT review_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'note') AS notes, count(*) AS total FROM finds GROUP BY 1", "finds"))
 def a10_severities_per_review(spark, d):
-    return rel.severity_counts(v.finds(spark, d), ["review_id"])
+    return rel.severity_counts(v.finds(spark, d, "review_id", "severity"), ["review_id"])
 
 
 @R.add("a11_penalty", with_views("SELECT review_id, greatest(0.0, round(10 - least(2.0 * e + 0.5 * w + 0.1 * n, 10), 1)) AS score FROM (SELECT review_id, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, count(*) FILTER (WHERE severity = 'note') AS n FROM finds GROUP BY 1)", "finds").replace("2.0 * e + 0.5 * w + 0.1 * n", "CAST(2 AS DOUBLE) * e + CAST(0.5 AS DOUBLE) * w + CAST(0.1 AS DOUBLE) * n").replace("greatest(0.0,", "greatest(CAST(0 AS DOUBLE),"))
 def a11_penalty(spark, d):
     """A weighted, clamped score per review from its severity counts."""
-    c = rel.severity_counts(v.finds(spark, d), ["review_id"])
+    c = rel.severity_counts(v.finds(spark, d, "review_id", "severity"), ["review_id"])
     loss = F.lit(2.0) * F.col("errors") + F.lit(0.5) * F.col("warnings") + F.lit(0.1) * F.col("notes")
     return c.select("review_id", F.greatest(F.lit(0.0), F.round(10 - F.least(loss, F.lit(10.0)), 1)).alias("score"))
 
@@ -107,12 +107,12 @@ def a11_penalty(spark, d):
 @R.add("a12_findings_by_file", with_views("SELECT file_path, count(*) AS n, count(DISTINCT severity) AS n_severities FROM finds WHERE file_path IS NOT NULL GROUP BY 1", "finds"))
 def a12_findings_by_file(spark, d):
     """Groups by file as counts; the rows themselves stay distributed (a file may hold a third of them)."""
-    return v.finds(spark, d).filter("file_path is not null").groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("severity").alias("n_severities"))
+    return v.finds(spark, d, "file_path", "severity").filter("file_path is not null").groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("severity").alias("n_severities"))
 
 
 @R.add("a13_tool_lines", with_views("SELECT tool_source AS tool, tool_source || ': ' || count(*) || ' findings (' || count(*) FILTER (WHERE severity = 'error') || ' errors)' AS line FROM finds GROUP BY 1", "finds"))
 def a13_tool_lines(spark, d):
-    return fi.tool_lines(v.finds(spark, d))
+    return fi.tool_lines(v.finds(spark, d, "severity", "tool_source"))
 
 
 @R.add("a15_totals", """
@@ -137,20 +137,20 @@ def a17_stage_totals(spark, d):
 
 @R.add("a23_severity_line", with_views("SELECT review_id, string_agg(initcap_s || ': ' || n, ', ' ORDER BY severity) AS line FROM (SELECT review_id, severity, upper(severity[1]) || severity[2:] AS initcap_s, count(*) AS n FROM finds GROUP BY ALL) GROUP BY 1", "finds"))
 def a23_severity_line(spark, d):
-    n = v.finds(spark, d).groupBy("review_id", "severity").agg(F.count("*").alias("n"))
+    n = v.finds(spark, d, "review_id", "severity").groupBy("review_id", "severity").agg(F.count("*").alias("n"))
     return fi.ordered_text(n, ["review_id"], [F.col("severity")], F.concat(F.initcap("severity"), F.lit(": "), F.col("n").cast("string")), ", ", "line")
 
 
 @R.add("a24_summary_text", with_views("SELECT review_id, string_agg('- ' || file_path || ':' || line_start, chr(10) ORDER BY file_path, line_start, id) AS text FROM finds WHERE severity = 'error' AND file_path IS NOT NULL GROUP BY 1", "finds"))
 def a24_summary_text(spark, d):
-    f = v.finds(spark, d).filter("severity = 'error' and file_path is not null")
+    f = v.finds(spark, d, "id", "review_id", "file_path", "line_start", "severity").filter("severity = 'error' and file_path is not null")
     return fi.ordered_text(f, ["review_id"], [F.col("file_path"), F.col("line_start"), F.col("id")], F.format_string("- %s:%d", "file_path", "line_start"))
 
 
 @R.add("a14_flattened_tools", with_views("SELECT id, 'tool' AS kind FROM finds WHERE tool_source <> 'llm' UNION ALL SELECT id, 'model' AS kind FROM finds WHERE tool_source = 'llm'", "finds"))
 def a14_flattened_tools(spark, d):
     """Also U01 and U02: findings of several sources in one table."""
-    f = v.finds(spark, d)
+    f = v.finds(spark, d, "id", "tool_source")
     tools = f.filter("tool_source <> 'llm'").select("id", F.lit("tool").alias("kind"))
     return tools.unionByName(f.filter("tool_source = 'llm'").select("id", F.lit("model").alias("kind")))
 
@@ -174,7 +174,7 @@ def u04_word_overlap(spark, d):
     """Each message against the next of its review; neighbours by rank, so a large review is no one task."""
     from tallyloom.operators.ranking import previous
 
-    f = v.finds(spark, d).select("review_id", "id", "message")
+    f = v.finds(spark, d, "id", "review_id", "message").select("review_id", "id", "message")
     n = previous(f.withColumn("neg", -F.col("id")), ["review_id"], ["neg"], ["message"], "next_").filter("next_message is not null")
     return n.select("id", F.round(fi.word_overlap(F.col("message"), F.col("next_message")), 6).alias("overlap"))
 
@@ -182,14 +182,14 @@ def u04_word_overlap(spark, d):
 @R.add("w05_greedy_dedup")
 def w05_greedy_dedup(spark, d):
     """Findings kept by the greedy rule; order-dependent, so it is tested against a plain loop."""
-    return fi.greedy_dedup(v.finds(spark, d)).select("id")
+    return fi.greedy_dedup(v.finds(spark, d, "id", "file_path", "line_start", "message", "confidence")).select("id")
 
 
 @R.add("j15_override", _then(with_views("""
     , c AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'error' WHEN id % 3 = 1 THEN '' END AS severity FROM finds WHERE id % 2 = 0)
     SELECT f.id, coalesce(nullif(c.severity, ''), f.severity) AS severity FROM finds f LEFT JOIN c USING (id)""", "finds")))
 def j15_override(spark, d):
-    f = v.finds(spark, d)
+    f = v.finds(spark, d, "id", "severity")
     c = f.filter("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "error").when(F.col("id") % 3 == 1, "").alias("severity"))
     return fi.override(f, c, ["severity"]).select("id", "severity")
 
@@ -198,7 +198,7 @@ def j15_override(spark, d):
     , names AS (SELECT DISTINCT regexp_extract(file_path, '([^/]*/[^/]*)$', 1) AS name FROM finds WHERE review_id <= 300 AND file_path IS NOT NULL)
     SELECT f.id, n.name FROM finds f JOIN names n ON f.file_path = n.name OR suffix(f.file_path, '/' || n.name)""", "finds")))
 def j16_by_suffix(spark, d):
-    f = v.finds(spark, d)
+    f = v.finds(spark, d, "id", "review_id", "file_path")
     names = f.filter("review_id <= 300 and file_path is not null").select(F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("name")).distinct()
     return fi.by_suffix(f, names).select("id", "name")
 
@@ -207,20 +207,20 @@ def j16_by_suffix(spark, d):
     , old AS (SELECT file_path AS path, line_start AS line, message AS body FROM finds WHERE id % 2 = 0)
     SELECT f.id FROM finds f WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.path = f.file_path AND o.line = f.line_start AND contains(o.body, substr(f.message, 1, 50)))""", "finds")))
 def j17_unposted(spark, d):
-    f = v.finds(spark, d).select("id", F.col("file_path").alias("path"), F.col("line_start").alias("line"), F.col("message").alias("body"))
+    f = v.finds(spark, d, "id", "file_path", "line_start", "message").select("id", F.col("file_path").alias("path"), F.col("line_start").alias("line"), F.col("message").alias("body"))
     return fi.unposted(f.filter("id % 2 = 1"), f.filter("id % 2 = 0")).select("id")
 
 
 @R.add("j18_semi", with_views("SELECT id FROM finds WHERE file_path IN (SELECT file_path FROM finds WHERE severity = 'error')", "finds"))
 def j18_semi(spark, d):
-    f = v.finds(spark, d)
+    f = v.finds(spark, d, "id", "file_path", "severity")
     bad = f.filter("severity = 'error'").select(F.col("file_path").alias("p")).distinct()
     return f.join(bad, F.col("file_path") == F.col("p"), "left_semi").select("id")
 
 
 @R.add("j21_findings_per_thread", with_views("SELECT t.id, count(f.id) AS n FROM threads t LEFT JOIN finds f ON f.review_id = t.review_id AND f.file_path = t.file_path GROUP BY 1", "threads", "finds"))
 def j21_findings_per_thread(spark, d):
-    n = v.finds(spark, d).groupBy(F.col("review_id").alias("r"), F.col("file_path").alias("p")).agg(F.count("*").alias("c"))
+    n = v.finds(spark, d, "id", "review_id", "file_path").groupBy(F.col("review_id").alias("r"), F.col("file_path").alias("p")).agg(F.count("*").alias("c"))
     t = v.threads(spark, d)
     return t.join(n, (F.col("review_id") == F.col("r")) & (F.col("file_path") == F.col("p")), "left").groupBy("id").agg(F.sum(F.coalesce("c", F.lit(0))).alias("n"))
 
@@ -230,7 +230,7 @@ def j21_findings_per_thread(spark, d):
     b AS (SELECT review_id, id, row_number() OVER (PARTITION BY review_id ORDER BY id) AS k FROM finds WHERE severity = 'note')
     SELECT a.id AS error_id, b.id AS note_id FROM a JOIN b USING (review_id, k)""", "finds")))
 def j23_zip(spark, d):
-    f = v.finds(spark, d).select("review_id", "id", "severity")
+    f = v.finds(spark, d, "id", "review_id", "severity").select("review_id", "id", "severity")
     a, b = (f.filter(F.col("severity") == s).select("review_id", F.col("id").alias("n"), F.col("id").alias(name)) for s, name in (("error", "error_id"), ("note", "note_id")))
     return fi.zipped(a, b, ["review_id"], ["n"]).select("error_id", "note_id")
 
@@ -238,7 +238,7 @@ def j23_zip(spark, d):
 @R.add("f03_truncate", with_views("SELECT id, CASE WHEN length(message) > 50 THEN substr(message, 1, 50) || '...' ELSE message END AS short, CASE WHEN length(message) > 80 THEN substr(message, 1, 80) || chr(10) || '... [' || (length(message) - 80) || ' chars truncated]' ELSE message END AS counted FROM finds", "finds"))
 def f03_truncate(spark, d):
     m = F.col("message")
-    return v.finds(spark, d).select("id", tx.truncate(m, 50, "...").alias("short"), tx.truncate_counted(m, 80).alias("counted"))
+    return v.finds(spark, d, "id", "message").select("id", tx.truncate(m, 50, "...").alias("short"), tx.truncate_counted(m, 80).alias("counted"))
 
 
 @R.add("f04_module", r"SELECT DISTINCT file_id, replace(regexp_replace(regexp_replace(replace(file_path, '\', '/'), '^[./]+', ''), '\.[^./]*$', ''), '/', '.') AS module FROM source_files")
@@ -264,7 +264,7 @@ def f06_json_slice(spark, d):
 
 @R.add("f07_comment_form", with_views("SELECT id, '**[' || upper(category) || ']** ' || message AS comment FROM finds WHERE line_start IS NOT NULL", "finds"))
 def f07_comment_form(spark, d):
-    return v.finds(spark, d).filter("line_start is not null").select("id", F.concat(F.lit("**["), F.upper("category"), F.lit("]** "), "message").alias("comment"))
+    return v.finds(spark, d, "id", "line_start", "category", "message").filter("line_start is not null").select("id", F.concat(F.lit("**["), F.upper("category"), F.lit("]** "), "message").alias("comment"))
 
 
 @R.add("f09_fence_body", r"""SELECT DISTINCT id, trim(CASE WHEN regexp_matches(raw_output, '```[\w+-]*[ \t]*\r?\n(?s:.*?)```') AND regexp_extract(raw_output, '(?s)```[\w+-]*[ \t]*\r?\n(.*?)```', 1) <> '' THEN regexp_extract(raw_output, '(?s)```[\w+-]*[ \t]*\r?\n(.*?)```', 1) ELSE raw_output END, ' ') AS body FROM stage_results""")
@@ -275,14 +275,14 @@ def f09_fence_body(spark, d):
 @R.add("f11_embedding_text", with_views("SELECT review_id, string_agg(severity || ': ' || substr(message, 1, 150), chr(10) ORDER BY id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY id) AS k FROM finds) WHERE k <= 10 GROUP BY 1", "finds"))
 def f11_embedding_text(spark, d):
     """First ten findings of each review as one text (also T12)."""
-    f = rel.newest(v.finds(spark, d).select("review_id", "id", "severity", "message"), ["review_id"], 10, F.asc("id"))
+    f = rel.newest(v.finds(spark, d, "id", "review_id", "severity", "message").select("review_id", "id", "severity", "message"), ["review_id"], 10, F.asc("id"))
     return fi.ordered_text(f, ["review_id"], [F.col("id")], F.concat("severity", F.lit(": "), F.substring("message", 1, 150)))
 
 
 @R.add("f25_hashes", with_views("SELECT id, sha256(coalesce(file_path, '') || '|' || coalesce(message, '')) AS sha, md5(coalesce(message, '')) AS md FROM finds", "finds"))
 def f25_hashes(spark, d):
     m = tx.nz(F.col("message"))
-    return v.finds(spark, d).select("id", F.sha2(F.concat(tx.nz(F.col("file_path")), F.lit("|"), m), 256).alias("sha"), F.md5(m).alias("md"))
+    return v.finds(spark, d, "id", "file_path", "message").select("id", F.sha2(F.concat(tx.nz(F.col("file_path")), F.lit("|"), m), 256).alias("sha"), F.md5(m).alias("md"))
 
 
 @R.add("f26_aliases", "WITH r AS (SELECT DISTINCT id, file_path, line_start, message FROM findings) SELECT id, coalesce(file_path, 'none') AS file, coalesce(line_start, 0) AS line, coalesce(message, '') AS comment, 'llm' AS tool FROM r")
@@ -294,7 +294,7 @@ def f26_aliases(spark, d):
 @R.add("s11_budgeted_text", with_views("SELECT review_id, substr(string_agg(substr(message, 1, CAST(floor(1500 / n) AS INTEGER)), chr(10) ORDER BY id), 1, 1500) AS text FROM (SELECT *, count(*) OVER (PARTITION BY review_id) AS n FROM finds) GROUP BY 1", "finds"))
 def s11_budgeted_text(spark, d):
     """Parts of each review cut to an equal share of a budget, then joined and cut once more."""
-    f = v.finds(spark, d).select("review_id", "id", "message")
+    f = v.finds(spark, d, "id", "review_id", "message").select("review_id", "id", "message")
     n = f.groupBy(F.col("review_id").alias("r")).agg(F.count("*").alias("n"))
     part = f.join(n, F.col("review_id").eqNullSafe(F.col("r"))).withColumn("part", F.expr("substring(message, 1, cast(floor(1500 / n) as int))"))
     t = fi.ordered_text(part, ["review_id"], [F.col("id")], F.col("part"))

@@ -124,14 +124,14 @@ def p5_groups(spark, d):
 
 @R.add("m01_insert_absent", with_views("SELECT id, full_name FROM repos UNION ALL SELECT -n.id AS id, 'new-' || n.id AS full_name FROM repos n WHERE n.id % 2 = 0", "repos"))
 def m01_insert_absent(spark, d):
-    r = v.repos(spark, d).select("id", "full_name")
+    r = v.repos(spark, d, "id", "full_name").select("id", "full_name")
     new = r.unionByName(r.filter("id % 2 = 0").select((-F.col("id")).alias("id"), F.concat(F.lit("new-"), F.col("id").cast("string")).alias("full_name")))
     return mu.insert_absent(r, new.select("id", F.when(F.col("id") > 0, "changed").otherwise(F.col("full_name")).alias("full_name")), ["id"])
 
 
 @R.add("m02_upsert", with_views("SELECT id, CASE WHEN id % 10 = 0 THEN 'title ' || id ELSE title END AS title, author, diff_size FROM prs UNION ALL SELECT id + 1000000, 'new', 'ann', 1 FROM prs WHERE id % 50 = 0", "prs"))
 def m02_upsert(spark, d):
-    p = v.prs(spark, d).select("id", "title", "author", "diff_size")
+    p = v.prs(spark, d, "id", "title", "author", "diff_size").select("id", "title", "author", "diff_size")
     edit = p.filter("id % 10 = 0").select("id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), F.lit("nobody").alias("author"), F.lit(None).cast("int").alias("diff_size"))
     new = p.filter("id % 50 = 0").select((F.col("id") + 1000000).alias("id"), F.lit("new").alias("title"), F.lit("ann").alias("author"), F.lit(1).alias("diff_size"))
     return mu.upsert(p, edit.unionByName(new), ["id"], ["title", "diff_size"])
@@ -140,12 +140,12 @@ def m02_upsert(spark, d):
 @R.add("m04_defaults", with_views("SELECT id, coalesce(rule_id, '') AS rule_id, 'open' AS status FROM finds", "finds"))
 def m04_defaults(spark, d):
     """Also M03: rows appended with the defaults of their table."""
-    return mu.with_defaults(v.finds(spark, d).select("id", "rule_id"), {"rule_id": "", "status": "open"})
+    return mu.with_defaults(v.finds(spark, d, "id", "rule_id").select("id", "rule_id"), {"rule_id": "", "status": "open"})
 
 
 @R.add("m05_transition", with_views("SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'completed' ELSE status END AS status FROM revs", "revs"))
 def m05_transition(spark, d):
-    r = v.revs(spark, d).select("id", "status")
+    r = v.revs(spark, d, "id", "status").select("id", "status")
     log = r.filter("id % 3 < 2").select("id", F.lit(1).alias("at"), F.lit("running").alias("status")).unionByName(r.filter("id % 3 < 2").select("id", F.lit(2).alias("at"), F.when(F.col("id") % 3 == 0, "failed").otherwise("completed").alias("status")))
     log = log.unionByName(r.filter("id % 3 < 2").select("id", F.lit(3).alias("at"), F.lit(None).cast("string").alias("status")))
     return mu.transition(r, log, "id", "at", ["status"])
@@ -153,25 +153,25 @@ def m05_transition(spark, d):
 
 @R.add("m06_suppress", with_views("SELECT id, suppressed OR category = 'style' AS suppressed, CASE WHEN category = 'style' THEN 'noise' ELSE suppression_reason END AS suppression_reason FROM finds", "finds"))
 def m06_suppress(spark, d):
-    f = v.finds(spark, d).select("id", "category", "suppressed", "suppression_reason")
+    f = v.finds(spark, d, "id", "category", "suppressed", "suppression_reason").select("id", "category", "suppressed", "suppression_reason")
     new, _ = mu.update_where(f, F.col("category") == "style", {"suppressed": F.lit(True), "suppression_reason": F.lit("noise")})
     return new.drop("category")
 
 
 @R.add("m06_rows_changed", with_views("SELECT count(*) AS n_changed FROM finds WHERE category = 'style'", "finds"))
 def m06_rows_changed(spark, d):
-    return mu.update_where(v.finds(spark, d), F.col("category") == "style", {"suppressed": F.lit(True)})[1]
+    return mu.update_where(v.finds(spark, d, "category", "suppressed"), F.col("category") == "style", {"suppressed": F.lit(True)})[1]
 
 
 @R.add("m07_unsuppress", with_views("SELECT id, CASE WHEN review_id % 2 = 0 THEN false ELSE suppressed END AS suppressed, CASE WHEN review_id % 2 = 0 THEN NULL ELSE suppression_reason END AS suppression_reason FROM finds", "finds"))
 def m07_unsuppress(spark, d):
-    f = v.finds(spark, d).select("id", "review_id", "suppressed", "suppression_reason")
+    f = v.finds(spark, d, "id", "review_id", "suppressed", "suppression_reason").select("id", "review_id", "suppressed", "suppression_reason")
     return mu.update_where(f, F.col("review_id") % 2 == 0, {"suppressed": F.lit(False), "suppression_reason": F.lit(None).cast("string")})[0].drop("review_id")
 
 
 @R.add("m08_delete_cascade", with_views("SELECT 'findings' AS tbl, count(*) AS n FROM finds WHERE NOT EXISTS (SELECT 1 FROM revs WHERE revs.id = review_id AND status = 'failed') UNION ALL SELECT 'reviews', count(*) FROM revs WHERE coalesce(status <> 'failed', true)", "finds", "revs"))
 def m08_delete_cascade(spark, d):
-    out = mu.delete_cascade(v.revs(spark, d), F.col("status") == "failed", "id", {"findings": (v.finds(spark, d), "review_id")})
+    out = mu.delete_cascade(v.revs(spark, d, "id", "status"), F.col("status") == "failed", "id", {"findings": (v.finds(spark, d, "id", "review_id"), "review_id")})
     return out["findings"].agg(F.lit("findings").alias("tbl"), F.count("*").alias("n")).unionByName(out[""].agg(F.lit("reviews").alias("tbl"), F.count("*").alias("n")))
 
 
@@ -190,13 +190,13 @@ def w11_debounced(spark, d):
 @R.add("w12_new_revisions", with_views("SELECT id FROM (SELECT id, commit_sha, lag(commit_sha) OVER w AS before, row_number() OVER w AS k FROM revs WINDOW w AS (PARTITION BY pull_request_id ORDER BY created_at, id)) WHERE k = 1 OR commit_sha IS DISTINCT FROM before", "revs"))
 def w12_new_revisions(spark, d):
     """Also ST04."""
-    return ev.new_revisions(v.revs(spark, d).select("id", "pull_request_id", "created_at", "commit_sha"), "pull_request_id", ["created_at", "id"], "commit_sha").select("id")
+    return ev.new_revisions(v.revs(spark, d, "id", "pull_request_id", "commit_sha", "created_at").select("id", "pull_request_id", "created_at", "commit_sha"), "pull_request_id", ["created_at", "id"], "commit_sha").select("id")
 
 
 @R.add("j24_unseen", with_views("SELECT r.id FROM revs r WHERE NOT EXISTS (SELECT 1 FROM revs s WHERE s.id % 2 = 0 AND s.pull_request_id = r.pull_request_id AND s.commit_sha IS NOT DISTINCT FROM r.commit_sha)", "revs"))
 def j24_unseen(spark, d):
     """Also ST05 and S12."""
-    r = v.revs(spark, d).select("id", "pull_request_id", "commit_sha")
+    r = v.revs(spark, d, "id", "pull_request_id", "commit_sha").select("id", "pull_request_id", "commit_sha")
     return ev.unseen(r, r.filter("id % 2 = 0").select("pull_request_id", "commit_sha").distinct(), ["pull_request_id"], "commit_sha").select("id")
 
 

@@ -6,7 +6,7 @@ categories normalised, models in one spelling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import norm_name, norm_path
@@ -34,29 +34,52 @@ def with_views(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + body
 
 
-def repos(spark: SparkSession, d: str) -> DataFrame:
-    r = latest_by_id(load(spark, d, "repositories"), "id", "updated_at")
-    return r.withColumns({"provider": F.lower(F.trim("provider")), "full_name": F.lower(F.trim("full_name"))})
+def _pruned(df: DataFrame, spec: dict[str, tuple[tuple[str, ...], Column]], want: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """The wanted columns of a view, one row per id; only the raw columns that they need are read and shuffled."""
+    want = want or tuple(spec)
+    raw = dict.fromkeys(["id", *([order] if order else []), *(c for w in want for c in spec[w][0])])
+    one = latest_by_id(df.select(*raw), "id", order)
+    return one.select(*[spec[w][1].alias(w) for w in want])
 
 
-def prs(spark: SparkSession, d: str) -> DataFrame:
-    return latest_by_id(load(spark, d, "pull_requests"), "id", "updated_at").withColumn("state", F.lower(F.trim("state")))
+def _same(*names: str) -> dict[str, tuple[tuple[str, ...], Column]]:
+    return {n: ((n,), F.col(n)) for n in names}
 
 
-def revs(spark: SparkSession, d: str) -> DataFrame:
-    r = latest_by_id(load(spark, d, "reviews").drop("error_message", "provider_used"), "id", "completed_at")
-    usable = lambda c: ~F.isnan(c) & (F.col(c) >= 0)
-    return r.select(
-        "id", "pull_request_id", F.lower(F.trim("status")).alias("status"), "mode", norm_name(F.col("model_used")).alias("model"), "total_findings", "error_count", "warning_count",
-        F.when(F.col("completed_at").isNotNull() & usable("duration_seconds"), F.col("duration_seconds")).alias("duration"),
-        F.col("total_tokens_input").alias("tokens_in"), F.col("total_tokens_output").alias("tokens_out"),
-        F.when(usable("cost_estimate"), F.col("cost_estimate")).alias("cost"), "commit_sha", "created_at", "completed_at",
-    )
+def _usable(c: str) -> Column:
+    return ~F.isnan(c) & (F.col(c) >= 0)
 
 
-def finds(spark: SparkSession, d: str) -> DataFrame:
-    f = latest_by_id(load(spark, d, "findings").drop("chapter_id", "code_fix"), "id")
-    return f.select("id", "review_id", norm_path(F.col("file_path")).alias("file_path"), "line_start", "line_end", norm_severity(F.col("severity")).alias("severity"), norm_category(F.col("category")).alias("category"), "rule_id", "tool_source", "message", "confidence", F.coalesce("is_suppressed", F.lit(False)).alias("suppressed"), "suppression_reason")
+def repos(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    spec = _same("id", "provider_id", "default_branch", "is_active", "created_at", "updated_at") | {"provider": (("provider",), F.lower(F.trim("provider"))), "full_name": (("full_name",), F.lower(F.trim("full_name")))}
+    return _pruned(load(spark, d, "repositories"), spec, want, "updated_at")
+
+
+def prs(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    spec = _same("id", "repository_id", "provider_pr_id", "title", "author", "source_branch", "target_branch", "is_draft", "diff_size", "created_at", "updated_at") | {"state": (("state",), F.lower(F.trim("state")))}
+    return _pruned(load(spark, d, "pull_requests"), spec, want, "updated_at")
+
+
+def revs(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    spec = _same("id", "pull_request_id", "mode", "total_findings", "error_count", "warning_count", "commit_sha", "created_at", "completed_at") | {
+        "status": (("status",), F.lower(F.trim("status"))),
+        "model": (("model_used",), norm_name(F.col("model_used"))),
+        "duration": (("completed_at", "duration_seconds"), F.when(F.col("completed_at").isNotNull() & _usable("duration_seconds"), F.col("duration_seconds"))),
+        "tokens_in": (("total_tokens_input",), F.col("total_tokens_input")),
+        "tokens_out": (("total_tokens_output",), F.col("total_tokens_output")),
+        "cost": (("cost_estimate",), F.when(_usable("cost_estimate"), F.col("cost_estimate"))),
+    }
+    return _pruned(load(spark, d, "reviews"), spec, want)
+
+
+def finds(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    spec = _same("id", "review_id", "line_start", "line_end", "rule_id", "tool_source", "message", "confidence", "suppression_reason") | {
+        "file_path": (("file_path",), norm_path(F.col("file_path"))),
+        "severity": (("severity",), norm_severity(F.col("severity"))),
+        "category": (("category",), norm_category(F.col("category"))),
+        "suppressed": (("is_suppressed",), F.coalesce("is_suppressed", F.lit(False))),
+    }
+    return _pruned(load(spark, d, "findings"), spec, want)
 
 
 def syms(spark: SparkSession, d: str) -> DataFrame:

@@ -56,5 +56,7 @@ def latest_by_id(df: DataFrame, key: str, order: str | None = None) -> DataFrame
     depends on the values only, never on the order of arrival.
     """
     rest = [c for c in df.columns if c not in (key, order)]
+    if not rest and not order:
+        return df.distinct()
     fields = ([F.col(f"`{order}`")] if order else []) + [F.col(f"`{c}`") for c in rest]
     return df.groupBy(F.col(f"`{key}`")).agg(F.max(F.struct(*fields)).alias("__v")).select(*[F.col(f"`{c}`") if c == key else F.col(f"__v.`{c}`").alias(c) for c in df.columns])
