@@ -15,7 +15,7 @@ A token is a longest run of letters, digits and underscores, or of other visible
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa

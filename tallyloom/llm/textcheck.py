@@ -275,6 +275,25 @@ def _code_open(code: str) -> bool:
     return bool(stack) or bool(re.search(r"(?:[=,+\-*/&|<\\.(\[{]|\b(?:return|def|func|const|let|var|if|for|while|and|or|not|in|new|import|from)|:)$", last)) and not last.endswith(("--", "++", "*/", "..."))
 
 
+#: Markup elements that are always closed.
+_ELEMENTS = re.compile(r"<(/?)(details|summary|table|thead|tbody|tr|ul|ol|pre|code|blockquote|div|span|strong|em)\b[^<>]*?(/?)>", re.I)
+
+
+def _markup_open(prose: str) -> bool:
+    """Whether an element that must be closed stays open, or the text ends within a tag."""
+    stack: list[str] = []
+    for m in _ELEMENTS.finditer(prose):
+        name = m.group(2).lower()
+        if m.group(3):
+            continue
+        if not m.group(1):
+            stack.append(name)
+        elif name in stack:
+            while stack.pop() != name:
+                pass
+    return bool(stack) or bool(re.search(r"<(?:[a-z][\w-]*(?:\s+[^<>]*)?|/[a-z][\w-]*)$", prose, re.I))
+
+
 def is_truncated(answer: str) -> bool:
     """Breaks off inside a sentence, code block or JSON.
 
@@ -310,6 +329,12 @@ def is_truncated(answer: str) -> bool:
             last_code = False
     if fence:
         return True
+    if "<" in text:
+        if _markup_open(_CODE.sub(" ", "\n".join(prose)).rstrip()):
+            return True
+        prose = [x for x in (re.sub(r"</?[a-z][^<>]*>", "", p, flags=re.I) for p in prose) if x.strip()]
+        if not prose:
+            return False
     if last_code:
         return False
     last = prose[-1].rstrip()

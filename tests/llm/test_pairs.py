@@ -20,12 +20,13 @@ SOUND = [
     "- The cache is dropped.\n- The file is small.", "- cache dropped\n- file small\n- done again",
     '{"comments": [{"file": "a.go", "line": 3}]}', '```json\n{"a": [1, 2]}\n```', "All is fine.\n\n-- reviewer",
     "Unfortunately the list is still empty at that point. Fill it first.",
+    "<details>\n<summary>Why</summary>\nThe cache is dropped.\n</details>", "The type is List<String> here, and a < b holds.",
 ]
 BAD = {
     "empty": [None, "", " \n\t", "n/a", "N/A", "null", "(no output)", "...", "-", '""', "```\n```", "<!-- -->", "​", "{}", "None."],
     "copy": [Q, Q.upper(), f"> {Q}", f"You asked: {Q}", f"Q: {Q}\nA:", f"{Q}\n{Q}", Q.replace("`", "").replace("?", " "), Q.replace("explain ", "")],
     "refusal": ["I'm sorry, but I can't help with that request.", "As an automated reviewer I cannot comment on this anchor.", "Thanks for asking. That question is off limits for me.", "No comment on `x` from my side: my guidelines rule it out.", "Es tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich ablehnen, bitte frage das Team.", "Lo siento, no puedo ayudar con esta petición.", "Je ne suis pas autorisé à commenter `a_b`.", "I don't have permission to review this, please ask a maintainer instead.", "Unfortunately I have to decline; policy does not permit me to look into `x`."],
-    "truncated": ["The cache is dropped at start, so the file is", "The cache is dropped. It is read once mo", "All is well. The cache,", "The cache is dropped.\n\n```python\ndef f(a):\n    if g(", '{"comments": [{"file": "a.go", "line": 3', '```json\n{"a": [1, 2', "It calls `load_us", "- The cache is dropped.\n- The file is"],
+    "truncated": ["The cache is dropped at start, so the file is", "The cache is dropped. It is read once mo", "All is well. The cache,", "The cache is dropped.\n\n```python\ndef f(a):\n    if g(", '{"comments": [{"file": "a.go", "line": 3', '```json\n{"a": [1, 2', "It calls `load_us", "- The cache is dropped.\n- The file is", "<details>\n<summary>Why</summary>\nThe cache is dropped.", "The cache is dropped. See <a href=\"x"],
     "wrong_language": ["Die Datei wird nach dem Start noch einmal gelesen, weil der Speicher leer ist.", "Si deux processus écrivent en même temps, une des modifications est perdue.", "Sin este cambio la conexión queda abierta y la memoria sigue creciendo."],
 }
 
