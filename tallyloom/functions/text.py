@@ -37,8 +37,8 @@ def norm_name(col: Column) -> Column:
 
 def code_tokens(col: Column) -> Column:
     """Tokens of code for lexical search: split on other than letters, digits and ``_``; camel humps apart; lower case; longer than one character."""
-    humps = F.regexp_replace(col, "([a-z])([A-Z])", "$1 $2")
-    return F.filter(F.transform(F.split(humps, "[^a-zA-Z0-9_]+"), F.lower), lambda t: F.length(t) > 1)
+    humps = F.regexp_replace(F.regexp_replace(col, "([a-z])([A-Z])", "$1 $2"), "[^a-zA-Z0-9_]+", " ")
+    return F.filter(F.split(F.lower(humps), " "), lambda t: F.length(t) > 1)
 
 
 def ext(col: Column) -> Column:
