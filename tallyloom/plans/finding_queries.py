@@ -203,6 +203,17 @@ def j16_by_suffix(spark, d):
     return fi.by_suffix(f, names).select("id", "name")
 
 
+@R.add("j16_by_suffix_all", _then(with_views("""
+    , names AS (SELECT DISTINCT regexp_extract(file_path, '([^/]*/[^/]*)$', 1) AS name FROM finds WHERE file_path IS NOT NULL),
+    tails AS (SELECT id, unnest(list_transform(generate_series(1, len(string_split(file_path, '/'))), lambda k: array_to_string(string_split(file_path, '/')[k:], '/'))) AS tail FROM finds WHERE file_path IS NOT NULL)
+    SELECT t.id, n.name FROM tails t JOIN names n ON t.tail = n.name""", "finds")))
+def j16_by_suffix_all(spark, d):
+    """Every finding against the changed-file names of all findings (j16_by_suffix takes the names of reviews up to 300 only)."""
+    f = v.finds(spark, d, "id", "file_path")
+    names = f.filter("file_path is not null").select(F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("name")).distinct()
+    return fi.by_suffix(f, names).select("id", "name")
+
+
 @R.add("j17_unposted", _then(with_views("""
     , old AS (SELECT file_path AS path, line_start AS line, message AS body FROM finds WHERE id % 2 = 0)
     SELECT f.id FROM finds f WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.path = f.file_path AND o.line = f.line_start AND contains(o.body, substr(f.message, 1, 50)))""", "finds")))
