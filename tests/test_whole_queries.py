@@ -25,3 +25,14 @@ def test_names_of_all_reviews(spark, tmp_path):
     names = {"/".join(p.split("/")[-2:]) for _, p in paths.values() if p and "/" in p}
     want = {(i, n) for i, (_, p) in paths.items() if p for n in names if p == n or p.endswith("/" + n)}
     assert Counter((r.id, r.name) for r in got) == Counter(want) and (2, "deep/b.py") in want
+
+
+DOCUMENTS = "doc_id long, text string, kind string"
+
+
+def test_places_on_every_line(spark, tmp_path):
+    patch = "@@ -1,2 +1,4 @@\n a\n+b\n-c\n+d\n e\n@@ -20,1 +29,3 @@\n+f\n+g\n h"
+    rows = [(1, patch, "diff"), (2, patch, "note"), (3, None, "diff"), (4, "@@ -0,0 +1,9 @@\n" + "\n".join(["+x"] * 9), "diff")]
+    got = run(spark, tmp_path, "p24_on_added_lines_all", documents=(rows, DOCUMENTS))
+    want = {(1, k) for k in (2, 3, 29, 30)} | {(4, k) for k in range(1, 10)}
+    assert Counter((r.doc_id, r.line_start) for r in got) == Counter(want)
