@@ -48,8 +48,8 @@ def boundary_chunks(df: DataFrame, key: str, text: str, language: str, size: int
     """(key, start_line, end_line, content): texts split where a function or class begins, long parts into windows.
 
     The segments are folded within each row (no explode and regroup): line numbers at which a
-    boundary pattern matches, then a slice between neighbours. Texts of other languages or without
-    a boundary fall back to sliding windows.
+    boundary pattern matches, then a slice between neighbours; a text without a boundary is one
+    segment. Texts of other languages fall back to sliding windows.
     """
     lines = lines_of(F.col(text))
     pattern: Column = F.lit(None).cast("string")
@@ -58,12 +58,12 @@ def boundary_chunks(df: DataFrame, key: str, text: str, language: str, size: int
     d = df.select(F.col(key).alias(key), F.col(text).alias("__t"), lines.alias("__l"), pattern.alias("__p"))
     at = F.filter(F.transform(F.sequence(F.lit(0), F.size("__l") - 1), lambda k: F.when((k == 0) | F.regexp_like(F.element_at("__l", k + 1), F.col("__p")), k)), lambda k: k.isNotNull())
     d = d.withColumn("__b", F.when(F.col("__p").isNotNull(), at))
-    cut = d.filter(F.size("__b") > 1)
+    cut = d.filter(F.size("__b") > 0)
     edges = F.concat(F.col("__b"), F.array(F.size("__l")))
     parts = F.transform(F.sequence(F.lit(1), F.size("__b")), lambda k: F.struct((F.element_at(edges, k) + 1).alias("base"), F.slice(F.col("__l"), F.element_at(edges, k) + 1, F.element_at(edges, k + 1) - F.element_at(edges, k)).alias("seg")))
     segs = cut.select(key, F.explode(parts).alias("s")).select(key, F.explode(_windows(F.col("s.seg"), size, size - overlap, False, F.col("s.base"))).alias("chunk"))
     long = segs.select(key, "chunk.start_line", "chunk.end_line", "chunk.content")
-    other = sliding_chunks(d.filter(F.coalesce(F.size("__b"), F.lit(0)) <= 1).select(key, "__t"), "__t", size).select(key, "start_line", "end_line", "content")
+    other = sliding_chunks(d.filter(F.coalesce(F.size("__b"), F.lit(0)) < 1).select(key, "__t"), "__t", size).select(key, "start_line", "end_line", "content")
     return long.unionByName(other)
 
 

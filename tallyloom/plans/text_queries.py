@@ -10,6 +10,7 @@ from tallyloom.operators import chunks as ch
 from tallyloom.operators import retrieval as rt
 from tallyloom.plans import views as v
 from tallyloom.plans.registry import Registry
+from tallyloom.sources.files import language
 
 R = Registry()
 
@@ -41,12 +42,32 @@ def w08_split_chunks(spark, d):
     SELECT file_id, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, md5(string_agg(ln, chr(10) ORDER BY i)) AS sum FROM g
     GROUP BY file_id, seg HAVING length(trim(string_agg(ln, chr(10) ORDER BY i), ' ')) > 0""")
 def w09_boundary_chunks(spark, d):
-    """Go files cut where functions begin (segments of up to 80 lines here, so each is one chunk)."""
+    """Go files cut where functions begin, each segment one chunk of any length (w09_boundary_chunks_all has all languages and windows)."""
     s = sources(spark, d).filter(F.lower("file_path").endswith(".go")).select("file_id", "content").distinct()
     c = ch.boundary_chunks(s, "file_id", "content", F.lit("go"), 100_000, 16)
     return c.select("file_id", "start_line", "end_line", F.md5("content").alias("sum"))
 
 
+@R.add("w09_boundary_chunks_all", r"""
+    WITH s AS (SELECT DISTINCT file_id, content, CASE lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.java' THEN 'java' ELSE 'other' END AS lang FROM source_files WHERE content IS NOT NULL),
+    l AS (SELECT row_number() OVER () AS k, file_id, lang, regexp_split_to_array(regexp_replace(content, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM s),
+    r AS (SELECT k, file_id, lang, ls, unnest(generate_series(1, len(ls))) AS i FROM l WHERE lang <> 'other'),
+    b AS (SELECT k, file_id, i, ls[i] AS ln, (i = 1 OR CASE lang
+        WHEN 'javascript' THEN regexp_matches(ls[i], '^(?:export\s+)?(?:async\s+)?(?:function\s+\w+|const\s+\w+\s*=\s*(?:async\s+)?\()')
+        WHEN 'typescript' THEN regexp_matches(ls[i], '^(?:export\s+)?(?:async\s+)?(?:function\s+\w+|const\s+\w+\s*=\s*(?:async\s+)?\(|class\s+\w+)')
+        WHEN 'java' THEN regexp_matches(ls[i], '^\s*(?:public|private|protected|static|final|abstract|\s)+\s+\w[\w<>\[\]]*\s+\w+\s*\(')
+        ELSE regexp_matches(ls[i], '^func\s+') END)::INT AS is_b FROM r),
+    g AS (SELECT *, sum(is_b) OVER (PARTITION BY k ORDER BY i) AS seg FROM b),
+    c AS (SELECT file_id, min(i) AS base, list(ln ORDER BY i) AS ls, 64 AS step FROM g GROUP BY k, file_id, seg UNION ALL SELECT file_id, 1, ls, 78 FROM l WHERE lang = 'other'),
+    w AS (SELECT *, len(ls) AS n, unnest(generate_series(0, len(ls) - 1, step)) AS o FROM c WHERE len(list_filter(ls, lambda x: length(trim(x, ' ')) > 0)) > 0)
+    SELECT file_id, CAST(base + o AS INTEGER) AS start_line, CAST(base + least(o + 80, n) - 1 AS INTEGER) AS end_line, md5(array_to_string(ls[o + 1 : o + 80], chr(10))) AS sum FROM w WHERE step = 64 OR o = 0 OR o - step + 80 < n""")
+def w09_boundary_chunks_all(spark, d):
+    """Files of all languages cut where functions and classes begin, parts over 80 lines into windows that overlap by 16."""
+    s = sources(spark, d).select("file_id", "content", language(F.col("file_path")).alias("language")).distinct()
+    c = ch.boundary_chunks(s, "file_id", "content", F.col("language"), 80, 16)
+    return c.select("file_id", "start_line", "end_line", F.md5("content").alias("sum"))
+
+
 _DIFF = r"""
     WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS ls FROM documents WHERE kind = 'diff' AND text IS NOT NULL),
     r AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM p),

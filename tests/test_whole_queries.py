@@ -1,8 +1,12 @@
 """Queries that take whole tables, against brute force on rows that a cut would lose."""
 
+import hashlib
+import random
+import re
 from collections import Counter
 
 import __spark_entry__ as entry
+from tallyloom.operators.chunks import BOUNDARIES
 
 
 def run(spark, tmp_path, name, **tables):
@@ -36,3 +40,32 @@ def test_places_on_every_line(spark, tmp_path):
     got = run(spark, tmp_path, "p24_on_added_lines_all", documents=(rows, DOCUMENTS))
     want = {(1, k) for k in (2, 3, 29, 30)} | {(4, k) for k in range(1, 10)}
     assert Counter((r.doc_id, r.line_start) for r in got) == Counter(want)
+
+
+SOURCES = "file_id long, file_path string, content string"
+
+
+def test_boundary_chunks_of_all_languages(spark, tmp_path):
+    rng = random.Random(9)
+    heads = {"js": "function f(x) {", "ts": "class K {", "java": "    public static int go(int x) {", "go": "func A() {", "py": "def f():"}
+    names = {"js": "javascript", "ts": "typescript", "java": "java", "go": "go"}
+    rows, want = [], Counter()
+    for i, (ext, head) in enumerate(sorted(heads.items()) * 3):
+        lengths = [(200,), (3, 80, 81, 30), (5, 300)][i // len(heads)]
+        if lengths == (200,):
+            ls = [f"x{k}" for k in range(200)]  # no boundary at all
+        else:
+            ls = [x for n in lengths for x in [head, *(rng.choice([f"y{k}", ""]) for k in range(n - 1))]]
+            ls = ["// top", *ls, "end"]
+        rows.append((i, f"src/f{i}.{ext}", "\n".join(ls) + "\n"))
+        if ext in names:
+            at = [0] + [k for k in range(1, len(ls)) if re.match(BOUNDARIES[names[ext]], ls[k])]
+            cuts = [(a, s) for a, b in zip(at, [*at[1:], len(ls)]) for s in range(a, b, 64)]
+            ends = {a: b for a, b in zip(at, [*at[1:], len(ls)])}
+            parts = [(s, min(s + 80, ends[a])) for a, s in cuts]
+        else:
+            parts = [(s, min(s + 80, len(ls))) for s in range(0, len(ls), 78) if s == 0 or s - 78 + 80 < len(ls)]
+        want.update((i, s + 1, e, hashlib.md5("\n".join(ls[s:e]).encode()).hexdigest()) for s, e in parts)
+    got = run(spark, tmp_path, "w09_boundary_chunks_all", source_files=(rows, SOURCES))
+    assert Counter((r.file_id, r.start_line, r.end_line, r["sum"]) for r in got) == want
+    assert max(r.end_line - r.start_line + 1 for r in got) == 80
