@@ -189,6 +189,12 @@ def j13_hits_with_text(spark, d):
     return fused(spark, d).join(t, "doc_id").select("query", "doc_id", "start")
 
 
+@R.add("j13_hits_with_text_all", _FUSED + " SELECT query, z.doc_id, text FROM z JOIN documents USING (doc_id) WHERE place <= 5")
+def j13_hits_with_text_all(spark, d):
+    """Hits with their whole text (j13_hits_with_text gives 80 characters)."""
+    return fused(spark, d).join(v.load(spark, d, "documents").select("doc_id", "text"), "doc_id").select("query", "doc_id", "text")
+
+
 @R.add("j20_rerank", _FUSED + """, h AS (SELECT query, doc_id, place FROM z WHERE place <= 5), sc AS (SELECT query, doc_id, length(text) AS ln FROM h JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0)
     SELECT h.query, h.doc_id, CAST(row_number() OVER (PARTITION BY h.query ORDER BY sc.ln IS NULL, sc.ln DESC, h.place) AS INTEGER) AS new_place FROM h LEFT JOIN sc ON h.query = sc.query AND h.doc_id = sc.doc_id""")
 def j20_rerank(spark, d):
@@ -205,6 +211,14 @@ def f12_context_text(spark, d):
     return rt.context_text(h, ["query"]).select("query", F.md5("context").alias("sum"))
 
 
+@R.add("f12_context_text_all", _FUSED + " SELECT query, md5(string_agg('### ' || z.doc_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY place)) AS sum FROM z JOIN documents USING (doc_id) WHERE place <= 5 GROUP BY 1")
+def f12_context_text_all(spark, d):
+    """Contexts of whole texts (f12_context_text takes 100 characters of each)."""
+    t = v.load(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.nz(F.col("text")).alias("content"))
+    h = fused(spark, d).join(t, F.col("doc_id") == F.col("id")).withColumn("file_path", F.col("doc_id").cast("string"))
+    return rt.context_text(h, ["query"]).select("query", F.md5("context").alias("sum"))
+
+
 @R.add("m09_history", """
     WITH h AS (SELECT DISTINCT provider_pr_id AS pr_number, repository_id AS repo, id AS ord, title FROM pull_requests),
     l AS (SELECT pr_number, repo, max(ord) AS ord, arg_max(title, ord) AS title FROM h GROUP BY 1, 2) SELECT * FROM l ORDER BY ord DESC LIMIT 500""")

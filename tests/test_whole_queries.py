@@ -69,3 +69,15 @@ def test_boundary_chunks_of_all_languages(spark, tmp_path):
     got = run(spark, tmp_path, "w09_boundary_chunks_all", source_files=(rows, SOURCES))
     assert Counter((r.file_id, r.start_line, r.end_line, r["sum"]) for r in got) == want
     assert max(r.end_line - r.start_line + 1 for r in got) == 80
+
+
+def test_hits_with_whole_texts(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = {i: " ".join([words[i % 5], *(f"w{i}x{k}" for k in range(60)), words[i % 3], f"end{i}"]) for i in range(100, 112)}
+    documents = ([(i, t, "note") for i, t in texts.items()], DOCUMENTS)
+    embeddings = ([(i, [float(i), 0.0]) for i in texts], "vec_id long, embedding array<float>")
+    hits = run(spark, tmp_path, "j13_hits_with_text_all", documents=documents, embeddings=embeddings)
+    assert hits and all(r.text == texts[r.doc_id] and len(r.text) > 100 for r in hits)
+    places = {r.doc_id: r.place for r in entry.queries()["a20_rrf"](spark, str(tmp_path)).collect()}
+    want = hashlib.md5("\n\n".join(f"### {i}\n{texts[i]}" for i in sorted(places, key=places.get)).encode()).hexdigest()
+    assert [(r["query"], r["sum"]) for r in entry.queries()["f12_context_text_all"](spark, str(tmp_path)).collect()] == [(100, want)]
