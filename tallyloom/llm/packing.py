@@ -56,17 +56,34 @@ def _counter(path: str):
 
 
 def _fillings(sizes: list[int], count: dict[int, int], room: int, width: int, depth: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the multiset (sorted distinct ``sizes``), most filled first, at most ``width`` and of up to ``depth`` chosen items.
+    """Undominated fillings of ``room`` from the multiset (sorted distinct ``sizes``), most filled first, at most ``width``; up to ``depth`` items are chosen by search, the rest of a filling by size.
 
     A filling is dominated if another one packs the same or larger items with no more waste. So
     only maximal fillings count (nothing left fits beside them), and of fillings of one item only
     the largest that fits.
     """
     out: list[tuple[int, tuple[int, ...]]] = []
-    least = next((s for s in sizes if count[s]), None)
-    if least is None or least > room:
+    sizes = [s for s in sizes[: bisect_right(sizes, room)] if count[s]]
+    if not sizes:
         return [()]
     budget = 8 * width
+    ends = 8 * width  # fillings that are completed
+
+    def completed(left: int, chosen: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        """The filling with the largest items that still fit, until none does."""
+        nonlocal ends
+        ends -= 1
+        k = bisect_right(sizes, left) - 1
+        while k >= 0:
+            s = sizes[k]
+            n = min(count[s] - chosen.count(s), left // s)
+            if n > 0:
+                chosen += (s,) * n
+                left -= s * n
+                k = bisect_right(sizes, left, 0, k) - 1
+            else:
+                k -= 1
+        return left, chosen
 
     def visit(left: int, top: int, chosen: tuple[int, ...]) -> bool:
         """True when a filling without waste is found: it dominates what could follow."""
@@ -75,7 +92,7 @@ def _fillings(sizes: list[int], count: dict[int, int], room: int, width: int, de
         k = bisect_right(sizes, min(left, top)) - 1
         fits = False
         tried = 0
-        while k >= 0 and budget > 0 and tried < width:
+        while k >= 0 and budget > 0 and ends > 0 and tried < width:
             s = sizes[k]
             if count[s] > chosen.count(s):
                 fits = True
@@ -87,13 +104,14 @@ def _fillings(sizes: list[int], count: dict[int, int], room: int, width: int, de
                     if visit(rest, s, (*chosen, s)):
                         return True
                 else:
-                    out.append((rest, (*chosen, s)))
+                    out.append(completed(rest, (*chosen, s)))
+                    if out[-1][0] == 0:
+                        return True
                 tried += 1
-                if left - s > s * 64:  # too small a size to fill the room within the depth
-                    break
             k -= 1
-        if not fits:
-            out.append((left, chosen))
+        if not fits and ends > 0:
+            out.append(completed(left, chosen))
+            return out[-1][0] == 0
         return False
 
     visit(room, room, ())

@@ -63,6 +63,18 @@ def test_bin_completion_beats_best_fit():
     assert better
 
 
+def test_search_gains_with_seven_items_a_container():
+    """With the width and depth that the operator uses."""
+    better = 0
+    for seed in range(20):
+        rng = random.Random(seed)
+        items = [rng.randint(60, 520) for _ in range(210)]
+        bins = pack_items(items, 2048)
+        assert valid(bins, items, 2048) and len(bins) <= len(best_fit(items, 2048))
+        better += len(bins) < len(best_fit(items, 2048))
+    assert better
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file")
 def test_operator(spark):
     rng = random.Random(2)
