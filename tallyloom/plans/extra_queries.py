@@ -48,6 +48,16 @@ def f24_json_or_words(spark, d):
     return spark.createDataFrame(rows, "id int, s string").select("id", F.array_join(cl.json_or_words(F.col("s")), "|").alias("parts"))
 
 
+@R.add("f24_json_or_words_all", r"""
+    WITH t AS (SELECT event_id, props AS s FROM events),
+    p AS (SELECT event_id, CASE WHEN starts_with(trim(s, ' '), '[') AND json_valid(s) THEN from_json(s, '["VARCHAR"]') ELSE list_filter(regexp_split_to_array(coalesce(s, ''), '\s+'), lambda x: length(x) > 0) END AS a FROM t)
+    SELECT event_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, '|') AS parts FROM p""")
+def f24_json_or_words_all(spark, d):
+    """The properties of every event (f24_json_or_words has five written rows)."""
+    e = v.load(spark, d, "events").select("event_id", cl.json_or_words(F.col("props")).alias("a"))
+    return e.select("event_id", F.size("a").alias("n"), F.array_join("a", "|").alias("parts"))
+
+
 @R.add("f27_icons", with_views("SELECT id, CASE severity WHEN 'error' THEN 'E' WHEN 'warning' THEN 'W' ELSE 'N' END AS icon FROM finds", "finds"))
 def f27_icons(spark, d):
     table = F.create_map(F.lit("error"), F.lit("E"), F.lit("warning"), F.lit("W"))
@@ -66,6 +76,20 @@ def f08_diagram(spark, d):
     return spark.createDataFrame(rows, "id int, t string").select("id", cl.diagram(F.col("t")).alias("d"))
 
 
+_DIAGRAM = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?m)^[ \t]*```\w*[ \t]*$', '', 'g'), '^\s+|\s+$', '', 'g'), '\[([^\["(/\]][^\[\]"]*)\]', '["\1"]', 'g')"""
+
+
+@R.add("f08_diagram_all", f"""
+    WITH t AS (SELECT 'stage' AS source, id, raw_output AS t FROM (SELECT DISTINCT id, raw_output FROM stage_results) UNION ALL SELECT 'document', doc_id, text FROM documents),
+    c AS (SELECT source, id, {_DIAGRAM.format('t')} AS d FROM t)
+    SELECT source, id, CASE WHEN regexp_matches(d, '^(?:{'|'.join(cl.DIAGRAMS)})\\b') THEN d END AS d FROM c""")
+def f08_diagram_all(spark, d):
+    """Diagrams in every model output and document (f08_diagram has two written rows)."""
+    s = v.load(spark, d, "stage_results").select(F.lit("stage").alias("source"), "id", F.col("raw_output").alias("t")).distinct()
+    t = s.unionByName(v.load(spark, d, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("t")))
+    return t.select("source", "id", cl.diagram(F.col("t")).alias("d"))
+
+
 @R.add("f02_prompt", with_views("SELECT id, 'Review ' || coalesce(title, '') || ' by ' || coalesce(author, '') || '.' AS prompt FROM prs", "prs"))
 def f02_prompt(spark, d):
     return cl.prompt_text(v.prs(spark, d), "Review {t} by {a}.", t=F.col("title"), a=F.col("author")).select("id", "prompt")

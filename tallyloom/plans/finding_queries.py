@@ -52,6 +52,18 @@ def p29_tool_severity(spark, d):
     return spark.createDataFrame(rows, "tool string, word string").select("tool", "word", fi.tool_severity(F.col("tool"), F.col("word")).alias("severity"))
 
 
+@R.add("p29_tool_severity_all", """
+    WITH m(tool, word, s) AS (VALUES ('bandit', 'high', 'error'), ('bandit', 'medium', 'warning'), ('bandit', 'low', 'note'), ('bandit', 'undefined', 'note'),
+      ('semgrep', 'error', 'error'), ('semgrep', 'warning', 'warning'), ('semgrep', 'info', 'note'), ('semgrep', 'inventory', 'note'), ('semgrep', 'experiment', 'note'),
+      ('trivy', 'critical', 'error'), ('trivy', 'high', 'error'), ('trivy', 'medium', 'warning'), ('trivy', 'low', 'note'), ('trivy', 'unknown', 'note'), ('mypy', 'error', 'error'), ('mypy', 'warning', 'warning'), ('mypy', 'note', 'note')),
+    r AS (SELECT DISTINCT id, tool_source, severity FROM findings)
+    SELECT r.id, r.tool_source AS tool, coalesce(m.s, 'warning') AS severity FROM r LEFT JOIN m ON lower(r.tool_source) = m.tool AND lower(trim(r.severity, ' ')) = m.word""")
+def p29_tool_severity_all(spark, d):
+    """Tool and word of every finding (p29_tool_severity has nine written rows)."""
+    f = v.load(spark, d, "findings").select("id", "tool_source", "severity").distinct()
+    return f.select("id", F.col("tool_source").alias("tool"), fi.tool_severity(F.col("tool_source"), F.col("severity")).alias("severity"))
+
+
 @R.add("p10_reviewable", r"SELECT DISTINCT file_id FROM source_files WHERE content IS NOT NULL AND lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) NOT IN ('.class', '.pyc', '.lock', '.map', '.svg', '.png', '.pdf', '.jar', '.go')")
 def p10_reviewable(spark, d):
     """Files by extension; the list of extensions is a parameter of the caller."""

@@ -81,3 +81,16 @@ def test_hits_with_whole_texts(spark, tmp_path):
     places = {r.doc_id: r.place for r in entry.queries()["a20_rrf"](spark, str(tmp_path)).collect()}
     want = hashlib.md5("\n\n".join(f"### {i}\n{texts[i]}" for i in sorted(places, key=places.get)).encode()).hexdigest()
     assert [(r["query"], r["sum"]) for r in entry.queries()["f12_context_text_all"](spark, str(tmp_path)).collect()] == [(100, want)]
+
+
+def test_written_rows_are_read_from_tables(spark, tmp_path):
+    props = [(1, '["a", "b c"]'), (2, "run  --fast x"), (3, None), (4, "[broken")]
+    got = run(spark, tmp_path, "f24_json_or_words_all", events=(props, "event_id long, props string"))
+    assert {r.event_id: r.parts for r in got} == {1: "a|b c", 2: "run|--fast|x", 3: "", 4: "[broken"}
+    fenced = '```mermaid\ngraph TD\nA[x y] --> B["z"]\n```'
+    got = run(spark, tmp_path, "f08_diagram_all", stage_results=([(1, fenced), (2, None)], "id long, raw_output string"), documents=([(1, "no diagram", "note"), (7, fenced, "note")], DOCUMENTS))
+    want = 'graph TD\nA["x y"] --> B["z"]'
+    assert {(r.source, r.id): r.d for r in got} == {("stage", 1): want, ("stage", 2): None, ("document", 1): None, ("document", 7): want}
+    rows = [finding(1, 1, "a", "HIGH", "bandit"), finding(2, 1, "a", "medium ", "bandit"), finding(3, 1, "a", "INFO", "semgrep"), finding(4, 1, "a", None, "ruff")]
+    got = run(spark, tmp_path, "p29_tool_severity_all", findings=(rows, FINDINGS))
+    assert {r.id: r.severity for r in got} == {1: "error", 2: "warning", 3: "note", 4: "warning"}
