@@ -72,6 +72,33 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Rounds:
+    """Lineage cuts of a loop: the state of each round is a table written to the shared folder.
+
+    A checkpoint keeps the planner's estimate of its size, and an estimate that multiplies through
+    the joins of every round grows without bound; a written table has its true size.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def cut(self, df: DataFrame, keep: int = 4) -> DataFrame:
+        """``df``, written and read again; tables older than ``keep`` cuts are dropped."""
+        self.folders.append(shared_folder(self.spark, "round"))
+        df.write.parquet(self.folders[-1])
+        while len(self.folders) > keep:
+            drop_folder(self.spark, self.folders.pop(0))
+        return self.spark.read.schema(df.schema).parquet(self.folders[-1])
+
+    def done(self, df: DataFrame | None = None) -> DataFrame | None:
+        """The result as a checkpoint; all tables of the loop are dropped."""
+        out = None if df is None else cut(df)
+        while self.folders:
+            drop_folder(self.spark, self.folders.pop())
+        return out
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, from which the operators size their own."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
