@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.conversations import conversations
+from tallyloom.llm.conversations import conversations, latest_comments, ordered_turns
 from tallyloom.llm.docpairs import documented_functions
 from tallyloom.llm.leakage import leaked
 from tallyloom.llm.packing import TOKENIZER, pack_documents
 from tallyloom.llm.pairs import defective_pairs
 from tallyloom.llm.splitting import split_oversized
 from tallyloom.plans.registry import Registry
+from tallyloom.session import cut
 from tallyloom.tables import load
 
 R = Registry()
 
-
-@R.add(
-    "p1_found",
-    r"""
+_TURNS = r"""
     WITH v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edited_at DESC NULLS LAST, thread_id, author, body) AS k FROM comments WHERE id IS NOT NULL),
     c AS (SELECT id, thread_id, author, created_at, coalesce(is_bot, false) OR coalesce(lower(regexp_replace(author, '[\s\p{Z}]+$', '')) LIKE '%[bot]', false) AS bot,
                  length(regexp_replace(coalesce(body, ''), '[\p{Z}\p{C}\s]', '', 'g')) > 0 AS is_turn,
@@ -30,13 +28,31 @@ R = Registry()
     h AS (SELECT thread_id FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE NOT bot) > 0 AND bool_or(bot AND back = 1))
     SELECT thread_id, CAST(turn AS INTEGER) AS turn, id AS comment_id, CASE WHEN bot THEN 'assistant' ELSE 'user' END AS role
     FROM t WHERE thread_id IN (SELECT thread_id FROM g) AND thread_id IN (SELECT thread_id FROM h) AND thread_id IN (SELECT id FROM comment_threads)
-    """,
-)
+    """
+
+
+@R.add("p1_found", _TURNS)
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     """Turns of every whole conversation of the comments."""
     return conversations(load(spark, directory, "comments"), load(spark, directory, "comment_threads"))
 
 
+#: Threads in which the first turn and a later last one have the same sender: their links are made contradictory.
+_CONTRADICTORY = """thread_id IN (SELECT thread_id FROM (SELECT thread_id, arg_min(lower(trim(author)), (created_at, id)) AS a, arg_max(lower(trim(author)), (created_at, id)) AS z, min(created_at) AS f, max(created_at) AS l FROM t GROUP BY 1) WHERE a = z AND l > f)"""
+
+
+@R.add("p1_skewed", _TURNS.rstrip() + f" AND NOT {_CONTRADICTORY}")
+def p1_skewed(spark: SparkSession, directory: str) -> DataFrame:
+    """The conversations from skewed clocks: each sender's clock is put wrong by up to 20 minutes, and reply links bring the true order back.
+
+    The links are those of each turn to the one before it. Threads whose last turn is by the sender
+    of the first get a link from the last to the first as well: no clocks can meet it, so they are
+    rejected.
+    """
+    comments, threads = load(spark, directory, "comments"), load(spark, directory, "comment_threads")
+    return conversations(skewed(comments), threads, chained(comments, ordered_turns(comments, threads)[0]))
+
+
 @R.add("p6_containers")
 def p6_containers(spark: SparkSession, directory: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Every non-blank document in a container of 2,048 tokens."""
@@ -49,6 +65,23 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked(load(spark, directory, "documents"), load(spark, directory, "eval_items")).select("doc_id", "item_id")
 
 
+def skewed(comments: DataFrame) -> DataFrame:
+    """The comments as clocks show them that are wrong by -20 to 20 minutes, the same for all comments of an author."""
+    minutes = (F.length(F.lower(F.trim("author"))) % 5 - 2) * 10
+    return comments.withColumn("created_at", F.coalesce(F.col("created_at") + F.make_dt_interval(mins=minutes), "created_at"))
+
+
+def chained(comments: DataFrame, turns: DataFrame) -> DataFrame:
+    """(earlier_id, later_id): each turn after the one before it, and the planted contradictions."""
+    t = cut(turns)
+    before = t.select(F.col("thread_id").alias("th"), (F.col("turn") + 1).alias("next"), F.col("id").alias("earlier_id"))
+    links = t.join(before, (F.col("thread_id") == F.col("th")) & (F.col("turn") == F.col("next"))).select("earlier_id", F.col("id").alias("later_id"))
+    who = latest_comments(comments).select(F.col("id").alias("comment_id"), F.lower(F.trim("author")).alias("sender"), "created_at")
+    ends = t.join(who, F.col("id") == F.col("comment_id")).groupBy("thread_id").agg(*[f(F.struct("comment_id", "sender", "created_at"), "turn").alias(k) for k, f in (("a", F.min_by), ("z", F.max_by))])
+    wrong = ends.filter("a.sender = z.sender and z.created_at > a.created_at").select(F.col("z.comment_id").alias("earlier_id"), F.col("a.comment_id").alias("later_id"))
+    return cut(links.unionByName(wrong))
+
+
 @R.add(
     "p8_found",
     r"""

@@ -3,7 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
-from tallyloom.llm.conversations import clock_offsets, conversations
+import tallyloom.llm.conversations as module
+from tallyloom.llm.conversations import clock_offsets, conversations, sender_clocks
 
 C = "id long, thread_id long, author string, body string, is_bot boolean, created_at timestamp, edited_at timestamp, turn int, known string"
 T0 = datetime(2025, 1, 1, 12)
@@ -88,3 +89,24 @@ def test_infeasible_links_are_rejected(spark):
 def test_offsets_are_none_when_all_holds(spark):
     df = spark.createDataFrame([(1, "a", "b", 3.0)], "thread long, si string, sj string, gap double")
     assert clock_offsets(df) is None
+
+
+def test_quotes_are_constraints(spark):
+    """Replies quote what a slow clock shows as later: the offset comes from the quotations alone, a contradictory thread is rejected."""
+    rows = []
+    for th in range(1, 8):
+        rows.append(row(10 * th, th, "ann", f"Why is lock number {th} taken?\nIt is slow.", at=7000 * th))
+        rows.append(row(10 * th + 1, th, "b[bot]", f"> Why is lock number  {th} taken?\n\nIt guards the map.", at=7000 * th + 30 - 900))
+    rows += [row(90, 9, "ann", "> the last word\nthe first word", at=0), row(91, 9, "ann", "> the first word\nthe last word", at=50), row(92, 9, "b[bot]", "yes", at=5000)]
+    got = run(spark, rows)
+    assert got == {th: [(10 * th, "user"), (10 * th + 1, "assistant")] for th in range(1, 8)}
+    c = spark.createDataFrame(rows, C)
+    t = spark.createDataFrame([(x,) for x in range(1, 10)], "id long")
+    clocks = {r.sender: r.offset for r in sender_clocks(c, t).collect()}
+    assert clocks["b[bot]"] - clocks["ann"] >= 870 - 0.5
+
+
+def test_salted_senders_equal_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_SENDERS", 0)
+    monkeypatch.setattr(module, "BROADCAST_LINES", 0)
+    test_quotes_are_constraints(spark)
