@@ -1,33 +1,44 @@
 """Texts packed into containers of fixed capacity by bin completion.
 
 Token counts come from a public tokenizer; only (id, count) travels on. Texts over the capacity are
-cut into full pieces and a rest. Items are dealt to shards so that every shard has a like mix of
-sizes, and each shard is packed by bin completion: the largest item left opens a container, the
-undominated fillings of the room beside it are enumerated, most room filled first, and branches
-are pruned by the bound on waste: what the containers so far leave empty may not exceed what the
-best solution so far (best fit at first) leaves. A shard costs at most one container more than one
-pack of everything would, so shards of ``shard_items`` items waste a negligible part.
+cut into full pieces and a rest. Items are ranked by size and dealt to shards of ``shard_items``, so
+all shards have a like mix of sizes and are small enough for a search. Each shard is packed by bin
+completion: the largest item left opens a container, the fillings of the room beside it are
+enumerated, least waste first, dominated ones are skipped, and a branch ends where the waste so far
+exceeds what a solution as good as the best one may have. Best fit gives the incumbent.
+
+The containers of a shard with most room left, at most one in eight, aren't kept: their items go to
+the next level, where they are dealt anew to an eighth as many shards, until one shard is left. So
+what many small shards would leave half empty is filled, and only the last shard has a rest.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.runs import runs
-from tallyloom.session import cut
+from tallyloom.operators.ranking import distributed_rank
+from tallyloom.session import cut, shuffle_parts
 
 #: Where the public vocabulary files lie, unless a path is given.
 TOKENIZER = os.environ.get("TALLYLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: One container in so many of a shard, those with most room left, is opened again at the next level.
+AGAIN = 8
+#: Items per task, beyond the session's number of shuffle partitions.
+PART_ITEMS = 500_000
 #: Fixed value: the split pattern that belongs to that public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,68 +66,62 @@ def _counter(path: str):
     return kernel
 
 
-def _fillings(sizes: list[int], count: dict[int, int], room: int, width: int, depth: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the multiset (sorted distinct ``sizes``), most filled first, at most ``width``; up to ``depth`` items are chosen by search, the rest of a filling by size.
+def _reachable(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
+    """Of each suffix of ``sizes`` the sums up to ``room`` that its items make, as bits of one integer."""
+    mask = (1 << (room + 1)) - 1
+    out = [1] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        sums, s, n = out[k + 1], sizes[k], min(count[sizes[k]], room // sizes[k])
+        step = 1
+        while n > 0:  # 1, 2, 4, ... items at once
+            m = min(step, n)
+            sums |= (sums << (s * m)) & mask
+            n -= m
+            step *= 2
+        out[k] = sums
+    return out
+
+
+def _exact(sizes: list[int], count: dict[int, int], sums: list[int], target: int) -> Iterator[tuple[int, ...]]:
+    """All multisets of items that sum up to ``target``, the largest items first; the bits of ``sums`` leave no dead ends."""
+    stack = [(0, target, ())]
+    while stack:
+        k, left, chosen = stack.pop()
+        if not left:
+            yield chosen
+            continue
+        s = sizes[k]
+        for n in range(0, min(count[s], left // s) + 1):  # the last pushed, with most of the largest, comes first
+            if (sums[k + 1] >> (left - n * s)) & 1:
+                stack.append((k + 1, left - n * s, chosen + (s,) * n))
+
 
-    A filling is dominated if another one packs the same or larger items with no more waste. So
-    only maximal fillings count (nothing left fits beside them), and of fillings of one item only
-    the largest that fits.
+def _dominated(filling: tuple[int, ...], waste: int, others: int) -> bool:
+    """Whether an item left out (bits of ``others``) could replace a smaller item, or several items, of the filling and still fit.
+
+    The container so changed packs at least as much and leaves items over that are no harder to pack.
     """
-    out: list[tuple[int, tuple[int, ...]]] = []
-    sizes = [s for s in sizes[: bisect_right(sizes, room)] if count[s]]
-    if not sizes:
-        return [()]
-    budget = 8 * width
-    ends = 8 * width  # fillings that are completed
-
-    def completed(left: int, chosen: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
-        """The filling with the largest items that still fit, until none does."""
-        nonlocal ends
-        ends -= 1
-        k = bisect_right(sizes, left) - 1
-        while k >= 0:
-            s = sizes[k]
-            n = min(count[s] - chosen.count(s), left // s)
-            if n > 0:
-                chosen += (s,) * n
-                left -= s * n
-                k = bisect_right(sizes, left, 0, k) - 1
-            else:
-                k -= 1
-        return left, chosen
-
-    def visit(left: int, top: int, chosen: tuple[int, ...]) -> bool:
-        """True when a filling without waste is found: it dominates what could follow."""
-        nonlocal budget
-        budget -= 1
-        k = bisect_right(sizes, min(left, top)) - 1
-        fits = False
-        tried = 0
-        while k >= 0 and budget > 0 and ends > 0 and tried < width:
-            s = sizes[k]
-            if count[s] > chosen.count(s):
-                fits = True
-                rest = left - s
-                if rest == 0:
-                    out.append((0, (*chosen, s)))
-                    return True
-                if len(chosen) + 1 < depth:
-                    if visit(rest, s, (*chosen, s)):
-                        return True
-                else:
-                    out.append(completed(rest, (*chosen, s)))
-                    if out[-1][0] == 0:
-                        return True
-                tried += 1
-            k -= 1
-        if not fits and ends > 0:
-            out.append(completed(left, chosen))
-            return out[-1][0] == 0
-        return False
-
-    visit(room, room, ())
-    out.sort(key=lambda e: (e[0], len(e[1])))
-    return list(dict.fromkeys(c for _, c in out))[:width]
+    one = several = 0
+    for y in filling:
+        several |= (several << y) | (one << y)
+        one |= 1 << y
+    return any(((several << w) | ((one << w) if w else 0)) & others for w in range(waste + 1))
+
+
+def _fillings(count: dict[int, int], room: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, items) of the undominated fillings of ``room`` from the multiset ``count``, least waste first, lazily and without a limit."""
+    sizes = sorted((s for s, n in count.items() if n and s <= room), reverse=True)
+    sums = _reachable(sizes, count, room)
+    for waste in range(room + 1):
+        if not (sums[0] >> (room - waste)) & 1:
+            continue
+        for filling in _exact(sizes, count, sums, room - waste):
+            others = 0
+            for s in sizes:
+                if count[s] > filling.count(s):
+                    others |= 1 << s
+            if not _dominated(filling, waste, others) and not (others & ((1 << (waste + 1)) - 1)):
+                yield waste, filling
 
 
 def best_fit(items: list[int], capacity: int) -> list[list[int]]:
@@ -135,91 +140,102 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_items(items: list[int], capacity: int, nodes: int = 20_000, width: int = 6) -> list[list[int]]:
-    """Containers (lists of item numbers) that hold all ``items`` (0 < size <= capacity), by bin completion within ``nodes`` search nodes.
+def least_containers(items: list[int], capacity: int) -> int:
+    """A lower bound: for any threshold, items too large to share, those over half, and what is left of the rest beside these."""
+    big = sorted(items, reverse=True)
+    sums = [0, *accumulate(big)]
+    half = sum(2 * x > capacity for x in big)
+    best = half
+    for a in {0, *(x for x in big if 2 * x <= capacity)}:
+        alone = sum(x > capacity - a for x in big)
+        last = sum(x >= a for x in big)
+        room = (half - alone) * capacity - (sums[half] - sums[alone]) if half > alone else 0
+        best = max(best, max(half, alone) + max(0, -(-(sums[last] - sums[max(half, alone)] - room) // capacity)))
+    return best
+
 
-    Stops at the lower bound ceil(total / capacity); otherwise the best solution found, never
-    worse than best fit decreasing.
+def pack_items(items: list[int], capacity: int, nodes: int | None = 1_000) -> tuple[list[list[int]], bool]:
+    """(containers, searched): containers (lists of item numbers) that hold all ``items`` (0 < size <= capacity).
+
+    Bin completion within ``nodes`` containers opened, without a limit where None: then the number
+    of containers is the least one. ``searched`` tells that the containers are those of the search;
+    otherwise it found nothing as good as best fit decreasing, which then stands.
     """
     if not items:
-        return []
-    best = best_fit(items, capacity)
-    bound = -(-sum(items) // capacity)
-    bound = max(bound, sum(2 * x > capacity for x in items))
-    if len(best) == bound:
-        return best
+        return [], True
+    best, searched = best_fit(items, capacity), False
+    bound = least_containers(items, capacity)
+    total = sum(items)
     by_size: dict[int, list[int]] = defaultdict(list)
     for i in sorted(range(len(items)), reverse=True):
         by_size[items[i]].append(i)
-    sizes = sorted(by_size)
-    count = {s: len(by_size[s]) for s in sizes}
-    limit = len(best)
-    spare = (limit - 1) * capacity - sum(items)  # waste that a better solution may have
+    count = {s: len(v) for s, v in by_size.items()}
+    order = sorted(count, reverse=True)
+    limit = len(best) + 1  # a solution as good as best fit is taken
+    spare = (limit - 1) * capacity - total
     plan: list[tuple[int, ...]] = []
-    waste = 0
-    left_items = len(items)
-    stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
-    top = len(sizes) - 1
-    used = 0
-
-    def open_node() -> tuple[int, Iterator[tuple[int, ...]]]:
-        k = len(sizes) - 1 if not stack else top
-        while k >= 0 and not count[sizes[k]]:
-            k -= 1
-        s = sizes[k]
+    waste, left, used = 0, len(items), 0
+
+    def options() -> Iterator[tuple[int, tuple[int, ...]]]:
+        s = next(x for x in order if count[x])
         count[s] -= 1
-        fill = _fillings(sizes, count, capacity - s, width)
+        rest = {x: n for x, n in count.items() if n}
         count[s] += 1
-        return s, iter(fill)
+        return ((w, (s, *f)) for w, f in _fillings(rest, capacity - s))
 
-    stack.append(open_node())
-    while stack and used < nodes:
+    stack = [options()]
+    while stack and (nodes is None or used < nodes):
         used += 1
-        s, options = stack[-1]
         if len(plan) == len(stack):  # undo what this node chose before
             chosen = plan.pop()
             waste -= capacity - sum(chosen)
+            left += len(chosen)
             for x in chosen:
                 count[x] += 1
-            left_items += len(chosen)
-            top = len(sizes) - 1
-        fill = next(options, None)
-        if fill is None:
+        w, chosen = next(stack[-1], (None, ()))
+        if w is None or waste + w > spare and left > len(chosen):  # what follows wastes as much or more
             stack.pop()
             continue
-        chosen = (s, *fill)
-        free = capacity - sum(chosen)
-        if waste + free > spare and left_items > len(chosen):
-            continue  # the bound on waste
         for x in chosen:
             count[x] -= 1
-        left_items -= len(chosen)
-        waste += free
+        left -= len(chosen)
+        waste += w
         plan.append(chosen)
-        if not left_items:
-            pools = {z: list(v) for z, v in by_size.items()}
-            found = [[pools[x].pop() for x in c] for c in plan]
-            if len(found) < limit:
-                best, limit = found, len(found)
-                if limit == bound:
-                    break
-                spare = (limit - 1) * capacity - sum(items)
+        if left:
+            if len(plan) + 1 >= limit:
+                stack.append(iter(()))
+            else:
+                stack.append(options())
             continue
-        stack.append(open_node())
-    return best
+        if len(plan) < limit:
+            pools = {z: list(v) for z, v in by_size.items()}
+            best, searched, limit = [[pools[x].pop() for x in c] for c in plan], True, len(plan)
+            if limit == bound:
+                break
+            spare = (limit - 1) * capacity - total
+    return best, searched
 
 
-def _pack_shards(capacity: int, nodes: int):
+def _pack_shards(capacity: int, nodes: int | None, last: bool):
+    """Containers of whole shards, numbered within the partition; those whose items go to the next level have a negative number."""
+
     def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        at_most = 0
         for frame in runs(batches, ["shard"]):
-            for shard, f in frame.groupby("shard", sort=True):
+            for _, f in frame.groupby("shard", sort=True):
                 f = f.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True])
-                bins = pack_items([int(x) for x in f["size"]], capacity, nodes)
+                sizes = [int(x) for x in f["size"]]
+                bins, searched = pack_items(sizes, capacity, nodes)
+                free = [capacity - sum(sizes[i] for i in members) for members in bins]
+                again = set() if last else {b for b in sorted(range(len(bins)), key=lambda b: (-free[b], b))[: max(1, len(bins) // AGAIN)] if free[b]}
                 at = [0] * len(f)
                 for b, members in enumerate(bins):
+                    no = -1 if b in again else at_most
+                    at_most += b not in again
                     for i in members:
-                        at[i] = b
-                yield pd.DataFrame({"shard": shard, "bin": at, "doc_id": f["doc_id"].to_numpy(), "piece": f["piece"].to_numpy(), "size": f["size"].to_numpy(), "first_token": f["first_token"].to_numpy()})
+                        at[i] = no
+                yield pd.DataFrame({"part": part, "bin": at, "searched": searched, "doc_id": f["doc_id"].to_numpy(), "piece": f["piece"].to_numpy(), "size": f["size"].to_numpy(), "first_token": f["first_token"].to_numpy()})
 
     return kernel
 
@@ -230,31 +246,56 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return docs.mapInArrow(_counter(tokenizer), "doc_id long, tokens long")
 
 
-def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, shard_items: int = 20_000, nodes: int = 20_000) -> DataFrame:
+def _numbered(rows: DataFrame, keys: list[str], top: Column, start: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``container`` = ``start`` + their ``no`` + the containers of the partitions before (``top`` by ``keys``), and the next free number."""
+    sizes = rows.groupBy(*keys).agg(top.alias("n"))
+    ahead = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.coalesce(F.sum("n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # one row per partition
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
+    used = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("u")).first().u
+    return rows.join(F.broadcast(ahead), same).withColumn("container", F.lit(start) + F.col("ahead") + F.col("no")), start + used
+
+
+def pack_sizes(items: DataFrame, capacity: int, shard_items: int = 256, nodes: int | None = 1_000) -> DataFrame:
+    """(doc_id, piece, size, first_token, level, part, no, searched): items (doc_id, piece, size, first_token) in containers, by levels.
+
+    A container is one (level, part, no); ``searched`` tells that its shard's containers come from the search.
+    """
+    spark = items.sparkSession
+    out: DataFrame | None = None
+    level = 0
+    todo = items
+    while True:
+        n = todo.count()
+        shards = max(1, -(-n // shard_items))
+        parts = max(1, min(shards, max(shuffle_parts(spark), n // PART_ITEMS)))
+        dealt = distributed_rank(todo, [], ["size", "doc_id", "piece"], "rank").withColumn("shard", (F.col("rank") - 1) % shards)
+        packed = dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(_pack_shards(capacity, nodes, shards == 1), "part int, bin long, searched boolean, doc_id long, piece int, size long, first_token long")
+        packed = cut(packed)
+        kept = packed.filter("bin >= 0").select("doc_id", "piece", "size", "first_token", F.lit(level).alias("level"), "part", F.col("bin").alias("no"), "searched")
+        out = kept if out is None else out.unionByName(kept)
+        if shards == 1:
+            return out
+        todo = packed.filter("bin < 0").select("doc_id", "piece", "size", "first_token")
+        level += 1
+
+
+def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, shard_items: int = 256, nodes: int | None = 1_000) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, container): every non-blank text in a container of ``capacity`` tokens.
 
     ``piece`` is 1 for a text that fits; a longer text is cut into full containers, and its rest
     is packed like any item. Containers count from 0 without gaps. Null and blank texts and null
     ids have no row; an id given twice is packed once per distinct token count (repeated rows
-    once). Deterministic for the same rows. Empty tables give no rows.
+    once). Deterministic for the same rows and settings. Empty tables give no rows.
     """
     counted = cut(token_counts(documents, tokenizer).distinct())
     full = F.floor(F.col("tokens") / capacity).cast("int")
-    rest = F.col("tokens") - full * capacity
-    pieces = counted.select("doc_id", F.explode(F.concat(
+    pieces = counted.select("doc_id", F.explode(
         F.transform(F.sequence(F.lit(0), full), lambda k: F.struct((k + 1).cast("int").alias("piece"), (k * capacity).cast("long").alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - k * capacity).alias("size"))),
-    )).alias("p")).select("doc_id", "p.*").filter("size > 0")
-    whole = pieces.filter(F.col("size") == capacity)
-    part = pieces.filter(F.col("size") < capacity)
-    shards = max(1, -(-counted.count() // shard_items))
-    dealt = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    packed = cut(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(_pack_shards(capacity, nodes), "shard int, bin long, doc_id long, piece int, size long, first_token long"))
-    per_shard = packed.groupBy("shard").agg((F.max("bin") + 1).alias("bins"))
-    before = per_shard.select(F.col("shard").alias("sh"), F.coalesce(F.sum("bins").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per shard
-    shared = packed.join(before, F.col("shard") == F.col("sh")).select("doc_id", "piece", "first_token", F.col("size").alias("n_tokens"), (F.col("before") + F.col("bin")).alias("container"))
-    # Full pieces fill a container each; they are numbered behind the shared ones, by partition offsets.
-    used = per_shard.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("u")).collect()[0].u
-    alone = cut(whole.withColumn("__at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("__at", 33)).withColumn("no", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))))
-    ahead = alone.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("pt"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # one row per partition
-    own = alone.join(ahead, F.col("part") == F.col("pt")).select("doc_id", "piece", "first_token", F.col("size").alias("n_tokens"), (F.lit(used) + F.col("ahead") + F.col("no")).alias("container"))
-    return shared.unionByName(own)
+    ).alias("p")).select("doc_id", "p.*").filter("size > 0")
+    shared, used = _numbered(pack_sizes(pieces.filter(F.col("size") < capacity), capacity, shard_items, nodes), ["level", "part"], F.max("no") + 1, 0)
+    # Full pieces fill a container each; they are numbered behind the shared ones.
+    alone = cut(pieces.filter(F.col("size") == capacity).withColumn("__at", F.monotonically_increasing_id()))
+    alone = alone.withColumn("part", F.shiftright("__at", 33)).withColumn("no", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    own, _ = _numbered(alone, ["part"], F.max("no") + 1, used)
+    columns = ["doc_id", "piece", "first_token", F.col("size").alias("n_tokens"), "container"]
+    return shared.select(*columns).unionByName(own.select(*columns))
