@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.conversations import conversations, latest_comments, ordered_turns
@@ -100,6 +101,30 @@ def p8_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split_oversized(load(spark, directory, "documents"))
 
 
+@R.add("p8_bpe_pieces")
+def p8_bpe_pieces(spark: SparkSession, directory: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The like with the tokens of the public byte-level vocabulary."""
+    return split_oversized(load(spark, directory, "documents"), tokenizer=tokenizer)
+
+
+@R.add(
+    "p8_rejoined",
+    r"""
+    SELECT DISTINCT doc_id, md5(text) AS text_md5, true AS in_order, true AS within_limit, true AS overlaps FROM documents
+    WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]+')) > 512
+    """,
+)
+def p8_rejoined(spark: SparkSession, directory: str) -> DataFrame:
+    """Each text put together again from its pieces: its checksum, and whether order, limit and overlap hold."""
+    p = split_oversized(load(spark, directory, "documents").select("doc_id", "text").distinct())
+    before = F.lag("end_char").over(W.partitionBy("doc_id").orderBy("piece"))  # the pieces of one document
+    p = p.withColumn("before", F.coalesce(before, F.lit(0)))
+    new = F.substring(F.col("text"), F.col("before") - F.col("start_char") + 1, F.length("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", new.alias("new")))), lambda x: x["new"]), "")
+    ok = [F.bool_and((F.col("start_char") <= F.col("before")) & (F.col("before") < F.col("end_char"))), F.bool_and(F.col("n_tokens") <= 512), F.bool_and((F.col("piece") == 1) | F.col("n_repeated").between(48, 64))]
+    return p.groupBy("doc_id").agg(F.md5(whole).alias("text_md5"), *[c.alias(n) for c, n in zip(ok, ("in_order", "within_limit", "overlaps"))])
+
+
 @R.add("p3_found")
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Functions whose own documentation, directly above or inside, says something."""
