@@ -1,23 +1,25 @@
 """Functions paired with their documentation.
 
 Every source file is parsed (``sourceparse``) into functions with signature and documentation and
-into class hierarchies. Documentation that is missing, only an inherit tag, or says nothing is
-resolved along the hierarchy: undocumented methods are joined with the methods of the same name in
-the bases of their class, level by level, until nothing is left to resolve; what stays unresolved
-is dropped.
+into class hierarchies. A base is the class of that name in the same file, else the only one in the
+same folder, else the only one in the same repository. Every function then looks for documentation:
+first its own, then, level by level, that of the method of its name in the bases of its class, until
+no class is left that wasn't visited. Documentation that is missing, only an inherit tag, or says
+nothing doesn't count; a function without any is dropped.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.sourceparse import language_of, parse
-from tallyloom.session import cut
+from tallyloom.session import Rounds
 
 #: What marks documentation still to be written, or left out.
 _PLACEHOLDERS = (
@@ -26,6 +28,7 @@ _PLACEHOLDERS = (
     r"(?:none|null|nil|undocumented|unknown|placeholder|lorem ipsum.*|_?(?:summary|description|type|doc|docs|docstring|documentation|comment|text|name)_?)",
     r"(?:please\s+)?(?:add|insert|write|provide|put|enter|fill in|fill out|complete|supply|give|type|describe|document)\b.*\b(?:doc|docs|documentation|docstring|description|comment|summary|details|text|here|later|me|this|it)\b.*",
     r"(?:please\s+)?document (?:me|this|it)\b.*",
+    r"(?:see|cf\.?) (?:above|below|elsewhere|there|code|source)|(?:still )?(?:a )?work in progress\b.*|(?:old|new|first|draft|temporary) version|(?:more|details|docs) (?:later|soon)|(?:come|check) back later",
     r"(?:this is an? )?auto[- ]?generated\b.*",
     r"(?:this |the )?(?:comment|docstring|documentation|description|doc|block|page)s? (?:is |was )?(?:intentionally |deliberately )?(?:left )?(?:blank|empty|missing|pending|needed|required)\b.*",
     r"(?:no|missing|needs?) (?:documentation|description|docstring|docs?|comments?)\b.*",
@@ -136,36 +139,72 @@ def parse_sources(files: DataFrame) -> DataFrame:
     return f.mapInArrow(_kernel, _SYMBOLS)
 
 
-def documented_functions(files: DataFrame, levels: int = 32) -> DataFrame:
-    """(file_id, qualified_name, signature, docstring, doc_from): functions with documentation worth the name.
+def _base_edges(classes: DataFrame) -> DataFrame:
+    """(file_id, cls, pos, to_file, to_cls): the class that each declared base is, in the order of declaration.
 
-    ``doc_from`` is ``own``, or the class from which a method's documentation is inherited: that of
-    the nearest base, in the same repository, that documents a method of the same name. A file
-    delivered twice under one id counts once; copies under other ids count. Of several functions of
-    one qualified name in a file the first with own documentation stands. Empty tables give no rows.
+    ``classes`` are (scope, folder, module, file_id, cls, simple, bases). Names are looked up in
+    tables with one row per name, so a name that many classes share makes no pairs. A name that
+    stands for several classes of a folder or repository stands for none.
     """
-    parsed = cut(parse_sources(files).distinct())
+    asked = classes.select("scope", "folder", "file_id", "cls", F.posexplode("bases").alias("pos", "base")).filter("length(base) > 0")
+    asked = asked.select("*", F.element_at(F.split("base", r"\."), -1).alias("last"))
+    target = F.struct("module", "file_id", "cls")
+
+    def named(*keys: str) -> DataFrame:
+        one = classes.groupBy(*keys, "simple").agg(F.min(target).alias("t"), (F.min(F.struct("module", "cls")) == F.max(F.struct("module", "cls"))).alias("only"))
+        return one.filter("only").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("simple").alias("__simple"), "t")
+
+    out = asked
+    for level, keys in enumerate((("file_id",), ("scope", "folder"), ("scope",))):
+        same = F.col("last") == F.col("__simple")
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"__{k}"))
+        out = out.join(named(*keys), same, "left").withColumnRenamed("t", f"t{level}").drop("__simple", *[f"__{k}" for k in keys])
+    out = out.withColumn("t", F.coalesce("t0", "t1", "t2")).filter("t is not null and not (t.file_id = file_id and t.cls = cls)")
+    return out.select("file_id", "cls", "pos", F.col("t.file_id").alias("to_file"), F.col("t.cls").alias("to_cls")).distinct()
+
+
+def documented_functions(files: DataFrame) -> DataFrame:
+    """(file_id, qualified_name, signature, docstring, doc_from, depth): functions with documentation worth the name.
+
+    ``depth`` is 0 and ``doc_from`` is ``own`` for a function's own documentation; else they tell how
+    many levels up, and in which class, a method of the same name documents it: the nearest base
+    first, of several at one level the one declared first. A file delivered twice under one id
+    counts once; copies under other ids count. Of several functions of one qualified name in a file
+    the first with own documentation stands. Files without a repository resolve within themselves.
+    Cycles of classes end, as no class is visited twice for one function. Empty tables give no rows.
+    """
+    kept = Rounds(files.sparkSession)
+    parsed = kept.cut(parse_sources(files).distinct(), keep=99)
     qualified = F.concat_ws(".", F.when(F.length("module") > 0, F.col("module")), F.when(F.length("cls") > 0, F.col("cls")), "name")
     functions = parsed.filter("kind = 'function'").withColumn("qualified_name", qualified)
-    own = functions.filter("state = 'own'").groupBy("file_id", "qualified_name").agg(F.min_by(F.struct("signature", "docstring"), F.struct("line_start", "signature", "docstring")).alias("f"))
-    out = own.select("file_id", "qualified_name", "f.signature", "f.docstring", F.lit("own").alias("doc_from"))
-
-    classes = parsed.filter("kind = 'class'").select("repository_id", F.col("name").alias("class"), F.explode("bases").alias("base")).distinct()
-    simple = F.element_at(F.split("cls", r"\."), -1)
-    todo = functions.filter("state <> 'own' and cls <> ''").select("file_id", "repository_id", "qualified_name", "signature", "name", simple.alias("at"), "line_start")
-    todo = todo.join(own.select("file_id", "qualified_name"), ["file_id", "qualified_name"], "left_anti")
-    known = functions.filter("state = 'own' and cls <> ''").groupBy(F.col("repository_id").alias("r"), simple.alias("c"), F.col("name").alias("m")).agg(F.min(F.struct("docstring")).alias("d"))
-    if not classes.limit(1).count():
-        return out
-    classes, known, todo = cut(classes), cut(known), cut(todo)
-    for _ in range(levels):
-        up = todo.join(classes.withColumnRenamed("repository_id", "r0"), (F.coalesce("repository_id", F.lit(-1)) == F.coalesce("r0", F.lit(-1))) & (F.col("at") == F.col("class")))
-        up = up.filter("base <> at").select("file_id", "repository_id", "qualified_name", "signature", "name", F.col("base").alias("at"), "line_start").distinct()
-        met = cut(up.join(known, (F.coalesce("repository_id", F.lit(-1)) == F.coalesce("r", F.lit(-1))) & (F.col("at") == F.col("c")) & (F.col("name") == F.col("m")), "left"))
+    said = F.struct("signature", "docstring")
+    own = functions.filter("state = 'own'").groupBy("file_id", "qualified_name").agg(F.min_by(said, F.struct("line_start", "signature", "docstring")).alias("f"))
+    columns = ["file_id", "qualified_name", "signature", "docstring", "doc_from", "depth", "path", "line_start"]
+    resolved = [own.select("file_id", "qualified_name", "f.*", F.lit("own").alias("doc_from"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("line_start"))]
+
+    scope = F.coalesce(F.concat(F.lit("r"), F.col("repository_id").cast("string")), F.concat(F.lit("f"), F.col("file_id").cast("string")))
+    classes = parsed.filter("kind = 'class'").select(scope.alias("scope"), F.regexp_extract("module", r"^(.*)\.[^.]*$", 1).alias("folder"), "module", "file_id", "cls", F.col("name").alias("simple"), "bases").distinct()
+    edges = kept.cut(_base_edges(classes), keep=99)
+    known = functions.filter("state = 'own' and cls <> ''").groupBy(F.col("file_id").alias("kf"), F.col("cls").alias("kc"), F.col("name").alias("km")).agg(F.min_by("docstring", F.struct("line_start", "docstring")).alias("inherited"))
+    todo = functions.filter("state <> 'own' and cls <> ''").join(own.select("file_id", "qualified_name"), ["file_id", "qualified_name"], "left_anti")
+    todo = todo.select("file_id", "qualified_name", "signature", "name", "line_start", F.col("file_id").alias("at_file"), F.col("cls").alias("at_cls"), F.array().cast("array<int>").alias("path"))
+    seen = todo.select("file_id", "qualified_name", "at_file", "at_cls").distinct()
+    depth = 0
+    while todo is not None:
+        depth += 1
+        bases = edges.select(F.col("file_id").alias("ef"), F.col("cls").alias("ec"), "pos", "to_file", "to_cls")
+        up = todo.join(bases, (F.col("at_file") == F.col("ef")) & (F.col("at_cls") == F.col("ec")))
+        up = up.select("file_id", "qualified_name", "signature", "name", "line_start", F.col("to_file").alias("at_file"), F.col("to_cls").alias("at_cls"), F.concat("path", F.array("pos")).alias("path"))
+        up = up.join(seen, ["file_id", "qualified_name", "at_file", "at_cls"], "left_anti")
+        up = up.groupBy("file_id", "qualified_name", "at_file", "at_cls", "name").agg(F.min(F.struct("path", "line_start", "signature")).alias("s")).select("file_id", "qualified_name", "at_file", "at_cls", "name", "s.*")
+        met = kept.cut(up.join(known, (F.col("at_file") == F.col("kf")) & (F.col("at_cls") == F.col("kc")) & (F.col("name") == F.col("km")), "left").drop("kf", "kc", "km"), keep=99)
         if not met.limit(1).count():
             break
-        hit = met.filter("d is not null").groupBy("file_id", "qualified_name").agg(F.min_by(F.struct("signature", F.col("d.docstring").alias("docstring"), F.col("at").alias("doc_from")), F.struct("line_start", "at", "signature")).alias("f"))
-        hit = cut(hit.select("file_id", "qualified_name", "f.*"))
-        out = out.unionByName(hit)
-        todo = met.filter("d is null").select(*todo.columns).join(hit.select("file_id", "qualified_name"), ["file_id", "qualified_name"], "left_anti").select(*todo.columns)
-    return out
+        hit = met.filter("inherited is not null").select("file_id", "qualified_name", "signature", F.col("inherited").alias("docstring"), F.col("at_cls").alias("doc_from"), F.lit(depth).alias("depth"), "path", "line_start")
+        resolved.append(hit)
+        seen = seen.unionByName(met.select(*seen.columns))
+        todo = met.filter("inherited is null").join(hit.select("file_id", "qualified_name"), ["file_id", "qualified_name"], "left_anti").drop("inherited")
+    every = reduce(DataFrame.unionByName, [r.select(*columns) for r in resolved])
+    one = every.groupBy("file_id", "qualified_name").agg(F.min_by(F.struct("signature", "docstring", "doc_from", "depth"), F.struct("depth", "path", "line_start", "signature", "docstring")).alias("f"))
+    return kept.done(one.select("file_id", "qualified_name", "f.*"))

@@ -128,7 +128,7 @@ def p8_rejoined(spark: SparkSession, directory: str) -> DataFrame:
 @R.add("p3_found")
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Functions whose own documentation, directly above or inside, says something."""
-    return documented_functions(load(spark, directory, "source_files")).filter("doc_from = 'own'").select("file_id", "qualified_name")
+    return documented_functions(load(spark, directory, "source_files")).filter("depth = 0").select("file_id", "qualified_name")
 
 
 @R.add("p3_pairs")

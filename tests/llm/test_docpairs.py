@@ -199,3 +199,27 @@ def test_operator_with_inheritance(spark):
     doc = "Runs until the queue is drained."
     assert got == {(1, "p.a.A.run"): (doc, "own"), (6, "p.a.A.run"): (doc, "own"), (3, "p.c.C.run"): (doc, "A")}
     assert documented_functions(spark.createDataFrame([], F_SCHEMA)).count() == 0
+
+
+def test_bases_are_resolved_by_place_and_order(spark):
+    deep = "class K0:\n    def run(self):\n        '''Runs until the queue is drained.'''\n" + "".join(f"class K{k}(K{k - 1}):\n    def run(self): pass\n" for k in range(1, 45))
+    one = "class Base:\n    def go(self):\n        '''Goes through every shard once.'''\n"
+    two = "class Base:\n    def go(self):\n        '''Walks over the other table.'''\n"
+    first = "class L:\n    def act(self):\n        '''Acts on the left replica.'''\n"
+    second = "class R:\n    def act(self):\n        '''Acts on the right replica.'''\n"
+    user = "class C(Base):\n    def go(self): pass\n"
+    both = "class D(R, L):\n    def act(self): pass\n"
+    rows = [(1, 1, "d/deep.py", deep), (2, 1, "a/base.py", one), (3, 1, "b/base.py", two), (4, 1, "a/user.py", user), (5, 1, "b/user.py", user), (6, 1, "c/user.py", user), (7, 1, "m/l.py", first), (8, 1, "n/r.py", second), (9, 1, "o/d.py", both), (10, None, "a/user.py", user), (11, None, "a/base.py", one)]
+    df = spark.createDataFrame([(i, r, p, "python", t, "", "") for i, r, p, t in rows], F_SCHEMA)
+    got = {(r.file_id, r.qualified_name): (r.docstring, r.doc_from, r.depth) for r in documented_functions(df).collect()}
+    assert got[1, "d.deep.K44.run"] == ("Runs until the queue is drained.", "K0", 44)
+    assert got[4, "a.user.C.go"] == ("Goes through every shard once.", "Base", 1)
+    assert got[5, "b.user.C.go"] == ("Walks over the other table.", "Base", 1)
+    assert (6, "c.user.C.go") not in got and (10, "a.user.C.go") not in got  # two classes of that name; no repository
+    assert got[9, "o.d.D.act"] == ("Acts on the right replica.", "R", 1)
+
+
+def test_equal_bases_take_no_side(spark):
+    """A cycle of classes without documentation ends."""
+    loop = "class X(Y):\n    def f(self): pass\nclass Y(Z):\n    pass\nclass Z(X):\n    def f(self): pass\n"
+    assert documented_functions(spark.createDataFrame([(1, 1, "l.py", "python", loop, "", "")], F_SCHEMA)).count() == 0
