@@ -42,18 +42,12 @@ def f22_arrays(spark, d):
     return n.select("file_id", F.size("a").alias("n"), F.array_join("a", ",").alias("names"))
 
 
-@R.add("f24_json_or_words", """WITH t(id, s) AS (VALUES (1, '["a", "b c"]'), (2, 'run  --fast x'), (3, ''), (4, NULL), (5, '[broken')) SELECT id, CASE id WHEN 1 THEN 'a|b c' WHEN 2 THEN 'run|--fast|x' WHEN 5 THEN '[broken' ELSE '' END AS parts FROM t""")
-def f24_json_or_words(spark, d):
-    rows = [(1, '["a", "b c"]'), (2, "run  --fast x"), (3, ""), (4, None), (5, "[broken")]
-    return spark.createDataFrame(rows, "id int, s string").select("id", F.array_join(cl.json_or_words(F.col("s")), "|").alias("parts"))
-
-
-@R.add("f24_json_or_words_all", r"""
+@R.add("f24_json_or_words", r"""
     WITH t AS (SELECT event_id, props AS s FROM events),
     p AS (SELECT event_id, CASE WHEN starts_with(trim(s, ' '), '[') AND json_valid(s) THEN from_json(s, '["VARCHAR"]') ELSE list_filter(regexp_split_to_array(coalesce(s, ''), '\s+'), lambda x: length(x) > 0) END AS a FROM t)
     SELECT event_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, '|') AS parts FROM p""")
-def f24_json_or_words_all(spark, d):
-    """The properties of every event (f24_json_or_words has five written rows)."""
+def f24_json_or_words(spark, d):
+    """The properties of every event."""
     e = v.load(spark, d, "events").select("event_id", cl.json_or_words(F.col("props")).alias("a"))
     return e.select("event_id", F.size("a").alias("n"), F.array_join("a", "|").alias("parts"))
 
@@ -70,21 +64,15 @@ def f28_text_changed(spark, d):
     return s.select("file_id", cl.text_changed(F.col("content"), F.replace("content", F.lit("shard"), F.lit("part"))).alias("changed")).distinct()
 
 
-@R.add("f08_diagram", """SELECT 1 AS id, 'graph TD' || chr(10) || 'A["x y"] --> B["z"]' AS d UNION ALL SELECT 2, NULL""")
-def f08_diagram(spark, d):
-    rows = [(1, '```mermaid\ngraph TD\nA[x y] --> B["z"]\n```'), (2, "no diagram")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", cl.diagram(F.col("t")).alias("d"))
-
-
 _DIAGRAM = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?m)^[ \t]*```\w*[ \t]*$', '', 'g'), '^\s+|\s+$', '', 'g'), '\[([^\["(/\]][^\[\]"]*)\]', '["\1"]', 'g')"""
 
 
-@R.add("f08_diagram_all", f"""
+@R.add("f08_diagram", f"""
     WITH t AS (SELECT 'stage' AS source, id, raw_output AS t FROM (SELECT DISTINCT id, raw_output FROM stage_results) UNION ALL SELECT 'document', doc_id, text FROM documents),
     c AS (SELECT source, id, {_DIAGRAM.format('t')} AS d FROM t)
     SELECT source, id, CASE WHEN regexp_matches(d, '^(?:{'|'.join(cl.DIAGRAMS)})\\b') THEN d END AS d FROM c""")
-def f08_diagram_all(spark, d):
-    """Diagrams in every model output and document (f08_diagram has two written rows)."""
+def f08_diagram(spark, d):
+    """Diagrams in every model output and document."""
     s = v.load(spark, d, "stage_results").select(F.lit("stage").alias("source"), "id", F.col("raw_output").alias("t")).distinct()
     t = s.unionByName(v.load(spark, d, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("t")))
     return t.select("source", "id", cl.diagram(F.col("t")).alias("d"))

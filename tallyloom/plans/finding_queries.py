@@ -44,22 +44,13 @@ def p28_rule_severity(spark, d):
 
 
 @R.add("p29_tool_severity", """
-    WITH t(tool, word) AS (VALUES ('bandit', 'HIGH'), ('bandit', 'medium '), ('bandit', 'odd'), ('semgrep', 'INFO'), ('semgrep', NULL), ('trivy', 'CRITICAL'), ('trivy', 'unknown'), ('mypy', 'note'), ('ruff', 'error'))
-    SELECT tool, word, CASE WHEN tool = 'bandit' AND word = 'HIGH' THEN 'error' WHEN tool = 'bandit' AND word = 'medium ' THEN 'warning' WHEN tool = 'semgrep' AND word = 'INFO' THEN 'note'
-      WHEN tool = 'trivy' AND word = 'CRITICAL' THEN 'error' WHEN tool = 'trivy' AND word = 'unknown' THEN 'note' WHEN tool = 'mypy' THEN 'note' ELSE 'warning' END AS severity FROM t""")
-def p29_tool_severity(spark, d):
-    rows = [("bandit", "HIGH"), ("bandit", "medium "), ("bandit", "odd"), ("semgrep", "INFO"), ("semgrep", None), ("trivy", "CRITICAL"), ("trivy", "unknown"), ("mypy", "note"), ("ruff", "error")]
-    return spark.createDataFrame(rows, "tool string, word string").select("tool", "word", fi.tool_severity(F.col("tool"), F.col("word")).alias("severity"))
-
-
-@R.add("p29_tool_severity_all", """
     WITH m(tool, word, s) AS (VALUES ('bandit', 'high', 'error'), ('bandit', 'medium', 'warning'), ('bandit', 'low', 'note'), ('bandit', 'undefined', 'note'),
       ('semgrep', 'error', 'error'), ('semgrep', 'warning', 'warning'), ('semgrep', 'info', 'note'), ('semgrep', 'inventory', 'note'), ('semgrep', 'experiment', 'note'),
       ('trivy', 'critical', 'error'), ('trivy', 'high', 'error'), ('trivy', 'medium', 'warning'), ('trivy', 'low', 'note'), ('trivy', 'unknown', 'note'), ('mypy', 'error', 'error'), ('mypy', 'warning', 'warning'), ('mypy', 'note', 'note')),
     r AS (SELECT DISTINCT id, tool_source, severity FROM findings)
     SELECT r.id, r.tool_source AS tool, coalesce(m.s, 'warning') AS severity FROM r LEFT JOIN m ON lower(r.tool_source) = m.tool AND lower(trim(r.severity, ' ')) = m.word""")
-def p29_tool_severity_all(spark, d):
-    """Tool and word of every finding (p29_tool_severity has nine written rows)."""
+def p29_tool_severity(spark, d):
+    """Tool and word of every finding."""
     f = v.load(spark, d, "findings").select("id", "tool_source", "severity").distinct()
     return f.select("id", F.col("tool_source").alias("tool"), fi.tool_severity(F.col("tool_source"), F.col("severity")).alias("severity"))
 
@@ -207,20 +198,11 @@ def j15_override(spark, d):
 
 
 @R.add("j16_by_suffix", _then(with_views("""
-    , names AS (SELECT DISTINCT regexp_extract(file_path, '([^/]*/[^/]*)$', 1) AS name FROM finds WHERE review_id <= 300 AND file_path IS NOT NULL)
-    SELECT f.id, n.name FROM finds f JOIN names n ON f.file_path = n.name OR suffix(f.file_path, '/' || n.name)""", "finds")))
-def j16_by_suffix(spark, d):
-    f = v.finds(spark, d, "id", "review_id", "file_path")
-    names = f.filter("review_id <= 300 and file_path is not null").select(F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("name")).distinct()
-    return fi.by_suffix(f, names).select("id", "name")
-
-
-@R.add("j16_by_suffix_all", _then(with_views("""
     , names AS (SELECT DISTINCT regexp_extract(file_path, '([^/]*/[^/]*)$', 1) AS name FROM finds WHERE file_path IS NOT NULL),
     tails AS (SELECT id, unnest(list_transform(generate_series(1, len(string_split(file_path, '/'))), lambda k: array_to_string(string_split(file_path, '/')[k:], '/'))) AS tail FROM finds WHERE file_path IS NOT NULL)
     SELECT t.id, n.name FROM tails t JOIN names n ON t.tail = n.name""", "finds")))
-def j16_by_suffix_all(spark, d):
-    """Every finding against the changed-file names of all findings (j16_by_suffix takes the names of reviews up to 300 only)."""
+def j16_by_suffix(spark, d):
+    """Every finding against the changed-file names of all findings."""
     f = v.finds(spark, d, "id", "file_path")
     names = f.filter("file_path is not null").select(F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("name")).distinct()
     return fi.by_suffix(f, names).select("id", "name")

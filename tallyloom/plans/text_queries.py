@@ -34,21 +34,6 @@ def w08_split_chunks(spark, d):
 
 
 @R.add("w09_boundary_chunks", r"""
-    WITH s AS (SELECT DISTINCT file_id, content FROM source_files WHERE content IS NOT NULL AND lower(file_path) LIKE '%.go'),
-    l AS (SELECT file_id, regexp_split_to_array(regexp_replace(content, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM s),
-    r AS (SELECT file_id, ls, unnest(generate_series(1, len(ls))) AS i FROM l),
-    b AS (SELECT file_id, i, ls[i] AS ln, len(ls) AS n, (i = 1 OR regexp_matches(ls[i], '^func\s+'))::INT AS is_b FROM r),
-    g AS (SELECT *, sum(is_b) OVER (PARTITION BY file_id ORDER BY i) AS seg FROM b)
-    SELECT file_id, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, md5(string_agg(ln, chr(10) ORDER BY i)) AS sum FROM g
-    GROUP BY file_id, seg HAVING length(trim(string_agg(ln, chr(10) ORDER BY i), ' ')) > 0""")
-def w09_boundary_chunks(spark, d):
-    """Go files cut where functions begin, each segment one chunk of any length (w09_boundary_chunks_all has all languages and windows)."""
-    s = sources(spark, d).filter(F.lower("file_path").endswith(".go")).select("file_id", "content").distinct()
-    c = ch.boundary_chunks(s, "file_id", "content", F.lit("go"), 100_000, 16)
-    return c.select("file_id", "start_line", "end_line", F.md5("content").alias("sum"))
-
-
-@R.add("w09_boundary_chunks_all", r"""
     WITH s AS (SELECT DISTINCT file_id, content, CASE lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.java' THEN 'java' ELSE 'other' END AS lang FROM source_files WHERE content IS NOT NULL),
     l AS (SELECT row_number() OVER () AS k, file_id, lang, regexp_split_to_array(regexp_replace(content, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM s),
     r AS (SELECT k, file_id, lang, ls, unnest(generate_series(1, len(ls))) AS i FROM l WHERE lang <> 'other'),
@@ -61,7 +46,7 @@ def w09_boundary_chunks(spark, d):
     c AS (SELECT file_id, min(i) AS base, list(ln ORDER BY i) AS ls, 64 AS step FROM g GROUP BY k, file_id, seg UNION ALL SELECT file_id, 1, ls, 78 FROM l WHERE lang = 'other'),
     w AS (SELECT *, len(ls) AS n, unnest(generate_series(0, len(ls) - 1, step)) AS o FROM c WHERE len(list_filter(ls, lambda x: length(trim(x, ' ')) > 0)) > 0)
     SELECT file_id, CAST(base + o AS INTEGER) AS start_line, CAST(base + least(o + 80, n) - 1 AS INTEGER) AS end_line, md5(array_to_string(ls[o + 1 : o + 80], chr(10))) AS sum FROM w WHERE step = 64 OR o = 0 OR o - step + 80 < n""")
-def w09_boundary_chunks_all(spark, d):
+def w09_boundary_chunks(spark, d):
     """Files of all languages cut where functions and classes begin, parts over 80 lines into windows that overlap by 16."""
     s = sources(spark, d).select("file_id", "content", language(F.col("file_path")).alias("language")).distinct()
     c = ch.boundary_chunks(s, "file_id", "content", F.col("language"), 80, 16)
@@ -99,17 +84,9 @@ def f14_split_diff(spark, d):
     return diffs(spark, d).select("doc_id", F.size(ch.split_diff(F.col("text"))).alias("n_files"))
 
 
-@R.add("p24_on_added_lines", f"WITH x AS ({_DIFF}) SELECT DISTINCT doc_id, line AS line_start FROM x WHERE kind = '+' AND line % 10 = 0")
+@R.add("p24_on_added_lines", f"WITH x AS ({_DIFF}) SELECT DISTINCT doc_id, line AS line_start FROM x WHERE kind = '+'")
 def p24_on_added_lines(spark, d):
-    """Places on lines that a diff adds: a semi join on patch and line."""
-    lines = ch.diff_lines(diffs(spark, d), ["doc_id"], "text")
-    places = lines.filter("line % 10 = 0").select("doc_id", F.col("line").alias("line_start")).distinct()
-    return ch.valid_lines(places, lines, ["doc_id"])
-
-
-@R.add("p24_on_added_lines_all", f"WITH x AS ({_DIFF}) SELECT DISTINCT doc_id, line AS line_start FROM x WHERE kind = '+'")
-def p24_on_added_lines_all(spark, d):
-    """Every line of the new files as a place (p24_on_added_lines takes each tenth only)."""
+    """Every line of the new files as a place."""
     lines = ch.diff_lines(diffs(spark, d), ["doc_id"], "text")
     return ch.valid_lines(lines.select("doc_id", F.col("line").alias("line_start")).distinct(), lines, ["doc_id"])
 
@@ -183,15 +160,9 @@ def a20_rrf(spark, d):
     return fused(spark, d).select("query", "doc_id", "score", "dense_rank", "lexical_rank", "place")
 
 
-@R.add("j13_hits_with_text", _FUSED + " SELECT query, z.doc_id, substr(text, 1, 80) AS start FROM z JOIN documents USING (doc_id) WHERE place <= 5")
+@R.add("j13_hits_with_text", _FUSED + " SELECT query, z.doc_id, text FROM z JOIN documents USING (doc_id) WHERE place <= 5")
 def j13_hits_with_text(spark, d):
-    t = v.load(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("start"))
-    return fused(spark, d).join(t, "doc_id").select("query", "doc_id", "start")
-
-
-@R.add("j13_hits_with_text_all", _FUSED + " SELECT query, z.doc_id, text FROM z JOIN documents USING (doc_id) WHERE place <= 5")
-def j13_hits_with_text_all(spark, d):
-    """Hits with their whole text (j13_hits_with_text gives 80 characters)."""
+    """Hits with their whole text."""
     return fused(spark, d).join(v.load(spark, d, "documents").select("doc_id", "text"), "doc_id").select("query", "doc_id", "text")
 
 
@@ -204,16 +175,9 @@ def j20_rerank(spark, d):
     return rt.rerank(h, s, ["query", "doc_id"], 5).select("query", "doc_id", "new_place")
 
 
-@R.add("f12_context_text", _FUSED + " SELECT query, md5(string_agg('### ' || z.doc_id || chr(10) || coalesce(substr(text, 1, 100), ''), chr(10) || chr(10) ORDER BY place)) AS sum FROM z JOIN documents USING (doc_id) WHERE place <= 5 GROUP BY 1")
+@R.add("f12_context_text", _FUSED + " SELECT query, md5(string_agg('### ' || z.doc_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY place)) AS sum FROM z JOIN documents USING (doc_id) WHERE place <= 5 GROUP BY 1")
 def f12_context_text(spark, d):
-    t = v.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.substring("text", 1, 100), F.lit("")).alias("content"))
-    h = fused(spark, d).join(t, F.col("doc_id") == F.col("id")).withColumn("file_path", F.col("doc_id").cast("string"))
-    return rt.context_text(h, ["query"]).select("query", F.md5("context").alias("sum"))
-
-
-@R.add("f12_context_text_all", _FUSED + " SELECT query, md5(string_agg('### ' || z.doc_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY place)) AS sum FROM z JOIN documents USING (doc_id) WHERE place <= 5 GROUP BY 1")
-def f12_context_text_all(spark, d):
-    """Contexts of whole texts (f12_context_text takes 100 characters of each)."""
+    """Contexts of whole texts."""
     t = v.load(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.nz(F.col("text")).alias("content"))
     h = fused(spark, d).join(t, F.col("doc_id") == F.col("id")).withColumn("file_path", F.col("doc_id").cast("string"))
     return rt.context_text(h, ["query"]).select("query", F.md5("context").alias("sum"))

@@ -25,7 +25,7 @@ def finding(i, review, path, severity="error", tool="llm"):
 
 def test_names_of_all_reviews(spark, tmp_path):
     paths = {1: (1, "src/a.py"), 2: (301, "lib/deep/b.py"), 3: (90_000, "x/lib/deep/b.py"), 4: (5, "b.py"), 5: (700, None), 6: (2, "lib/xdeep/b.py")}
-    got = run(spark, tmp_path, "j16_by_suffix_all", findings=([finding(i, r, p) for i, (r, p) in paths.items()], FINDINGS))
+    got = run(spark, tmp_path, "j16_by_suffix", findings=([finding(i, r, p) for i, (r, p) in paths.items()], FINDINGS))
     names = {"/".join(p.split("/")[-2:]) for _, p in paths.values() if p and "/" in p}
     want = {(i, n) for i, (_, p) in paths.items() if p for n in names if p == n or p.endswith("/" + n)}
     assert Counter((r.id, r.name) for r in got) == Counter(want) and (2, "deep/b.py") in want
@@ -37,7 +37,7 @@ DOCUMENTS = "doc_id long, text string, kind string"
 def test_places_on_every_line(spark, tmp_path):
     patch = "@@ -1,2 +1,4 @@\n a\n+b\n-c\n+d\n e\n@@ -20,1 +29,3 @@\n+f\n+g\n h"
     rows = [(1, patch, "diff"), (2, patch, "note"), (3, None, "diff"), (4, "@@ -0,0 +1,9 @@\n" + "\n".join(["+x"] * 9), "diff")]
-    got = run(spark, tmp_path, "p24_on_added_lines_all", documents=(rows, DOCUMENTS))
+    got = run(spark, tmp_path, "p24_on_added_lines", documents=(rows, DOCUMENTS))
     want = {(1, k) for k in (2, 3, 29, 30)} | {(4, k) for k in range(1, 10)}
     assert Counter((r.doc_id, r.line_start) for r in got) == Counter(want)
 
@@ -66,7 +66,7 @@ def test_boundary_chunks_of_all_languages(spark, tmp_path):
         else:
             parts = [(s, min(s + 80, len(ls))) for s in range(0, len(ls), 78) if s == 0 or s - 78 + 80 < len(ls)]
         want.update((i, s + 1, e, hashlib.md5("\n".join(ls[s:e]).encode()).hexdigest()) for s, e in parts)
-    got = run(spark, tmp_path, "w09_boundary_chunks_all", source_files=(rows, SOURCES))
+    got = run(spark, tmp_path, "w09_boundary_chunks", source_files=(rows, SOURCES))
     assert Counter((r.file_id, r.start_line, r.end_line, r["sum"]) for r in got) == want
     assert max(r.end_line - r.start_line + 1 for r in got) == 80
 
@@ -76,21 +76,21 @@ def test_hits_with_whole_texts(spark, tmp_path):
     texts = {i: " ".join([words[i % 5], *(f"w{i}x{k}" for k in range(60)), words[i % 3], f"end{i}"]) for i in range(100, 112)}
     documents = ([(i, t, "note") for i, t in texts.items()], DOCUMENTS)
     embeddings = ([(i, [float(i), 0.0]) for i in texts], "vec_id long, embedding array<float>")
-    hits = run(spark, tmp_path, "j13_hits_with_text_all", documents=documents, embeddings=embeddings)
+    hits = run(spark, tmp_path, "j13_hits_with_text", documents=documents, embeddings=embeddings)
     assert hits and all(r.text == texts[r.doc_id] and len(r.text) > 100 for r in hits)
     places = {r.doc_id: r.place for r in entry.queries()["a20_rrf"](spark, str(tmp_path)).collect()}
     want = hashlib.md5("\n\n".join(f"### {i}\n{texts[i]}" for i in sorted(places, key=places.get)).encode()).hexdigest()
-    assert [(r["query"], r["sum"]) for r in entry.queries()["f12_context_text_all"](spark, str(tmp_path)).collect()] == [(100, want)]
+    assert [(r["query"], r["sum"]) for r in entry.queries()["f12_context_text"](spark, str(tmp_path)).collect()] == [(100, want)]
 
 
 def test_written_rows_are_read_from_tables(spark, tmp_path):
     props = [(1, '["a", "b c"]'), (2, "run  --fast x"), (3, None), (4, "[broken")]
-    got = run(spark, tmp_path, "f24_json_or_words_all", events=(props, "event_id long, props string"))
+    got = run(spark, tmp_path, "f24_json_or_words", events=(props, "event_id long, props string"))
     assert {r.event_id: r.parts for r in got} == {1: "a|b c", 2: "run|--fast|x", 3: "", 4: "[broken"}
     fenced = '```mermaid\ngraph TD\nA[x y] --> B["z"]\n```'
-    got = run(spark, tmp_path, "f08_diagram_all", stage_results=([(1, fenced), (2, None)], "id long, raw_output string"), documents=([(1, "no diagram", "note"), (7, fenced, "note")], DOCUMENTS))
+    got = run(spark, tmp_path, "f08_diagram", stage_results=([(1, fenced), (2, None)], "id long, raw_output string"), documents=([(1, "no diagram", "note"), (7, fenced, "note")], DOCUMENTS))
     want = 'graph TD\nA["x y"] --> B["z"]'
     assert {(r.source, r.id): r.d for r in got} == {("stage", 1): want, ("stage", 2): None, ("document", 1): None, ("document", 7): want}
     rows = [finding(1, 1, "a", "HIGH", "bandit"), finding(2, 1, "a", "medium ", "bandit"), finding(3, 1, "a", "INFO", "semgrep"), finding(4, 1, "a", None, "ruff")]
-    got = run(spark, tmp_path, "p29_tool_severity_all", findings=(rows, FINDINGS))
+    got = run(spark, tmp_path, "p29_tool_severity", findings=(rows, FINDINGS))
     assert {r.id: r.severity for r in got} == {1: "error", 2: "warning", 3: "note", 4: "warning"}
