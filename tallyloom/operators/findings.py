@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.near_sets import near_duplicates
+from tallyloom.operators.set_pairs import representative_pairs
 from tallyloom.operators.ranking import distributed_rank
 from tallyloom.session import cut
 
@@ -107,7 +107,7 @@ def greedy_dedup(findings: DataFrame, threshold: float = 0.5, heavy: int = 500)
     text = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("message", F.lit(""))), r"\s+"), lambda w: F.length(w) > 0))
     f = findings.select("id", "file_path", "line_start", F.array_sort(text).alias("__w"), (-F.coalesce("confidence", F.lit(0.0))).alias("__c"))
     blank = f.filter(F.size("__w") == 0).select(F.col("id").alias("kept_id"))
-    place = F.xxhash64(F.coalesce("file_path", F.lit("\0")), F.coalesce("line_start", F.lit(-1)))
+    place = F.concat_ws("\x01", F.coalesce("file_path", F.lit("\0")), F.coalesce("line_start", F.lit(-1)).cast("string"))
     firsts = f.filter(F.size("__w") > 0).groupBy("file_path", "line_start", "__w").agg(F.min(F.struct("__c", "id")).alias("k"))
     firsts = firsts.select(place.alias("place"), F.col("k.__c").alias("c"), F.col("k.id").alias("id"), F.col("__w").alias("w"))
     large = cut(firsts.groupBy("place").count().filter(F.col("count") > heavy).select(F.col("place").alias("large")))
@@ -122,9 +122,12 @@ def greedy_dedup(findings: DataFrame, threshold: float = 0.5, heavy: int = 500)
     kept = places.select(F.explode(F.transform(F.aggregate("rows", F.slice("rows", 1, 0), step), lambda x: x["id"])).alias("kept_id"))
     if any_large:
         rest = cut(firsts.join(large, F.col("place") == F.col("large"), "left_semi"))
-        hashed = F.array_join(F.transform("w", lambda x: F.concat(F.lit("h"), F.hex(F.xxhash64(x)))), " ")
-        keyed = rest.select("id", F.concat(F.lit("p"), F.hex("place")).alias("path"), F.lit(0).alias("line"), hashed.alias("text"))
-        edges = near_duplicates(keyed, "id", "path", "line", "text", threshold + 1e-7, max_gap=0)
+        hashed = F.array_join(F.transform("w", lambda x: F.concat(F.lit("h"), F.md5(x))), " ")
+        one = rest.select(F.col("place").alias("path"), F.lit(0).alias("cell"), F.lit(1).alias("border"), "id", F.lit(0).alias("line"), hashed.alias("text"))
+        pairs, members = representative_pairs(one, 0, threshold + 1e-7, 4 * heavy)
+        members = cut(members)
+        a, b = (members.select(F.col("rep").alias(f"__{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+        edges = pairs.join(a, F.col("rep_a") == F.col("__a")).join(b, F.col("rep_b") == F.col("__b")).select("id_a", "id_b")
         kept = kept.unionByName(_settled(rest.select("id", "c"), edges).select(F.col("id").alias("kept_id")))
     return findings.join(kept.unionByName(blank), F.col("id") == F.col("kept_id"), "left_semi")
 
