@@ -17,7 +17,8 @@ from tallyloom.session import cut, shuffle_parts
 _LOW = (1 << 33) - 1
 
 
-def _sorted_slices(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> tuple[DataFrame, DataFrame]:
+def sorted_slices(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` sorted over ``parts`` slices by (keys, order), with ``__part`` and the place ``__at`` in it, cut once; and the same grouped by slice and key."""
     n = parts or shuffle_parts(df.sparkSession)
     cols = [F.col(f"`{c}`") for c in (*keys, *order)]
     rows = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("__at", F.monotonically_increasing_id())
@@ -32,7 +33,7 @@ def distributed_rank(df: DataFrame, keys: list[str], order: list[str], name: str
     nulls in the order come first. The rows are cut to the shared folder once (range bounds are
     then fixed, whatever executors are lost later).
     """
-    rows, grouped = _sorted_slices(df, keys, order, parts)
+    rows, grouped = sorted_slices(df, keys, order, parts)
     counts = grouped.agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -50,7 +51,7 @@ def weighted_positions(df: DataFrame, keys: list[str], order: list[str], weight:
     Also the totals per key. Within one partition the running sum is a window over (partition,
     key), which holds one partition's rows at most.
     """
-    rows, grouped = _sorted_slices(df, keys, order, parts)
+    rows, grouped = sorted_slices(df, keys, order, parts)
     counts = grouped.agg(F.sum(weight).alias("__w"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__w").over(before), F.lit(0)))
@@ -75,7 +76,7 @@ def distributed_last(df: DataFrame, keys: list[str], order: list[str], column: s
     Within a slice by a window over (slice, key); what earlier slices carry in comes from one row
     per key and slice.
     """
-    rows, grouped = _sorted_slices(df, keys, order, parts)
+    rows, grouped = sorted_slices(df, keys, order, parts)
     ends = grouped.agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("__at"))).alias("__end"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.last("__end", ignorenulls=True).over(before).alias("__in"))
