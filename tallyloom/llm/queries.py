@@ -1,4 +1,4 @@
-"""Queries of the training-data problems 1, 2, 3, 6, 7 and 8, with SQL where SQL can say it."""
+"""Queries of the training-data problems, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import norm_name
 from tallyloom.llm.conversations import conversations, latest_comments, ordered_turns
 from tallyloom.llm.docpairs import documented_functions
 from tallyloom.llm.leakage import leaked
+from tallyloom.llm.near_duplicates import near_duplicates
 from tallyloom.llm.packing import TOKENIZER, pack_documents
 from tallyloom.llm.pairs import defective_pairs
+from tallyloom.llm.quantiles import combine, daily_counts, percentiles
 from tallyloom.llm.splitting import split_oversized
+from tallyloom.operators.graph import components
 from tallyloom.plans.registry import Registry
 from tallyloom.session import cut
-from tallyloom.tables import load
+from tallyloom.tables import latest_by_id, load
 
 R = Registry()
 
@@ -141,3 +145,72 @@ def p3_pairs(spark: SparkSession, directory: str) -> DataFrame:
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Defective pairs of stage results and of bot replies, with the defect."""
     return defective_pairs(load(spark, directory, "stage_results"), load(spark, directory, "comments"))
+
+
+#: The path rule of ``functions.text.norm_path`` in SQL.
+_PATH = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(file_path), '\', '/'), '^\s+|\s+$', '', 'g'), '/(\./)+', '/', 'g'), '/{2,}', '/', 'g'), '^(\./|/)+', '')"""
+_WORDS = r"list_distinct(regexp_extract_all(lower(message), '[\p{L}\p{N}_]+'))"
+
+
+def review_day_counts(spark: SparkSession, directory: str, relative_error: float = 0.0) -> DataFrame:
+    """Per-day intermediates of the review percentiles: (day, grp, metric, value, n).
+
+    Reviews that never ran (no completion, duration and cost still at their default 0) measure
+    nothing; their duration is left out, as are null, NaN, infinite and negative values.
+    """
+    r = latest_by_id(load(spark, directory, "reviews").select("id", "model_used", "duration_seconds", "cost_estimate", "created_at", "completed_at"), "id")
+    ran = F.col("completed_at").isNotNull()
+    return daily_counts(r, norm_name(F.col("model_used")), F.to_date("created_at"), {"duration_seconds": F.when(ran, F.col("duration_seconds")), "cost_estimate": F.when(ran, F.col("cost_estimate"))}, relative_error)
+
+
+@R.add(
+    "p4_percentiles",
+    """
+    WITH r AS (SELECT DISTINCT * FROM reviews WHERE completed_at IS NOT NULL),
+    v AS (
+      SELECT nullif(regexp_replace(lower(trim(model_used)), '[_ ]+', '-', 'g'), '') AS model_used, unnest(['duration_seconds', 'cost_estimate']) AS metric, unnest([duration_seconds, cost_estimate]) AS value FROM r
+    ), ok AS (SELECT * FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 AND NOT isinf(value))
+    SELECT model_used, metric, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.9), 9) AS p90,
+           round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99, CAST(0 AS DOUBLE) AS error_bound
+    FROM ok GROUP BY ALL
+    """,
+)
+def p4_percentiles(spark: SparkSession, directory: str) -> DataFrame:
+    """p50, p90, p95 and p99 of duration and cost per model, exact (error bound 0), from combined per-day counts."""
+    p = percentiles(combine(review_day_counts(spark, directory)))
+    rounded = [F.round(c, 9).alias(c) for c in ("p50", "p90", "p95", "p99")]
+    return p.select(F.col("grp").alias("model_used"), "metric", "n", *rounded, F.lit(0.0).alias("error_bound"))
+
+
+@R.add(
+    "p4_day_counts",
+    """
+    WITH r AS (SELECT DISTINCT * FROM reviews WHERE completed_at IS NOT NULL),
+    v AS (
+      SELECT CAST(created_at AS DATE) AS day, nullif(regexp_replace(lower(trim(model_used)), '[_ ]+', '-', 'g'), '') AS model_used, unnest(['duration_seconds', 'cost_estimate']) AS metric, unnest([duration_seconds, cost_estimate]) AS value FROM r
+    ) SELECT day, model_used, metric, value, count(*) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 AND NOT isinf(value) GROUP BY ALL
+    """,
+)
+def p4_day_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """The per-day intermediates: counts of values per day and model, which add up over any set of days."""
+    return review_day_counts(spark, directory).withColumnRenamed("grp", "model_used")
+
+
+@R.add(
+    "p5_found",
+    f"""
+    WITH f AS (SELECT DISTINCT id, {_PATH} AS path, line_start AS line, {_WORDS} AS w FROM findings WHERE file_path IS NOT NULL AND message IS NOT NULL AND line_start IS NOT NULL),
+    ok AS (SELECT * FROM f WHERE path <> '' AND len(w) > 0)
+    SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM ok a JOIN ok b ON a.path = b.path AND a.id < b.id AND abs(a.line - b.line) <= 3
+    WHERE len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9
+    """,
+)
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of findings of one place whose messages share 60 % of their words."""
+    return near_duplicates(load(spark, directory, "findings"), "id", "file_path", "line_start", "message", threshold=0.6, max_gap=3)
+
+
+@R.add("p5_groups")
+def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings that report the same at the same place, with their group (its least id), one row per grouped finding."""
+    return components(near_duplicates(load(spark, directory, "findings"), "id", "file_path", "line_start", "message", threshold=0.6, max_gap=3, every=False))

@@ -17,7 +17,7 @@ def docs(text, lang):
 def test_python_equals_ast():
     import tallyloom.llm.packing as m1
     import tallyloom.llm.sourceparse as m2
-    import tallyloom.operators.near_sets as m3
+    import tallyloom.operators.ranking as m3
 
     for m in (m1, m2, m3, textwrap, inspect, ast):
         src = inspect.getsource(m)
