@@ -74,3 +74,16 @@ def prompt_text(df: DataFrame, template: str, **columns: Column) -> DataFrame:
         if field:
             parts.append(F.coalesce(columns[field].cast("string"), F.lit("")))
     return df.withColumn("prompt", F.concat(*parts))
+
+
+#: Words that hint at an area of risk, anywhere in a text.
+RISK_WORDS = {
+    "security": ("password", "secret", "token", "api_key", "auth", "sql", "inject", "eval", "exec"),
+    "concurrency": ("thread", "lock", "async", "await", "concurrent", "mutex", "semaphore"),
+}
+
+
+def risk_areas(text: Column) -> Column:
+    """The areas of risk whose words stand in a text, in a fixed order; none for a null text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*[F.when(low.rlike("|".join(words)), F.lit(area)) for area, words in RISK_WORDS.items()]), lambda x: x.isNotNull())

@@ -54,8 +54,9 @@ def tool_severity(tool: Column, severity: Column, default: str = "warning") -> C
 
 
 def confident(findings: DataFrame, least: float = 0.6) -> DataFrame:
-    """Findings of at least the given confidence; a missing one counts as 0.5."""
-    return findings.filter(F.coalesce("confidence", F.lit(0.5)) >= least)
+    """Findings of at least the given confidence that aren't marked invalid; a missing confidence counts as 0.5, a missing ``is_valid`` (value or column) as true."""
+    valid = F.coalesce("is_valid", F.lit(True)) if "is_valid" in findings.columns else F.lit(True)
+    return findings.filter(valid & (F.coalesce("confidence", F.lit(0.5)) >= least))
 
 
 def postable(findings: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), both / either).otherwise(F.lit(0.0))
 
 
-def _settled(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def _settled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids kept by the greedy rule over (id, c) nodes and (id_a, id_b) edges, in parallel rounds.
 
     In each round those that have no undecided better neighbour are kept and their neighbours
@@ -84,7 +85,7 @@ def _settled(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFram
     links = cut(both.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("better"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("worse")))
     open_ = cut(nodes.select("id"))
     kept: DataFrame | None = None
-    for _ in range(rounds):
+    while True:  # each round decides at least the best of those left
         free = cut(open_.join(links, F.col("id") == F.col("worse"), "left_anti"))
         kept = free if kept is None else kept.unionByName(free)
         hit = links.join(free, F.col("better") == F.col("id"), "left_semi").select(F.col("worse").alias("hit")).distinct()
@@ -174,11 +175,12 @@ def ordered_text(df: DataFrame, keys: list[str], order: list[Column], text: Colu
 
 def totals(results: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Per key: tokens, cost of successful stages, seconds, and the last non-empty model in ``order``."""
+    exact = lambda c: F.col(c).cast("decimal(30,12)")  # noqa: E731  # the same sum in any order
     named = F.when(F.length(F.coalesce("model", F.lit(""))) > 0, order)
     return results.groupBy(*keys).agg(
         F.sum("tokens_input").alias("tokens_in"), F.sum("tokens_output").alias("tokens_out"),
-        F.round(F.coalesce(F.sum(F.when(F.col("success"), F.col("cost_estimate"))), F.lit(0.0)), 6).alias("cost"),
-        F.round(F.sum("latency_seconds"), 6).alias("seconds"), F.max_by("model", named).alias("last_model"),
+        F.round(F.coalesce(F.sum(F.when(F.col("success"), exact("cost_estimate"))).cast("double"), F.lit(0.0)), 6).alias("cost"),
+        F.round(F.sum(exact("latency_seconds")).cast("double"), 6).alias("seconds"), F.max_by("model", named).alias("last_model"),
     )
 
 

@@ -88,12 +88,12 @@ def pairs_to_draw(changed: DataFrame, affected: DataFrame) -> DataFrame:
     return changed.join(a, F.col("report") == F.col("__r")).filter(F.col("file") != F.col("affected")).select("report", F.col("file").alias("changed"), "affected").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component): connected components of (id_a, id_b) links; the component is its least id.
 
     Alternating large-star and small-star steps: minima per node by partial aggregation and one
     equi-join each, O(log^2 n) rounds, whatever the degree of a hub. Nothing is collected but a
-    count and a checksum per round.
+    count and a checksum per round. Links that still change after ``rounds`` raise.
     """
     e = edges.select(F.col("id_a").cast("long").alias("u"), F.col("id_b").cast("long").alias("v")).filter("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -110,4 +110,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (now.c, now.s) == mark:
             break
         mark = (now.c, now.s)
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

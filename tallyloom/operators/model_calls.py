@@ -66,12 +66,14 @@ def ensemble(requests: DataFrame, chain: list[str], model: Model, stages: list[t
 
 
 #: What a script to be run may not contain, with the reason.
-FORBIDDEN = ((r"\bimport\s+socket\b", "network socket usage"), (r"\bimport\s+subprocess\b", "subprocess usage"), (r"\bos\.system\b", "os.system call"), (r"\bos\.popen\b", "os.popen call"), (r"\bsubprocess\.", "subprocess usage"), (r"\bopen\s*\(.*,\s*['\"]w['\"]", "file write detected"), (r"\bopen\s*\(.*,\s*['\"]a['\"]", "file append detected"), (r"\bimport\s+requests\b", "requests (network) import"), (r"\bimport\s+urllib\b", "urllib (network) import"), (r"\bimport\s+httpx\b", "httpx (network) import"))
+FORBIDDEN = ((r"\bimport\s+socket\b", "network socket usage"), (r"\bimport\s+subprocess\b", "subprocess usage"), (r"\bos\.system\b", "os.system call"), (r"\bos\.popen\b", "os.popen call"), (r"\bsubprocess\.", "subprocess usage"), (r"\bopen\s*\(.*,\s*['\"]w['\"]", "file write detected"), (r"\bopen\s*\(.*,\s*['\"]a['\"]", "file append detected"), (r"\bimport\s+requests\b", "requests (network) import"), (r"\bimport\s+urllib\b", "urllib (network) import"), (r"\bimport\s+httpx\b", "httpx (network) import"), (r"\bimport\s+aiohttp\b", "aiohttp (network) import"), (r"\beval\s*\(", "eval() usage (code injection risk)"), (r"\bexec\s*\(", "exec() usage (code injection risk)"), (r"__import__\s*\(", "__import__ usage"))
 
 
 def script_problem(script: Column, max_lines: int = 200) -> Column:
     """The first reason for which a script may not be run, or null."""
-    out: Column = F.when(F.size(F.split(script, "\n")) > max_lines, F.lit(f"longer than {max_lines} lines"))
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+    n = F.size(F.split(F.regexp_replace(script, f"(?:{ends})\\z", ""), ends))
+    out: Column = F.when((F.length(script) > 0) & (n > max_lines), F.lit(f"longer than {max_lines} lines"))
     for pattern, reason in reversed(FORBIDDEN):
         out = F.when(script.rlike("(?i)" + pattern), F.lit(reason)).otherwise(out)
     return out

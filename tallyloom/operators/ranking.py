@@ -45,31 +45,6 @@ def distributed_rank(df: DataFrame, keys: list[str], order: list[str], name: str
     return joined.select(*[rows[c] for c in df.columns], (rows["__at"] - F.col("__first") + F.col("__before") + 1).alias(name))
 
 
-def weighted_positions(df: DataFrame, keys: list[str], order: list[str], weight: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows that stand for ``weight`` equal rows each, with ``first`` and ``last``: the 0-based places they take within ``keys``.
-
-    Also the totals per key. Within one partition the running sum is a window over (partition,
-    key), which holds one partition's rows at most.
-    """
-    rows, grouped = sorted_slices(df, keys, order, parts)
-    counts = grouped.agg(F.sum(weight).alias("__w"))
-    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__w").over(before), F.lit(0)))
-    offsets = offsets.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
-    inside = W.partitionBy("__part", *keys).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
-    run = rows.withColumn("__run", F.sum(weight).over(inside))
-    same: Column = run["__part"] == offsets["__p"]
-    for i, k in enumerate(keys):
-        same = same & run[k].eqNullSafe(offsets[f"__k{i}"])
-    out = run.join(offsets, same, "left").select(
-        *[run[c] for c in df.columns],
-        (F.col("__before") + F.col("__run") - F.col(weight)).alias("first"),
-        (F.col("__before") + F.col("__run") - 1).alias("last"),
-    )
-    totals = counts.groupBy(*keys).agg(F.sum("__w").alias("total"))
-    return out, totals
-
-
 def distributed_last(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``name``: the last non-null ``column`` up to each row, within ``keys`` by ``order``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a registry ``R``, in the order in which their queries are listed.
-MODULES = ["data_queries", "relational_queries", "finding_queries", "text_queries", "graph_queries", "extra_queries"]
+MODULES = ["relational_queries", "finding_queries", "text_queries", "graph_queries", "extra_queries"]
 
 
 def all_registries() -> list:

@@ -23,7 +23,7 @@ def p22_clamped(spark, d):
 
 @R.add("p34_nonzero", with_views("SELECT severity, count(*) FILTER (WHERE suppressed) AS n FROM finds GROUP BY 1 HAVING count(*) FILTER (WHERE suppressed) > 0", "finds"))
 def p34_nonzero(spark, d):
-    return v.finds(spark, d).groupBy("severity").agg(F.count_if("suppressed").alias("n")).filter("n > 0")
+    return v.finds(spark, d, "id", "severity", "suppressed").groupBy("severity").agg(F.count_if("suppressed").alias("n")).filter("n > 0")
 
 
 @R.add("p38_constant_name", with_views("SELECT symbol_id, (name = upper(name) AND name <> lower(name) AND (contains(name, '_') OR length(name) > 2)) AS constant FROM syms", "syms"))
@@ -55,7 +55,7 @@ def f24_json_or_words(spark, d):
 @R.add("f27_icons", with_views("SELECT id, CASE severity WHEN 'error' THEN 'E' WHEN 'warning' THEN 'W' ELSE 'N' END AS icon FROM finds", "finds"))
 def f27_icons(spark, d):
     table = F.create_map(F.lit("error"), F.lit("E"), F.lit("warning"), F.lit("W"))
-    return v.finds(spark, d).select("id", F.coalesce(F.try_element_at(table, F.col("severity")), F.lit("N")).alias("icon"))
+    return v.finds(spark, d, "id", "severity").select("id", F.coalesce(F.try_element_at(table, F.col("severity")), F.lit("N")).alias("icon"))
 
 
 @R.add("f28_text_changed", with_views("SELECT DISTINCT file_id, trim(content) IS DISTINCT FROM trim(replace(content, 'shard', 'part')) AS changed FROM source_files"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.operators import findings as fi
 from tallyloom.operators import relational as rel
+from tallyloom.operators.chunks import diff_counts
+from tallyloom.operators.clamps import RISK_WORDS, risk_areas
+from tallyloom.operators.model_calls import FORBIDDEN, script_problem
 from tallyloom.plans import views as v
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.views import with_views
+from tallyloom.sources.files import SKIP_EXTENSIONS, reviewable
 
 R = Registry()
 
@@ -20,9 +24,11 @@ def _then(sql: str) -> str:
     return sql.replace(")\n\n    , ", "),\n    ").replace(")\n, ", "),\n")
 
 
-@R.add("p19_confident", "SELECT DISTINCT id FROM findings WHERE coalesce(confidence, 0.5) >= 0.6")
+@R.add("p19_confident", "SELECT DISTINCT id FROM findings WHERE coalesce(confidence, 0.5) >= 0.6 AND NOT coalesce(is_suppressed, false)")
 def p19_confident(spark: SparkSession, d: str) -> DataFrame:
-    return fi.confident(v.finds(spark, d, "id", "confidence")).select("id")
+    """Findings that weren't marked invalid (here: suppressed) and are confident enough."""
+    f = v.finds(spark, d, "id", "confidence", "suppressed")
+    return fi.confident(f.withColumn("is_valid", ~F.col("suppressed"))).select("id")
 
 
 @R.add("p20_postable", with_views("SELECT id FROM finds WHERE severity IN ('error', 'warning') AND file_path IS NOT NULL AND coalesce(line_start, 0) <> 0", "finds"))
@@ -55,11 +61,32 @@ def p29_tool_severity(spark, d):
     return f.select("id", F.col("tool_source").alias("tool"), fi.tool_severity(F.col("tool_source"), F.col("severity")).alias("severity"))
 
 
-@R.add("p10_reviewable", r"SELECT DISTINCT file_id FROM source_files WHERE content IS NOT NULL AND lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) NOT IN ('.class', '.pyc', '.lock', '.map', '.svg', '.png', '.pdf', '.jar', '.go')")
+@R.add("p10_reviewable", rf"SELECT DISTINCT file_id FROM source_files WHERE content IS NOT NULL AND lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) NOT IN {SKIP_EXTENSIONS}")
 def p10_reviewable(spark, d):
-    """Files by extension; the list of extensions is a parameter of the caller."""
+    """Files with content that a review reads, by extension."""
     f = v.load(spark, d, "source_files").filter("content is not null")
-    return f.filter(~tx.ext(F.col("file_path")).isin(".class", ".pyc", ".lock", ".map", ".svg", ".png", ".pdf", ".jar", ".go")).select("file_id").distinct()
+    return f.filter(reviewable(F.col("file_path"))).select("file_id").distinct()
+
+
+@R.add("p11_patch_files", rf"""
+    WITH p AS (SELECT doc_id, file_path, regexp_split_to_array(text, '\r?\n') AS ls FROM documents WHERE kind = 'diff' AND text IS NOT NULL AND file_path IS NOT NULL)
+    SELECT doc_id, CASE WHEN list_contains(ls, '--- /dev/null') THEN 'added' WHEN len(list_filter(ls, lambda x: starts_with(x, 'rename to '))) > 0 THEN 'renamed' ELSE 'modified' END AS status,
+      CAST(len(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS INTEGER) AS additions, CAST(len(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS INTEGER) AS deletions
+    FROM p WHERE NOT list_contains(ls, '+++ /dev/null') AND lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) NOT IN {SKIP_EXTENSIONS}""")
+def p11_patch_files(spark, d):
+    """Changed files that aren't deleted and are reviewable, with status and counts of lines."""
+    t = v.load(spark, d, "documents").filter("kind = 'diff' and text is not null and file_path is not null").withColumn("ls", F.split("text", r"\r?\n"))
+    status = F.when(F.array_contains("ls", "--- /dev/null"), "added").when(F.exists("ls", lambda x: x.startswith("rename to ")), "renamed").otherwise("modified")
+    plus, minus = diff_counts(F.col("text"))
+    kept = t.filter(reviewable(F.col("file_path")) & ~F.array_contains("ls", "+++ /dev/null"))
+    return kept.select("doc_id", status.alias("status"), plus.alias("additions"), minus.alias("deletions"))
+
+
+@R.add("p32_script_problems", "WITH t AS (SELECT DISTINCT file_id, content AS s FROM source_files WHERE length(content) > 0) SELECT file_id, CASE " + " ".join("WHEN regexp_matches(s, '(?i)" + p.replace("'", "''") + "') THEN '" + r + "'" for p, r in FORBIDDEN) + r" WHEN len(regexp_split_to_array(regexp_replace(s, '(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) > 200 THEN 'longer than 200 lines' END AS problem FROM t")
+def p32_script_problems(spark, d):
+    """The first reason for which a text may not be run as a script, over all source files."""
+    s = v.load(spark, d, "source_files").filter("length(content) > 0").select("file_id", "content").distinct()
+    return s.select("file_id", script_problem(F.col("content")).alias("problem"))
 
 
 @R.add("p12_glob_skip", "SELECT DISTINCT file_id FROM source_files WHERE NOT (file_path GLOB '*.go' OR starts_with(file_path, 'lib/') OR file_path GLOB 'app/*/a*.py')")
@@ -84,9 +111,11 @@ def p26_language(spark, d):
     return v.load(spark, d, "source_files").select("file_id", language(F.col("file_path")).alias("language")).distinct()
 
 
-@R.add("p35_risk_words", with_views("SELECT id FROM finds WHERE regexp_matches(lower(message), 'secret|token|lock|race|deadlock|leak')", "finds"))
-def p35_risk_words(spark, d):
-    return v.finds(spark, d, "id", "message").filter(F.lower("message").rlike("secret|token|lock|race|deadlock|leak")).select("id")
+@R.add("p35_risk_areas", "SELECT doc_id, " + " || ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in ws)} THEN '{a},' ELSE '' END" for a, ws in RISK_WORDS.items()) + " AS areas FROM documents WHERE kind = 'diff' AND text IS NOT NULL")
+def p35_risk_areas(spark, d):
+    """The areas whose words stand in a diff."""
+    t = v.load(spark, d, "documents").filter("kind = 'diff' and text is not null")
+    return t.select("doc_id", F.array_join(F.transform(risk_areas(F.col("text")), lambda x: F.concat(x, F.lit(","))), "").alias("areas"))
 
 
 @R.add("p37_exported", with_views("SELECT symbol_id, NOT starts_with(name, '_') AS exported FROM syms", "syms"))
@@ -99,12 +128,12 @@ def a10_severities_per_review(spark, d):
     return rel.severity_counts(v.finds(spark, d, "review_id", "severity"), ["review_id"])
 
 
-@R.add("a11_penalty", with_views("SELECT review_id, greatest(0.0, round(10 - least(2.0 * e + 0.5 * w + 0.1 * n, 10), 1)) AS score FROM (SELECT review_id, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, count(*) FILTER (WHERE severity = 'note') AS n FROM finds GROUP BY 1)", "finds").replace("2.0 * e + 0.5 * w + 0.1 * n", "CAST(2 AS DOUBLE) * e + CAST(0.5 AS DOUBLE) * w + CAST(0.1 AS DOUBLE) * n").replace("greatest(0.0,", "greatest(CAST(0 AS DOUBLE),"))
+@R.add("a11_penalty", with_views("SELECT review_id, greatest(0.0, round_even(10 - least(2.0 * e + 0.5 * w + 0.1 * n, 10), 1)) AS score FROM (SELECT review_id, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, count(*) FILTER (WHERE severity = 'note') AS n FROM finds GROUP BY 1)", "finds").replace("2.0 * e + 0.5 * w + 0.1 * n", "CAST(2 AS DOUBLE) * e + CAST(0.5 AS DOUBLE) * w + CAST(0.1 AS DOUBLE) * n").replace("greatest(0.0,", "greatest(CAST(0 AS DOUBLE),"))
 def a11_penalty(spark, d):
     """A weighted, clamped score per review from its severity counts."""
     c = rel.severity_counts(v.finds(spark, d, "review_id", "severity"), ["review_id"])
     loss = F.lit(2.0) * F.col("errors") + F.lit(0.5) * F.col("warnings") + F.lit(0.1) * F.col("notes")
-    return c.select("review_id", F.greatest(F.lit(0.0), F.round(10 - F.least(loss, F.lit(10.0)), 1)).alias("score"))
+    return c.select("review_id", F.greatest(F.lit(0.0), F.bround(10 - F.least(loss, F.lit(10.0)), 1)).alias("score"))
 
 
 @R.add("a12_findings_by_file", with_views("SELECT file_path, count(*) AS n, count(DISTINCT severity) AS n_severities FROM finds WHERE file_path IS NOT NULL GROUP BY 1", "finds"))

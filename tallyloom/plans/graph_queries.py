@@ -15,7 +15,6 @@ from tallyloom.operators import mutations as mu
 from tallyloom.plans import views as v
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.views import SQL, with_views
-from tallyloom.operators.near_sets import near_duplicates
 
 R = Registry()
 
@@ -115,13 +114,6 @@ def j22_drawing_edges(spark, d):
     return gr.pairs_to_draw(c, i).select("changed", "affected")
 
 
-@R.add("p5_groups")
-def p5_groups(spark, d):
-    """Findings that report the same at the same place, with their group (its least id), one row per grouped finding."""
-    links = near_duplicates(v.load(spark, d, "findings"), "id", "file_path", "line_start", "message", threshold=0.6, max_gap=3, every=False)
-    return gr.components(links)
-
-
 @R.add("m01_insert_absent", with_views("SELECT id, full_name FROM repos UNION ALL SELECT -n.id AS id, 'new-' || n.id AS full_name FROM repos n WHERE n.id % 2 = 0", "repos"))
 def m01_insert_absent(spark, d):
     r = v.repos(spark, d, "id", "full_name").select("id", "full_name")

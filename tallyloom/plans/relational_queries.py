@@ -144,16 +144,16 @@ def a04_top_categories(spark, d):
     return rel.top(n, 10, F.desc("n"), F.asc("category"))
 
 
-@R.add("a05_findings_per_review", with_views("SELECT CASE WHEN r.n > 0 THEN round(f.n / r.n, 2) ELSE 0 END AS ratio FROM (SELECT count(*) AS n FROM finds WHERE NOT suppressed) f, (SELECT count(*) AS n FROM revs WHERE status = 'completed') r", "finds", "revs"))
+@R.add("a05_findings_per_review", with_views("SELECT CASE WHEN r.n > 0 THEN round_even(f.n / r.n, 2) ELSE 0 END AS ratio FROM (SELECT count(*) AS n FROM finds WHERE NOT suppressed) f, (SELECT count(*) AS n FROM revs WHERE status = 'completed') r", "finds", "revs"))
 def a05_findings_per_review(spark, d):
     f = v.finds(spark, d, "suppressed").filter(~F.col("suppressed")).agg(F.count("*").alias("f"))
     r = v.revs(spark, d, "status").filter("status = 'completed'").agg(F.count("*").alias("r"))
-    return f.join(r).select(F.round(F.when(F.col("r") > 0, F.col("f") / F.col("r")).otherwise(0.0), 2).alias("ratio"))  # one row each
+    return f.join(r).select(F.bround(F.when(F.col("r") > 0, F.col("f") / F.col("r")).otherwise(0.0), 2).alias("ratio"))  # one row each
 
 
-@R.add("a06_mean_duration", with_views("SELECT round(coalesce(avg(duration), 0), 1) AS avg_seconds FROM revs WHERE status = 'completed'", "revs"))
+@R.add("a06_mean_duration", with_views("SELECT round_even(coalesce(avg(duration), 0), 1) AS avg_seconds FROM revs WHERE status = 'completed'", "revs"))
 def a06_mean_duration(spark, d):
-    return v.revs(spark, d, "status", "duration").filter("status = 'completed'").agg(F.round(F.coalesce(F.avg("duration"), F.lit(0.0)), 1).alias("avg_seconds"))
+    return v.revs(spark, d, "status", "duration").filter("status = 'completed'").agg(F.bround(F.coalesce(F.avg("duration"), F.lit(0.0)), 1).alias("avg_seconds"))
 
 
 @R.add("a07_daily_trend", with_views(f"""
@@ -258,10 +258,10 @@ def f16_dates(spark, d):
     return v.revs(spark, d, "id", "created_at").select("id", day.alias("day"), F.date_format("created_at", "yyyy-MM-dd").alias("label"), F.date_sub(day, 29).alias("window_start"), (F.weekday(day) + 1).alias("weekday"))
 
 
-@R.add("f18_rounding", with_views("SELECT id, round(duration, 1) AS r1, CAST(floor(duration + 0.5) AS BIGINT) AS half_up, round_even(total_findings / 4.0, 0) AS half_even FROM revs WHERE duration IS NOT NULL", "revs"))
+@R.add("f18_rounding", with_views("SELECT id, round_even(duration, 1) AS r1, CAST(floor(duration + 0.5) AS BIGINT) AS half_up, round_even(total_findings / 4.0, 0) AS half_even FROM revs WHERE duration IS NOT NULL", "revs"))
 def f18_rounding(spark, d):
     r = v.revs(spark, d, "id", "total_findings", "duration").filter("duration is not null")
-    return r.select("id", F.round("duration", 1).alias("r1"), F.floor(F.col("duration") + 0.5).alias("half_up"), F.bround(F.col("total_findings") / 4.0, 0).alias("half_even"))
+    return r.select("id", F.bround("duration", 1).alias("r1"), F.floor(F.col("duration") + 0.5).alias("half_up"), F.bround(F.col("total_findings") / 4.0, 0).alias("half_even"))
 
 
 @R.add("f23_maps", with_views("SELECT review_id, CAST(len(map_keys(m)) AS INTEGER) AS n_severities, coalesce(m['error'], 0) AS n_errors FROM (SELECT review_id, map_from_entries(list((severity, n))) AS m FROM (SELECT review_id, severity, count(*) AS n FROM finds GROUP BY 1, 2) GROUP BY 1)", "finds"))

@@ -34,10 +34,13 @@ def with_views(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + body
 
 
-def _pruned(df: DataFrame, spec: dict[str, tuple[tuple[str, ...], Column]], want: tuple[str, ...], order: str | None = None) -> DataFrame:
-    """The wanted columns of a view, one row per id; only the raw columns that they need are read and shuffled."""
+def _pruned(df: DataFrame, spec: dict[str, tuple[tuple[str, ...], Column]], want: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """The wanted columns of a view, one row per id; only the raw columns that they need are read and shuffled.
+
+    Of several versions of an id the one greatest in ``order`` stands, whatever columns are wanted.
+    """
     want = want or tuple(spec)
-    raw = dict.fromkeys(["id", *([order] if order else []), *(c for w in want for c in spec[w][0])])
+    raw = dict.fromkeys(["id", *order, *(c for w in want for c in spec[w][0])])
     one = latest_by_id(df.select(*raw), "id", order)
     return one.select(*[spec[w][1].alias(w) for w in want])
 
@@ -52,12 +55,12 @@ def _usable(c: str) -> Column:
 
 def repos(spark: SparkSession, d: str, *want: str) -> DataFrame:
     spec = _same("id", "provider_id", "default_branch", "is_active", "created_at", "updated_at") | {"provider": (("provider",), F.lower(F.trim("provider"))), "full_name": (("full_name",), F.lower(F.trim("full_name")))}
-    return _pruned(load(spark, d, "repositories"), spec, want, "updated_at")
+    return _pruned(load(spark, d, "repositories"), spec, want, ("updated_at",))
 
 
 def prs(spark: SparkSession, d: str, *want: str) -> DataFrame:
     spec = _same("id", "repository_id", "provider_pr_id", "title", "author", "source_branch", "target_branch", "is_draft", "diff_size", "created_at", "updated_at") | {"state": (("state",), F.lower(F.trim("state")))}
-    return _pruned(load(spark, d, "pull_requests"), spec, want, "updated_at")
+    return _pruned(load(spark, d, "pull_requests"), spec, want, ("updated_at",))
 
 
 def revs(spark: SparkSession, d: str, *want: str) -> DataFrame:
@@ -69,7 +72,7 @@ def revs(spark: SparkSession, d: str, *want: str) -> DataFrame:
         "tokens_out": (("total_tokens_output",), F.col("total_tokens_output")),
         "cost": (("cost_estimate",), F.when(_usable("cost_estimate"), F.col("cost_estimate"))),
     }
-    return _pruned(load(spark, d, "reviews"), spec, want)
+    return _pruned(load(spark, d, "reviews"), spec, want, ("completed_at", "created_at", "pull_request_id"))
 
 
 def finds(spark: SparkSession, d: str, *want: str) -> DataFrame:
@@ -79,7 +82,7 @@ def finds(spark: SparkSession, d: str, *want: str) -> DataFrame:
         "category": (("category",), norm_category(F.col("category"))),
         "suppressed": (("is_suppressed",), F.coalesce("is_suppressed", F.lit(False))),
     }
-    return _pruned(load(spark, d, "findings"), spec, want)
+    return _pruned(load(spark, d, "findings"), spec, want, ("review_id", "line_start", "confidence"))
 
 
 def syms(spark: SparkSession, d: str) -> DataFrame:

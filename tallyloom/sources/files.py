@@ -15,6 +15,15 @@ SKIP_DIRS = ("__pycache__", ".venv", "venv", "node_modules", ".git", "dist", "bu
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".md": "markdown", ".txt": "text"}
 
 
+#: Extensions of files that no review reads.
+SKIP_EXTENSIONS = (".class", ".pyc", ".pyo", ".o", ".so", ".dll", ".exe", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".zip", ".tar", ".gz", ".jar", ".war", ".lock", ".map", ".min.js", ".min.css", ".pdf", ".doc", ".docx")
+
+
+def reviewable(path: Column) -> Column:
+    """Whether a file is one that a review reads, by its extension."""
+    return ~ext(path).isin(*SKIP_EXTENSIONS)
+
+
 def language(path: Column) -> Column:
     """Language of a path by its extension, else ``unknown``."""
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])

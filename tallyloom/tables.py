@@ -48,15 +48,16 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schema(name))
 
 
-def latest_by_id(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def latest_by_id(df: DataFrame, key: str, order: str | tuple[str, ...] | None = None) -> DataFrame:
     """One row per ``key``: the one greatest in ``order`` (nulls first), else in all columns.
 
     A plain aggregation with partial (map-side) maxima, so an id that holds a third of all rows
     costs one row per input partition. Rows whose key is null are kept as one row. The result
     depends on the values only, never on the order of arrival.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
-    if not rest and not order:
+    first = (order,) if isinstance(order, str) else order or ()
+    rest = [c for c in df.columns if c != key and c not in first]
+    if not rest and not first:
         return df.distinct()
-    fields = ([F.col(f"`{order}`")] if order else []) + [F.col(f"`{c}`") for c in rest]
+    fields = [F.col(f"`{c}`") for c in (*first, *rest)]
     return df.groupBy(F.col(f"`{key}`")).agg(F.max(F.struct(*fields)).alias("__v")).select(*[F.col(f"`{c}`") if c == key else F.col(f"__v.`{c}`").alias(c) for c in df.columns])

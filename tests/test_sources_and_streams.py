@@ -94,8 +94,8 @@ def test_model_calls(spark):
     reg = spark.createDataFrame([("a", 1, True, False), ("b", 2, True, True), ("c", 0, False, True)], "name string, priority int, available boolean, supports_tools boolean")
     assert [r.name for r in chain_of(reg, F.lit(False), F.lit("b")).collect()] == ["b", "a"]
     assert [r.name for r in chain_of(reg, F.lit(True), F.lit("zz")).collect()] == ["b"]
-    s = spark.createDataFrame([("import socket",), ("OS.SYSTEM('x')",), ("print(1)",), ("\n" * 300,)], "s string")
-    assert [r.p for r in s.select(script_problem(F.col("s")).alias("p")).collect()] == ["network socket usage", "os.system call", None, "longer than 200 lines"]
+    s = spark.createDataFrame([("import socket",), ("OS.SYSTEM('x')",), ("print(1)",), ("\n" * 300,), ("import aiohttp",), ("x = EVAL (y)",), ("exec(a)",), ("m = __import__('os')",), ("evaluate(x)",), ("a\n" * 200,)], "s string")
+    assert [r.p for r in s.select(script_problem(F.col("s")).alias("p")).collect()] == ["network socket usage", "os.system call", None, "longer than 200 lines", "aiohttp (network) import", "eval() usage (code injection risk)", "exec() usage (code injection risk)", "__import__ usage", None, None]
 
 
 def drained(stream, name):
