@@ -18,7 +18,7 @@ def con():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["model_used", "metric", "n", "p50", "p90", "p95", "p99", "error_bound"]
+    assert df.columns == ["query", "doc_id", "score", "dense_rank", "lexical_rank", "place"]
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
