@@ -1,15 +1,16 @@
 """Checks on one answer to one question: is it empty, a copy, a refusal, cut off, in a wrong language?
 
 Pure Python, no Spark. Truncation is found by a pushdown parser over fences, brackets, quotations,
-lists and markup; copies by greedy string tiling; languages by script and function words; refusals
-by a small grammar (who, cannot or must not, do what with the request).
+lists and markup; copies by greedy string tiling; languages by script and letter sequences
+(``langid``); refusals by a grammar over classes of words (``refusals``).
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from tallyloom.llm.langid import FREQUENT, LANGUAGES, SAMPLES, Profiles
+from tallyloom.llm.refusals import declines
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|\w+")
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})([^\n`]*)$")
@@ -112,44 +113,6 @@ def is_copy(question: str, answer: str) -> bool:
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
 _CODE = re.compile(r"`[^`\n]*`")
 
-_ASK = r"(?:help|assist|answer|respond|reply|comment|review|discuss|look into|advise|give (?:any |an? )?(?:advice|opinion|answer|information|view)|giv(?:e|ing) advice|provide|share|say|opine|process|handle|address|analy[sz]e|judge|assess|evaluate|talk|speak|disclose|reveal|do (?:that|this)|continue|comply|fulfil|complete|support|make|offer|support|engage|weigh in|take part|act on|work on|check|explain|summari[sz]e|approve)\b"
-#: The grammar of refusals: fixed values, one pattern per form; English, German, Spanish, French.
-_REFUSALS = [re.compile(p, re.I) for p in (
-    rf"\b(?:i|we)(?:['’]m| am|['’]re| are)? (?:really |very |truly |so )?(?:sorry|afraid)\b.*\b(?:can(?:no|['’])?t|cannot|can not|won['’]?t|will not|unable|not able|must (?:decline|refuse)|not allowed|not permitted|no answer)\b",
-    rf"\b(?:i|we|assistant|reviewer|bot|model)(?: really| simply| just)? (?:can(?:no|['’])t|cannot|can not|could not|couldn['’]t|may not|must not|mustn['’]t|will not|won['’]t|shall not|should not|shouldn['’]t|would rather not|prefer not to|(?:am|are|is|['’]m) (?:not (?:able|allowed|permitted|authori[sz]ed|in a position|going|willing|supposed|free|qualified|comfortable)|unable|forbidden)(?: to)?)\b(?: be able to)?(?: to)? {_ASK}",
-    rf"\b(?:i|we)['’]?(?: a|  ?a)?m (?:not (?:able|allowed|permitted|authori[sz]ed|in a position|going|willing|supposed|free)|unable|forbidden) (?:to )?{_ASK}",
-    rf"\b(?:i|we)['’]?(?:ll| will| would)? ?(?:won['’]t|will not|not) be able to {_ASK}",
-    r"\b(?:i|we)(?: respectfully| politely)? (?:must|have to|need to|will|shall|would like to|['’]ll|am going to)(?: respectfully| politely| unfortunately)? (?:decline|refuse|refrain|abstain|pass|stay out|reject)\b",
-    r"\bi['’](?:ll|d) (?:rather )?(?:have to )?(?:pass|decline|refuse|refrain|abstain)\b",
-    r"\b(?:i|we) (?:decline|refuse|refrain|abstain)\b",
-    r"\b(?:don['’]t|do not|doesn['’]t|does not) have (?:the )?(?:permission|authori[sz]ation|clearance|right|authority)\b",
-    r"\bno comment (?:on|from|about)\b|\bno (?:answer|comment|opinion|advice|statement|response) (?:can|may|could|will) be (?:provided|given|made|offered)\b",
-    r"\b(?:requests?|questions?|topics?|matters?|inquiries|queries|this|that|it|these|such)\b.{0,60}\b(?:(?:is|are|falls?|lies?) (?:off[- ]limits|out of (?:my )?(?:scope|bounds)|outside|beyond)|(?:is|are) not (?:handled|answered|supported|permitted|allowed|something i (?:can|may|am)|for me to))\b",
-    r"\b(?:falls?|is|lies?|are) (?:outside|beyond|not within|out of) (?:of )?(?:what i|my |the (?:scope|topics|range|things)|what this assistant)\b",
-    r"\b(?:it )?(?:would|will) not be (?:appropriate|proper|right|possible|suitable|ethical|responsible) for (?:me|us|this assistant|an assistant)\b|\bnot (?:appropriate|proper) for me to\b",
-    r"\b(?:my|our|the|company) (?:guidelines?|policy|policies|rules?|instructions?|terms)\b.{0,40}\b(?:rules? (?:it|this|that) out|do(?:es)? not (?:permit|allow|let)|don['’]t (?:permit|allow|let)|doesn['’]t (?:permit|allow|let)|forbids?|prohibits?|prevents?|keeps? me from|stops? me|bars?)\b",
-    r"\b(?:i have|i['’]ve|i) been (?:told|asked|instructed|ordered) (?:to stay (?:out|away)|not to|to avoid|to refrain|to decline)\b",
-    r"\b(?:something|one) (?:that )?i (?:would|['’]d) (?:rather|prefer to) (?:leave|not|hand|pass)\b|\bi (?:would|['’]d) (?:rather|prefer to) (?:not|leave (?:this|that|it)|hand (?:this|that|it))\b",
-    r"\b(?:is|are) (?:restricted|blocked|closed|locked|confidential|classified|prohibited|forbidden) (?:for|to) (?:automated|me\b|bots?|this assistant|ai)",
-    r"\b(?:against|violates?|conflicts? with) (?:my|our|the) (?:policy|policies|guidelines?|rules|principles|terms)\b",
-    r"\bas an? (?:automated|ai|artificial|language|virtual|code)\b.{0,40}\b(?:can(?:no|['’])?t|cannot|can not|unable|not able|not allowed|must not|may not|won['’]t|don['’]t|do not)\b",
-    # German
-    r"\b(?:ich|wir) (?:\S+ ){0,4}?(?:kann|können|darf|dürfen|werde|werden|will|möchte|muss|müssen)\b(?: \S+){0,8}? (?:nicht|keine?n?m?r?|leider)\b(?: \S+){0,8}? (?:helfen|antworten|beantworten|kommentieren|sagen|äußern|auskunft|stellung|bewerten|prüfen|unterstützen|beurteilen|weiterhelfen|eingehen|bearbeiten|ratschläge|geben|behandeln|besprechen)",
-    r"\b(?:dabei|dazu|damit|hierbei|hierzu|darüber|da|daran|zu \S+|über \S+)\b(?: \S+){0,3}? (?:kann|darf|werde|will|möchte|können|dürfen) (?:ich|wir)\b(?: \S+){0,6}? (?:nicht|kein|keine|keinen|leider)\b",
-    r"\b(?:anfrage|frage|fragen|anliegen|bitte|thema|themen|aufgabe)\b(?: \S+){0,4}? (?:muss|müssen|möchte|werde|kann|darf|soll)(?: ich| wir)?\b(?: \S+){0,6}? (?:ablehnen|zurückweisen|verweigern|nicht)\b",
-    r"\b(?:solche|diese|derartige) (?:fragen?|anfragen?|themen|auskünfte)\b.{0,40}\b(?:nicht|ablehnen|keine)\b",
-    r"\b(?:lehne|verweigere|weigere)\b.{0,40}\b(?:ab|mich|antwort|auskunft)\b|\b(?:bin|sind) (?:leider )?nicht (?:befugt|berechtigt|in der lage|autorisiert|dafür zuständig|zuständig)\b|\b(?:nicht|kein\w*) (?:in meinen?|meine\w*) (?:zuständigkeit|aufgabenbereich|bereich)\b|\b(?:steht|ist) mir nicht (?:zu|erlaubt|gestattet|möglich)\b|\bes ist mir nicht (?:erlaubt|gestattet|möglich)\b|\b(?:richtlinien|vorgaben|regeln)\b.{0,40}\b(?:verbieten|untersagen|erlauben|lassen)\b",
-    # Spanish
-    r"\bno (?:me )?(?:puedo|podemos|podré|debo|voy a|quiero|deseo)\b(?: \S+){0,3}? ?(?:ayudar|responder|contestar|comentar|opinar|revisar|dar|ofrecer|atender|hablar|proporcionar|asistir|analizar|evaluar|pronunciarme|compartir|tratar)",
-    r"\bno (?:me está|me es|se me|estoy|tengo|es posible|me permiten|me corresponde|me compete|está)\b(?: \S+){0,3}? ?(?:permitido|permite|autorizad[oa]|permiso|posible|permiten|responder|opinar|capacitad[oa]|habilitad[oa]|a mi alcance|autorización)",
-    r"\b(?:debo|tengo que|debemos|prefiero|me veo obligad[oa] a) (?:rechazar|declinar|abstenerme|negarme|no)\b|\bme (?:niego|abstengo)\b|\b(?:rechazo|declino)\b|\b(?:este tipo de|estas?|esas?|tales|esta clase de) (?:preguntas?|peticion(?:es)?|solicitud(?:es)?|consultas?|temas?)\b.{0,40}\b(?:no|queda[n]?|está[n]?|fuera)\b|\bfuera de (?:mi|mis|lo que)\b|\bno me corresponde\b|\b(?:política|normas|directrices|reglas)\b.{0,40}\b(?:impiden?|prohíben?|no (?:me )?permiten?|no lo permiten?)\b",
-    # French
-    r"\b(?:je|nous) ne (?:\S+ )?(?:peux|pouvons|pourrai|dois|souhaite|veux|suis pas|sommes pas|vais)\b(?: \S+){0,4}? ?(?:aider|répondre|commenter|donner|examiner|traiter|autorisée?|habilitée?|en mesure|discuter|fournir|évaluer|me prononcer|assister|accéder|parler|permettre)",
-    r"\bje (?:dois|vais|préfère|me vois (?:contrainte? de|dans l['’]obligation de)) (?:\S+ )?(?:refuser|décliner|m['’]abstenir|ne pas)\b|\bje (?:refuse|décline|m['’]abstiens)\b",
-    r"\b(?:ce genre|ce type|cette|ces|de telles) (?:de )?(?:demandes?|questions?|requêtes?|sujets?)\b.{0,50}\b(?:ne|n['’]|hors|dépasse)|\bne relèven?t? pas\b|\bhors de (?:mon|ma|mes)\b|\b(?:il ne m['’]est|ne m['’]est|n['’]est) pas (?:permis|possible|autorisé)\b|\b(?:règles|directives|politique|consignes)\b.{0,40}\b(?:interdi\w+|empêch\w+|ne (?:me |le )?permett\w+)\b",
-)]
-#: Findings about code that use the same verbs and refuse nothing.
-_SOUND = re.compile(r"\b(?:reproduce|find|see|spot|detect|reproduzieren|finden|feststellen|erkennen|encontrar|encuentro|reproducir|ver|trouver|trouve|reproduire|vois)\b", re.I)
 #: Courtesies that carry no answer.
 _COURTESY = re.compile(
     r"^\W*(?:sorry|thanks?(?: you)?|thank|many thanks|my apologies|apologies|please|hello|hi|unfortunately|of course|is there anything else|let me know|feel free|ask|contact|reach out|kindly|you will need|you(?:['’]ll)? need to|the (?:security )?team|"
@@ -164,24 +127,22 @@ def _sentences(text: str) -> list[str]:
 
 
 def is_refusal(answer: str) -> bool:
-    """Declines to answer: a sentence of the refusal grammar, and hardly anything else that answers."""
-    bare = re.sub(r"(?s)```.*?(?:```|\Z)", " ⟨code⟩. ", answer)
-    refused = False
-    rest = 0
-    for s in _sentences(bare):
-        plain = re.sub(r"\s+", " ", _CODE.sub("code", s)).strip(" *_>#-")
-        low = re.sub(r"[\w./-]+/[\w./-]+\.\w+", "path", plain)
-        if any(p.search(low) for p in _REFUSALS):
-            head = _SOUND.search(low)
-            if head and not re.search(r"\b(?:help|helfen|ayudar|aider|answer|antworten|responder|répondre|comment|review|discuss|advice)\b", low, re.I):
-                rest += len(WORD.findall(low))
-            else:
-                refused = True
-        elif not _COURTESY.match(low):
-            rest += len(WORD.findall(low)) + 5 * ("⟨" in s)
-        if rest > 8:  # too much else is said
-            return False
-    return refused
+    """Declines to answer: sentences that decline, and beside courtesies no more words than these that say anything else."""
+    if answer.lstrip().startswith(("{", "[")) and '":' in answer:
+        return False  # an answer in the form that was asked for
+    refused = rest = 0
+    for line in re.split(r"(?s)(```.*?(?:```|\Z))", answer):
+        if line.startswith("```"):
+            rest += len(WORD.findall(line))
+            continue
+        for s in _sentences(line):
+            plain = re.sub(r"[\w./-]+/[\w./-]+\.\w+", "path", re.sub(r"\s+", " ", _CODE.sub("code", s)).strip(" *_>#-"))
+            n = len(WORD.findall(plain))
+            if declines(plain):
+                refused += n
+            elif not _COURTESY.match(plain):
+                rest += n
+    return 0 < refused >= rest
 
 
 # ---------------------------------------------------------------- truncation
@@ -294,12 +255,86 @@ def _markup_open(prose: str) -> bool:
     return bool(stack) or bool(re.search(r"<(?:[a-z][\w-]*(?:\s+[^<>]*)?|/[a-z][\w-]*)$", prose, re.I))
 
 
+#: Quotation marks that open, with those that close them.
+_QUOTES = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』"}
+
+
+def _prose_open(lines: list[str]) -> bool:
+    """Whether prose ends inside a bracket, quotation, code span or emphasis.
+
+    A pushdown parse over all lines. Brackets and quotation marks are pushed and popped across
+    lines; code spans and emphasis end with their paragraph (a blank line, item or heading begins a
+    new one). Straight quotation marks open before and close behind a word; behind a number they
+    are units. What closes nothing (emoticons, "a)") is passed over.
+    """
+    stack: list[str] = []
+    text = "\n".join(lines)
+    k, n = 0, len(text)
+    while k < n:
+        c = text[k]
+        if c == "`":
+            run = 1
+            while k + run < n and text[k + run] == "`":
+                run += 1
+            end = text.find("`" * run, k + run)
+            stop = text.find("\n\n", k)
+            if end < 0 and stop < 0:
+                return True
+            k = end + run if end >= 0 and (stop < 0 or end < stop) else k + run
+            continue
+        if c == "\\":
+            k += 2
+            continue
+        if c == "\n" and (text.startswith("\n\n", k) or _ITEM_START.match(text, k + 1)):
+            stack = [x for x in stack if x != "**"]
+        elif c == "*" and text.startswith("**", k):
+            if "**" in stack:
+                while stack.pop() != "**":
+                    pass
+            elif k + 2 < n and not text[k + 2].isspace() or k + 2 == n:
+                stack.append("**")
+            k += 2
+            continue
+        elif c in "([{":
+            if not (c == "(" and k and text[k - 1] in ":;-"):  # an emoticon
+                stack.append(c)
+        elif c in ")]}":
+            if _PAIRS[c] in stack:
+                while stack.pop() != _PAIRS[c]:
+                    pass
+        elif c == '"':
+            before, after = text[k - 1] if k else " ", text[k + 1] if k + 1 < n else " "
+            if '"' in stack:
+                while stack.pop() != '"':
+                    pass
+            elif not before.isdigit() and not (before.isalpha() and not after.isalnum()):
+                stack.append('"')
+        elif stack and c in _QUOTES.get(stack[-1], ""):
+            stack.pop()
+        elif c in _QUOTES:
+            stack.append(c)
+        k += 1
+    return bool(stack)
+
+
+_ITEM_START = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)]|#{1,6})[ \t]")
+#: Words after which a sentence goes on.
+DANGLING = frozenset(
+    "a an the of to by with and or but is are was were be been from for at as than that which whose because if when while into onto between under its their our your my his her every each no very "
+    "der die das ein eine einen einem einer des dem den und oder aber von mit zu für bei aus nach vor über unter durch als wenn weil dass ist sind war wird werden sehr jede jeder kein keine "
+    "el la los las un una unos unas de del y o u pero con para por en a al que si cuando porque es son está están muy cada su sus ningún "
+    "le les des du une et ou mais de à au aux avec pour par dans sur sous que qui dont si quand parce est sont était très chaque son sa ses leur leurs notre votre "
+    "il lo gli di del della e ma per tra che se quando perché è sono il uno os as um uma do da dos das com em não no na het een van voor met en of maar dat wanneer omdat i lub ale z do na że".split()
+) - {"no", "at", "a", "over", "on", "in", "war", "i"} | {"a"}
+
+
 def is_truncated(answer: str) -> bool:
     """Breaks off inside a sentence, code block or JSON.
 
-    A pushdown parse by lines: fences push and pop; within prose, quotes of code, brackets and
-    emphasis; whole JSON is parsed by its own grammar. Short whole answers, list items without a
-    full stop beside others of that kind, signatures, links and code are whole.
+    Fences are parsed by lines, whole JSON by its own grammar, code in a closed fence for what it
+    leaves open, and all prose by one pushdown parse. Then the last line decides: whether it ends a
+    sentence, or in a word after which a sentence goes on. Short whole answers, list items without
+    a full stop beside others of that kind, signatures, links and code are whole.
     """
     text = answer.strip()
     if not text:
@@ -308,6 +343,7 @@ def is_truncated(answer: str) -> bool:
     if open_ is not None:
         return open_
     prose: list[str] = []
+    open_lines: list[str] = []  # the prose with its blank lines
     fence = ""
     tag = ""
     code: list[str] = []
@@ -326,7 +362,10 @@ def is_truncated(answer: str) -> bool:
             fence, tag, code = m.group(1), m.group(2).strip(), []
         elif line.strip():
             prose.append(line)
+            open_lines.append(line)
             last_code = False
+        else:
+            open_lines.append("")
     if fence:
         return True
     if "<" in text:
@@ -336,7 +375,7 @@ def is_truncated(answer: str) -> bool:
         if not prose:
             return False
     if last_code:
-        return False
+        return _prose_open(open_lines)
     last = prose[-1].rstrip()
     if _SIGNATURE.match(last):
         return False
@@ -346,21 +385,16 @@ def is_truncated(answer: str) -> bool:
         return True
     if body.startswith("#") or re.match(r"^\|.*\|$", body):
         return False
-    if body.count("`") % 2 or body.count("**") % 2:
-        return True
-    stack: list[str] = []
-    for c in _CODE.sub("", body):
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}" and stack and stack[-1] == _PAIRS[c]:
-            stack.pop()
-    if stack:
+    if _prose_open(open_lines):
         return True
     if re.search(r"[,;(\[{]$|\s[-–—]$", body):
         return True
     if _END.search(body) or _EMOJI_END.search(body):
         return body.endswith(":") and not item
-    if _PATH_END.search(body) and len(words(body)) <= 12:
+    said = words(body)
+    if said and said[-1] in DANGLING and body[-1].isalpha():
+        return True
+    if _PATH_END.search(body) and len(said) <= 12:
         return False
     if len(body) < 4 and not prose[:-1]:
         return False
@@ -379,21 +413,23 @@ def is_truncated(answer: str) -> bool:
 
 # ---------------------------------------------------------------- languages
 
-#: Frequent function words of four languages.
+#: Frequent function words of four languages, beside the sample texts.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for on with as was be by are this not or have from an at but which we you they its if will can would should there their has been when what who how why before after so than then them these those does do did only because until while into out each every any our your were had he she i'd i'll without nothing else both yet one two".split(),
     "de": "der die das und ist nicht ein eine einer eines einen einem zu den dem des von mit auf für im in sich auch als wie es an werden wird wurde aus bei nach noch nur oder aber wenn dass daß weil kann können bitte ob ich wir du sie er wir haben hat sind war sein ohne damit deshalb bleibt durch über unter vor zum zur beim am diese dieser dieses keine kein mehr immer wieder zwei ihr was warum".split(),
     "es": "el la los las de del que y en un una unos unas es se no por con para al lo como más pero su sus le ya o este esta esto estos estas si porque cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno ni contra otros ese eso ante ellos e son está están fue ser tiene puede qué cómo yo antes después hemos dos".split(),
     "fr": "le la les de des du un une et est en que qui ne pas pour dans ce cette ces il elle on au aux par sur avec plus se son sa ses leur mais ou où si nous vous je j'ai tu ils elles être sont été avant après sans trop car donc quand comme même aussi fait peut qu'il qu'elle c'est n'est d'un d'une lorsque deux y".split(),
 }
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_MARKS = {"de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡áíóú]"), "fr": re.compile("[çœêèàùûîô]")}
 #: How a question names the language it wants the answer in.
 _NAMES = {
     "en": r"english|englisch(?:er|e|en)?|ingl[eé]s|anglais",
     "de": r"german|deutsch(?:er|e|en)?|alem[aá]n|allemand",
     "es": r"spanish|spanisch(?:er|e|en)?|español|castellano|espagnol",
     "fr": r"french|franz[öo]sisch(?:er|e|en)?|franc[eé]s|français",
+    "it": r"italian|italienisch(?:er|e|en)?|italiano|italien",
+    "pt": r"portuguese|portugiesisch(?:er|e|en)?|portugu[eé]s|português|portugais",
+    "nl": r"dutch|niederländisch(?:er|e|en)?|holandés|neerlandés|néerlandais|nederlands",
+    "pl": r"polish|polnisch(?:er|e|en)?|polaco|polonais|polsku",
 }
 _WANTED = {k: re.compile(rf"\b(?:in|auf|en|ins)\s+(?:\w+\s+)?(?:{v})\b|\b(?:{v})\s+(?:please|only|bitte|por favor|s['’]il (?:te|vous) pla[iî]t|answer|reply|response)\b", re.I) for k, v in _NAMES.items()}
 
@@ -413,31 +449,35 @@ _SCRIPTS = {"ru": "Ѐ-ԯ", "ja": "぀-ヿ", "zh": "一-鿿", "ko": "가-힯", "a
 _OTHER = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 
 
+_PROFILES = Profiles(SAMPLES, FREQUENT | FUNCTION_WORDS, words)
+#: Evidence beside which a language is told: the lead over another one, in logarithms of likelihood, for a text and for each of its words.
+_MARGIN, _MARGIN_A_WORD = 6.0, 0.35
+
+
 def language_scores(text: str) -> dict[str, float]:
-    """How much a text's prose speaks for each language: function words and marked letters, or its script."""
+    """How much a text's prose speaks for each language, by its script or its letter sequences; nothing where it has no words."""
     prose = _prose(text)
     letters = len(re.findall(r"[^\W\d_]", prose))
     if letters and not prose.isascii():
         for k, p in _OTHER.items():
             n = len(p.findall(prose))
             if n > 0.5 * letters or (k == "ja" and n > 0.1 * letters):
-                return {k: float(n)}
-    ws = [w.replace("’", "'") for w in words(prose)]
-    split = [p for w in ws for p in ([w] if "'" not in w else [w, *w.split("'")])]
-    counts = Counter(split)
-    score = {k: float(sum(counts[w] for w in counts.keys() & s)) for k, s in _SETS.items()}
-    if not prose.isascii():
-        marked = [w for w in ws if not w.isascii()]
-        for k, marks in _MARKS.items():
-            score[k] += 0.7 * sum(bool(marks.search(w)) for w in marked)
-    return {k: v for k, v in score.items() if v}
+                return {k: 100.0 * n}
+    ws = [p for w in words(prose) for p in w.replace("’", "'").split("'") if p and not p.isdigit()]
+    if not ws:
+        return {}
+    return dict(zip(LANGUAGES, _PROFILES.score(ws).tolist())) | {"": float(len(ws))}
+
+
+def _led(score: dict[str, float], best: str, other: float) -> bool:
+    return score[best] - other >= max(_MARGIN, _MARGIN_A_WORD * score.get("", 0.0))
 
 
 def language(text: str) -> str | None:
     """The language of a text's prose, or None where it says too little."""
     score = language_scores(text)
-    best = sorted(score, key=lambda k: (-score[k], k))[:2]
-    if not best or score[best[0]] < 1 or (len(best) > 1 and score[best[0]] < 1.2 * score[best[1]]):
+    best = sorted((k for k in score if k), key=lambda k: (-score[k], k))[:2]
+    if not best or len(best) > 1 and not _led(score, best[0], score[best[1]]):
         return None
     return best[0]
 
@@ -455,8 +495,8 @@ def is_wrong_language(question: str, answer: str) -> bool:
     score = language_scores(answer)
     if want is None or not score:
         return False
-    got = max(score, key=lambda k: (score[k], k))
-    return got != want and score[got] >= 2 and score[got] >= 1.4 * score.get(want, 0.0)
+    got = max((k for k in score if k), key=lambda k: (score[k], k))
+    return got != want and _led(score, got, score.get(want, min(score.values()) if len(score) > 1 else 0.0))
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
