@@ -19,7 +19,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.,;:!?]")
+_ELISION = re.compile(r"(?:[jnmtlsdc]|qu)'")
+_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 #: Classes of words by language; a star stands for any ending, an underscore for a space.
 CLASSES: dict[str, dict[str, str]] = {
@@ -205,8 +206,8 @@ def declines(sentence: str) -> bool:
     low = sentence.lower().replace("’", "'")
     if _SET_PHRASES.search(low):
         return True
-    words = [w for w in _TOKEN.findall(low) if w[0].isalnum()]
-    words = [p for w in words for p in (w.split("'") if re.match(r"(?:[jnmtlsdc]|qu)'", w) else [w])]
+    words = _TOKEN.findall(low)
+    words = [p for w in words for p in (w.split("'") if "'" in w and _ELISION.match(w) else [w])]
     if _HINTS.isdisjoint(words):
         return False
     return any(_declines_in(words, lang) for lang in CLASSES)

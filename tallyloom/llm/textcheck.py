@@ -126,6 +126,9 @@ def _sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
 
 
+_PATH = re.compile(r"[\w./-]+/[\w./-]+\.\w+")
+
+
 def is_refusal(answer: str) -> bool:
     """Declines to answer: sentences that decline, and beside courtesies no more words than these that say anything else."""
     if answer.lstrip().startswith(("{", "[")) and '":' in answer:
@@ -136,8 +139,10 @@ def is_refusal(answer: str) -> bool:
             rest += len(WORD.findall(line))
             continue
         for s in _sentences(line):
-            plain = re.sub(r"[\w./-]+/[\w./-]+\.\w+", "path", re.sub(r"\s+", " ", _CODE.sub("code", s)).strip(" *_>#-"))
-            n = len(WORD.findall(plain))
+            plain = _CODE.sub("code", s).strip(" *_>#-")
+            if "/" in plain:
+                plain = _PATH.sub("path", plain)
+            n = plain.count(" ") + 1
             if declines(plain):
                 refused += n
             elif not _COURTESY.match(plain):
@@ -449,6 +454,7 @@ _SCRIPTS = {"ru": "Ѐ-ԯ", "ja": "぀-ヿ", "zh": "一-鿿", "ko": "가-힯", "a
 _OTHER = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 
 
+_LETTER = re.compile(r"[^\W\d_]")
 _PROFILES = Profiles(SAMPLES, FREQUENT | FUNCTION_WORDS, words)
 #: Evidence beside which a language is told: the lead over another one, in logarithms of likelihood, for a text and for each of its words.
 _MARGIN, _MARGIN_A_WORD = 6.0, 0.35
@@ -457,11 +463,11 @@ _MARGIN, _MARGIN_A_WORD = 6.0, 0.35
 def language_scores(text: str) -> dict[str, float]:
     """How much a text's prose speaks for each language, by its script or its letter sequences; nothing where it has no words."""
     prose = _prose(text)
-    letters = len(re.findall(r"[^\W\d_]", prose))
-    if letters and not prose.isascii():
+    if not prose.isascii():
+        letters = len(_LETTER.findall(prose))
         for k, p in _OTHER.items():
             n = len(p.findall(prose))
-            if n > 0.5 * letters or (k == "ja" and n > 0.1 * letters):
+            if n and (n > 0.5 * letters or k == "ja" and n > 0.1 * letters):
                 return {k: 100.0 * n}
     ws = [p for w in words(prose) for p in w.replace("’", "'").split("'") if p and not p.isdigit()]
     if not ws:
