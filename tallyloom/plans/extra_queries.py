@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import clamps as cl
 from tallyloom.operators.char_chunks import split_characters
-from tallyloom.operators.line_symbols import line_symbols
+from tallyloom.operators.code_symbols import code_symbols
 from tallyloom.operators.python_symbols import parse_python
 from tallyloom.plans import views as v
 from tallyloom.plans.registry import Registry
@@ -106,6 +106,13 @@ def x09_python_chunks(spark, d):
     return parse_python(s, "chunks")
 
 
-@R.add("g03_line_symbols")
-def g03_line_symbols(spark, d):
-    return line_symbols(v.load(spark, d, "source_files").select("file_path", "content").distinct())
+@R.add("g03_code_symbols")
+def g03_code_symbols(spark, d):
+    """Functions, methods, classes and imports of the languages other than Python."""
+    return code_symbols(v.load(spark, d, "source_files").select("file_path", "content").distinct())
+
+
+@R.add("g03_code_edges")
+def g03_code_edges(spark, d):
+    """Imports, calls and bases of the languages other than Python."""
+    return code_symbols(v.load(spark, d, "source_files").select("file_path", "content").distinct(), "edges")
