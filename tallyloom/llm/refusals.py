@@ -118,7 +118,8 @@ CLASSES: dict[str, dict[str, str]] = {
     },
 }
 _LEXICON: dict[str, dict[str, frozenset[str]]] = {lang: {name: frozenset(w.replace("_", " ") for w in text.split()) for name, text in classes.items()} for lang, classes in CLASSES.items()}
-_HINTS = frozenset(w for c in _LEXICON.values() for n in ("not", "decline", "beyond", "regret", "leave", "bar", "have") for w in c[n])
+_HINTS_OF = {lang: frozenset(w for n in ("not", "decline", "beyond", "regret", "leave", "bar", "have") for w in c[n]) for lang, c in _LEXICON.items()}
+_HINTS = frozenset().union(*_HINTS_OF.values())
 #: Impersonal phrases that are a refusal by themselves, with the sentence's other words free.
 _SET_PHRASES = re.compile(r"\bno comment\b|\b(?:above|beyond|over) my pay (?:grade|scale)\b|\bnot (?:for me|my (?:call|place|job|business)|mine) to\b|\bstay(?:ing)? (?:out of|away from|clear of)\b|\bsteer(?:ing)? clear\b|\bsit(?:ting)? (?:this|that|it|these) (?:one )?out\b|\b(?:bow|opt)(?:ing)? out\b|\brather not\b|\bprefer not\b", re.I)
 
@@ -210,4 +211,4 @@ def declines(sentence: str) -> bool:
     words = [p for w in words for p in (w.split("'") if "'" in w and _ELISION.match(w) else [w])]
     if _HINTS.isdisjoint(words):
         return False
-    return any(_declines_in(words, lang) for lang in CLASSES)
+    return any(_declines_in(words, lang) for lang in CLASSES if not _HINTS_OF[lang].isdisjoint(words))

@@ -26,13 +26,21 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _EMPTY_TAG = re.compile(r"<(\w+)[^<>]*>\s*</\1>|<(?:br|hr|p)\s*/?>|&nbsp;|&#8203;|&#160;", re.I)
 
 
+#: Two longer words: no stand-in and no empty JSON looks so.
+_READABLE = re.compile(r"^\s*[^\W\d_]{2,}\s+(?:[^\W\d_]+\s+){6,}")
+
+
 def is_empty(text: str | None) -> bool:
     """Nothing readable, or only a stand-in for nothing."""
     if text is None:
         return True
-    t = _COMMENT.sub(" ", text)
-    t = _EMPTY_TAG.sub(" ", t)
-    t = re.sub(r"(?m)^[ \t]*(?:`{3,}|~{3,})[\w+-]*[ \t]*$", " ", t)
+    t = text
+    if "<" in t or "&" in t:
+        t = _EMPTY_TAG.sub(" ", _COMMENT.sub(" ", t))
+    if "```" in t or "~~~" in t:
+        t = re.sub(r"(?m)^[ \t]*(?:`{3,}|~{3,})[\w+-]*[ \t]*$", " ", t)
+    if _READABLE.match(t):
+        return False
     t = _INVISIBLE.sub(" ", t).strip()
     t = re.sub(r"^(?:[>#*+|-]\s*)+(?=\w|\()|(?<=\w)[\s.!:]+$", "", t)
     low = t.lower().strip("*_`\"' ")
@@ -436,20 +444,33 @@ _NAMES = {
     "nl": r"dutch|niederländisch(?:er|e|en)?|holandés|neerlandés|néerlandais|nederlands",
     "pl": r"polish|polnisch(?:er|e|en)?|polaco|polonais|polsku",
 }
+_ANY_NAME = re.compile("|".join(_NAMES.values()), re.I)
 _WANTED = {k: re.compile(rf"\b(?:in|auf|en|ins)\s+(?:\w+\s+)?(?:{v})\b|\b(?:{v})\s+(?:please|only|bitte|por favor|s['’]il (?:te|vous) pla[iî]t|answer|reply|response)\b", re.I) for k, v in _NAMES.items()}
 
 
 def _prose(text: str) -> str:
-    t = re.sub(r"(?s)(`{3,}|~{3,}).*?(?:\1|\Z)", " ", text)
-    t = _CODE.sub(" ", t)
-    t = re.sub(r"(?m)^\s*>.*$", " ", t)
-    t = re.sub(r"https?://\S+|[\w.-]+/[\w./-]+(?::\d+)*|\b\w*[_\d]\w*\b|\b[a-z]+[A-Z]\w*\b", " ", t)
+    """The words of a text's prose: without code, quoted lines, paths, links and names of code."""
+    t = text
+    if "```" in t or "~~~" in t:
+        t = re.sub(r"(?s)(`{3,}|~{3,}).*?(?:\1|\Z)", " ", t)
+    if "`" in t:
+        t = _CODE.sub(" ", t)
+    if ">" in t:
+        t = re.sub(r"(?m)^\s*>.*$", " ", t)
     j = t.strip()
     if j.startswith(("{", "[")) and '"' in j:
         t = " ".join(re.findall(r'":\s*"((?:\\.|[^"\\])*)"', j))
-    return t
+    kept = []
+    for w in t.split():
+        if w.isalpha():
+            if w.islower() or not w[0].islower():
+                kept.append(w)
+        elif "/" not in w:
+            kept.extend(x for x in _PLAIN.findall(w) if "_" not in x and not any(c.isdigit() for c in x) and (x.islower() or not x[0].islower()))
+    return " ".join(kept)
 
 
+_PLAIN = re.compile(r"\w+(?:['’]\w+)*")
 _SCRIPTS = {"ru": "Ѐ-ԯ", "ja": "぀-ヿ", "zh": "一-鿿", "ko": "가-힯", "ar": "؀-ۿ", "he": "֐-׿", "el": "Ͱ-Ͽ", "hi": "ऀ-ॿ", "th": "฀-๿"}
 _OTHER = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 
@@ -469,7 +490,7 @@ def language_scores(text: str) -> dict[str, float]:
             n = len(p.findall(prose))
             if n and (n > 0.5 * letters or k == "ja" and n > 0.1 * letters):
                 return {k: 100.0 * n}
-    ws = [p for w in words(prose) for p in w.replace("’", "'").split("'") if p and not p.isdigit()]
+    ws = prose.lower().replace("’", " ").replace("'", " ").split()
     if not ws:
         return {}
     return dict(zip(LANGUAGES, _PROFILES.score(ws).tolist())) | {"": float(len(ws))}
@@ -490,6 +511,8 @@ def language(text: str) -> str | None:
 
 def wanted_language(question: str) -> str | None:
     """The language a question asks its answer to be in, by name; the last one named counts."""
+    if not _ANY_NAME.search(question):
+        return None
     prose = _CODE.sub(" ", question)
     found = [(m.start(), k) for k, p in _WANTED.items() for m in p.finditer(prose)]
     return max(found)[1] if found else None
