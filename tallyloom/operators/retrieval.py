@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.text import code_tokens
+from tallyloom.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms (about 40 bytes each) that are broadcast at most.
@@ -55,6 +60,102 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
     return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") > 0))
 
 
+#: Cells (documents x queries) that a task scores at once, 8 bytes each.
+SCORE_CELLS = 2_000_000
+
+
+def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.ndarray, n_queries: int, avgdl: float, k: int):
+    """The ``k`` best documents of each query among those of one partition, from rows (key, tokens).
+
+    ``first[t]`` .. ``first[t + 1]`` are the uses (query, weight) of term t.
+    """
+    uses = np.diff(first)
+
+    def kept(q: np.ndarray, score: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((key, -score, q))
+        q, score, key = q[order], score[order], key[order]
+        begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)]))
+        top = place < k
+        return q[top], score[top], key[top]
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(terms, pa.string())
+        step = max(1, SCORE_CELLS // n_queries)
+        held: tuple | None = None
+        least = np.zeros(n_queries)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                lists = b.column(1)
+                dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                known = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(dl)), dl)
+                code, tf = np.unique((doc * len(terms) + known)[known >= 0], return_counts=True)
+                if not len(code):
+                    continue
+                doc, term = code // len(terms), code % len(terms)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                n = uses[term]
+                use = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[term], n)
+                score = np.bincount(np.repeat(doc, n) * n_queries + query_of[use], weights=np.repeat(part, n) * weight[use], minlength=len(dl) * n_queries)
+                score = np.round(score.reshape(len(dl), n_queries), 6)
+                if len(dl) > k:
+                    least = np.maximum(least, np.partition(score, len(dl) - k, axis=0)[len(dl) - k])
+                d, q = np.nonzero((score >= least) & (score > 0))
+                key = b.column(0).to_numpy(zero_copy_only=False)
+                key = (key.astype(str) if key.dtype == object else key)[d]
+                new = (q, score[d, q], key)
+                held = kept(*(new if held is None else (np.concatenate(x) for x in zip(held, new))))
+                full = np.bincount(held[0], minlength=n_queries) >= k
+                last = np.zeros(n_queries)
+                last[held[0]] = held[1]  # rows are sorted: the last of a query is its least
+                least = np.where(full, np.maximum(least, last), least)
+        if held is not None and len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), pa.array(held[2]), pa.array(held[1])], names=["no", "key", "score"])
+
+    return kernel
+
+
+def search_texts(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 10, tokens: Callable[[Column], Column] = code_tokens) -> DataFrame:
+    """``bm25`` over texts without a stored index: (query, key, score, rank), the best ``k`` documents of each query.
+
+    Document frequencies come from one partially combined count of terms; then each task scores its
+    own documents against a block of queries and keeps the best ``k`` of each, so no postings and no
+    scores of pairs are shuffled. A block holds so many queries that their terms are at most
+    ``BROADCAST_TERMS``. Null texts match nothing.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), tokens(F.col(text)).alias("__t"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl")).first()
+    named = T.StructType([T.StructField("query", queries.schema[query_key].dataType), T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    q = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
+    df = rows.select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(df.select("term", (F.log(F.lit(stats.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw").alias("m")).first().m or 0.0
+    need = cut(q.join(raw, "term").select("query", "term", (F.col("qf") * F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).alias("weight")))
+    blocks = -(-need.count() // BROADCAST_TERMS)
+    out: DataFrame | None = None
+    for n in range(blocks):
+        part = need if blocks == 1 else need.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)
+        mine = part.toPandas().sort_values(["term", "query"], kind="stable")  # one block of queries
+        if mine.empty:
+            continue
+        names, number = np.unique(mine["query"].to_numpy(), return_inverse=True)
+        words, counts = np.unique(mine["term"].to_numpy().astype(str), return_counts=True)
+        mine = mine.assign(no=number).sort_values(["term", "no"], kind="stable", key=lambda c: c.astype(str) if c.name == "term" else c)
+        first = np.r_[0, np.cumsum(counts)]
+        schema = T.StructType([T.StructField("no", T.IntegerType()), T.StructField("key", named[key].dataType), T.StructField("score", T.DoubleType())])
+        top = rows.mapInArrow(_best(words.tolist(), first, mine["no"].to_numpy(), mine["weight"].to_numpy(), len(names), stats.avgdl or 1.0, k), schema)
+        of = spark.createDataFrame([(i, x.item() if hasattr(x, "item") else x) for i, x in enumerate(names)], T.StructType([T.StructField("no", T.IntegerType()), named["query"]]))
+        found = top.join(F.broadcast(of), "no").select("query", F.col("key").alias(key), "score")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], named)
+    w = W.partitionBy("query").orderBy(F.desc("score"), F.asc(key))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 #: Queries that go to every row at once; more are taken in blocks of this size.
 QUERY_BLOCK = 4096
 

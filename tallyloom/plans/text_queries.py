@@ -115,8 +115,7 @@ _BM25 = f"""
 def searched(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """Documents whose id is divisible by 100 as queries against all documents."""
     docs = v.load(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    index, stats = rt.postings(docs, "doc_id", "text"), rt.document_stats(docs, "text")
-    return rt.bm25(index, stats, docs.filter("doc_id % 100 = 0"), "doc_id", "doc_id", "text", k)
+    return rt.search_texts(docs, docs.filter("doc_id % 100 = 0"), "doc_id", "text", "doc_id", "text", k)
 
 
 @R.add("a21_bm25_stats", _BM25 + " SELECT term, CAST(count(*) AS BIGINT) AS df FROM ix GROUP BY 1")
