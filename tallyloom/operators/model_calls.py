@@ -65,6 +65,27 @@ def ensemble(requests: DataFrame, chain: list[str], model: Model, stages: list[t
     return df.drop("__before")
 
 
+def validated(findings: DataFrame, verdicts: DataFrame, keys: list[str], stage_ok: str = "ok", least: float = 0.6, unchecked: float = 0.7) -> DataFrame:
+    """Findings (keys, idx, ...) after the validating stage: those judged valid with at least ``least`` confidence, with the verdict's confidence.
+
+    ``verdicts`` (keys, ``stage_ok``, idx, is_valid, confidence) have one row per judged finding, or
+    one with a null idx for a stage that gave none. Where the stage failed or is missing, all
+    findings pass with the confidence ``unchecked``. A missing confidence counts as 0.5, a missing
+    is_valid as true; of several verdicts on one finding the most confident counts; those on
+    findings that don't exist are dropped.
+    """
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    worked = verdicts.groupBy(*named).agg(F.bool_and(F.coalesce(stage_ok, F.lit(False))).alias("__ok"))
+    one = verdicts.filter("idx is not null").groupBy(*named, F.col("idx").alias("__idx")).agg(F.max(F.struct(F.coalesce("confidence", F.lit(0.5)).alias("c"), F.coalesce("is_valid", F.lit(True)).alias("v"))).alias("__r"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    drop = [f"__{k}" for k in keys]
+    both = findings.drop("confidence").join(worked, same, "left").drop(*drop)
+    both = both.join(one, [*same, F.col("idx") == F.col("__idx")], "left").drop(*drop, "__idx")
+    failed = ~F.coalesce("__ok", F.lit(False))
+    kept = both.filter(failed | (F.col("__r.v") & (F.col("__r.c") >= least)))
+    return kept.withColumn("confidence", F.when(failed, F.lit(unchecked)).otherwise(F.col("__r.c"))).drop("__ok", "__r")
+
+
 #: What a script to be run may not contain, with the reason.
 FORBIDDEN = ((r"\bimport\s+socket\b", "network socket usage"), (r"\bimport\s+subprocess\b", "subprocess usage"), (r"\bos\.system\b", "os.system call"), (r"\bos\.popen\b", "os.popen call"), (r"\bsubprocess\.", "subprocess usage"), (r"\bopen\s*\(.*,\s*['\"]w['\"]", "file write detected"), (r"\bopen\s*\(.*,\s*['\"]a['\"]", "file append detected"), (r"\bimport\s+requests\b", "requests (network) import"), (r"\bimport\s+urllib\b", "urllib (network) import"), (r"\bimport\s+httpx\b", "httpx (network) import"), (r"\bimport\s+aiohttp\b", "aiohttp (network) import"), (r"\beval\s*\(", "eval() usage (code injection risk)"), (r"\bexec\s*\(", "exec() usage (code injection risk)"), (r"__import__\s*\(", "__import__ usage"))
 

@@ -21,8 +21,7 @@ def _module(path: str) -> str:
 
 
 def _signature(f: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-    head = "async def" if isinstance(f, ast.AsyncFunctionDef) else "def"
-    out = f"{head} {f.name}({ast.unparse(f.args)})"
+    out = f"({ast.unparse(f.args)})"
     return f"{out} -> {ast.unparse(f.returns)}" if f.returns else out
 
 
@@ -43,11 +42,11 @@ def python_symbols(path: str, source: str) -> list[tuple]:
         for n in body:
             if isinstance(n, ast.ClassDef):
                 q = ".".join([module, *owner, n.name])
-                out.append((path, n.name, "class", n.lineno, n.end_lineno, q, None, ast.get_docstring(n), not n.name.startswith("_")))
+                out.append((path, n.name, "class", n.lineno, n.end_lineno, q, "", ast.get_docstring(n) or "", not n.name.startswith("_")))
                 visit(n.body, [*owner, n.name])
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 q = ".".join([module, *owner, n.name])
-                out.append((path, n.name, "method" if owner else "function", n.lineno, n.end_lineno, q, _signature(n), ast.get_docstring(n), not n.name.startswith("_")))
+                out.append((path, n.name, "method" if owner else "function", n.lineno, n.end_lineno, q, _signature(n), ast.get_docstring(n) or "", not n.name.startswith("_")))
             elif isinstance(n, ast.Assign) and not owner:
                 for t in n.targets:
                     if isinstance(t, ast.Name) and _constant(t.id):
@@ -58,7 +57,10 @@ def python_symbols(path: str, source: str) -> list[tuple]:
 
 
 def python_edges(path: str, source: str) -> list[tuple]:
-    """Imports, calls (targets as written) and base classes, each with the innermost function or class it stands in."""
+    """Imports, calls (targets as written) and base classes, each with the innermost function or class it stands in.
+
+    A base class stands with its class as named in the module; the dots of relative imports are dropped.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
@@ -72,11 +74,11 @@ def python_edges(path: str, source: str) -> list[tuple]:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 inner = f"{scope}.{n.name}"
             if isinstance(n, ast.ClassDef):
-                out.extend((inner, ast.unparse(b), "inherit", path, n.lineno) for b in n.bases)
+                out.extend((f"{module}.{n.name}", ast.unparse(b), "inherit", path, n.lineno) for b in n.bases)
             elif isinstance(n, ast.Import):
                 out.extend((scope, a.name, "import", path, n.lineno) for a in n.names)
             elif isinstance(n, ast.ImportFrom):
-                base = "." * n.level + (n.module or "")
+                base = n.module or ""
                 out.extend((scope, f"{base}.{a.name}" if base else a.name, "import", path, n.lineno) for a in n.names)
             elif isinstance(n, ast.Call):
                 out.append((scope, ast.unparse(n.func), "call", path, n.lineno))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import code_tokens
-from tallyloom.session import cut
+from tallyloom.session import Rounds, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms (about 40 bytes each) that are broadcast at most.
@@ -60,8 +60,8 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
     return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") > 0))
 
 
-#: Cells (documents x queries) that a task scores at once, 8 bytes each.
-SCORE_CELLS = 2_000_000
+#: Cells (documents x queries) that a task scores at once, and about as many uses of terms; some 50 bytes each in all.
+SCORE_CELLS = 1_000_000
 
 
 def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.ndarray, n_queries: int, avgdl: float, k: int):
@@ -97,8 +97,17 @@ def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.
                 doc, term = code // len(terms), code % len(terms)
                 part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
                 n = uses[term]
-                use = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[term], n)
-                score = np.bincount(np.repeat(doc, n) * n_queries + query_of[use], weights=np.repeat(part, n) * weight[use], minlength=len(dl) * n_queries)
+                ends = np.cumsum(n)
+                score = np.zeros(len(dl) * n_queries)
+                lo = 0
+                while lo < len(n):  # so many postings that their uses are about as many as the cells
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SCORE_CELLS, side="right")))
+                    m = n[lo:hi]
+                    use = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m - first[term[lo:hi]], m)
+                    cell = np.repeat(doc[lo:hi] - doc[lo], m) * n_queries + query_of[use]
+                    add = np.bincount(cell, weights=np.repeat(part[lo:hi], m) * weight[use])
+                    score[doc[lo] * n_queries : doc[lo] * n_queries + len(add)] += add
+                    lo = hi
                 score = np.round(score.reshape(len(dl), n_queries), 6)
                 if len(dl) > k:
                     least = np.maximum(least, np.partition(score, len(dl) - k, axis=0)[len(dl) - k])
@@ -126,7 +135,8 @@ def search_texts(docs: DataFrame, queries: DataFrame, key: str, text: str, query
     ``BROADCAST_TERMS``. Null texts match nothing.
     """
     spark = docs.sparkSession
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), tokens(F.col(text)).alias("__t"))
+    kept = Rounds(spark)
+    rows = kept.cut(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), tokens(F.col(text)).alias("__t")))  # taken apart once
     stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl")).first()
     named = T.StructType([T.StructField("query", queries.schema[query_key].dataType), T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
     q = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
@@ -153,7 +163,7 @@ def search_texts(docs: DataFrame, queries: DataFrame, key: str, text: str, query
     if out is None:
         out = spark.createDataFrame([], named)
     w = W.partitionBy("query").orderBy(F.desc("score"), F.asc(key))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return kept.done(out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 #: Queries that go to every row at once; more are taken in blocks of this size.

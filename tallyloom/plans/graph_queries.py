@@ -107,11 +107,13 @@ def g08_report(spark, d):
     return i.agg(F.count("*").alias("n_changed"), F.count_if("breaking").alias("n_breaking"), F.count_if(F.col("level").isin("HIGH", "CRITICAL")).alias("n_high"), F.max_by("level", gr.level_rank(F.col("level"))).alias("max_level"))
 
 
-@R.add("j22_drawing_edges", _IMPACT + ", c AS (SELECT DISTINCT file_path AS file FROM g WHERE symbol_id % 100 = 0), a AS (SELECT DISTINCT g.file_path AS file FROM al JOIN g ON g.qualified_name = al.caller) SELECT DISTINCT c.file AS changed, a.file AS affected FROM c, a WHERE c.file <> a.file")
+@R.add("j22_drawing_edges", _IMPACT + " SELECT DISTINCT t.file_path AS changed, g.file_path AS affected FROM al JOIN g ON g.qualified_name = al.caller JOIN g t ON t.qualified_name = al.name WHERE t.symbol_id % 100 = 0 AND t.file_path <> g.file_path")
 def j22_drawing_edges(spark, d):
-    c = changed(spark, d).select(F.lit(1).alias("report"), F.col("file_path").alias("file")).distinct()
-    i = gr.impact(edges(spark, d), symbols(spark, d), changed(spark, d)).select(F.lit(1).alias("report"), F.explode("files").alias("file")).distinct()
-    return gr.pairs_to_draw(c, i).select("changed", "affected")
+    """One report per changed file: that file with each file its changed symbols affect."""
+    c = changed(spark, d).select("qualified_name", F.col("file_path").alias("report"))
+    i = gr.impact(edges(spark, d), symbols(spark, d), changed(spark, d)).select("name", F.explode("files").alias("file"))
+    affected = i.join(c, F.col("name") == F.col("qualified_name")).select("report", "file").distinct()
+    return gr.pairs_to_draw(c.select("report", F.col("report").alias("file")).distinct(), affected).select("changed", "affected")
 
 
 @R.add("m01_insert_absent", with_views("SELECT id, full_name FROM repos UNION ALL SELECT -n.id AS id, 'new-' || n.id AS full_name FROM repos n WHERE n.id % 2 = 0", "repos"))

@@ -10,22 +10,32 @@ from tallyloom.tables import schema
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Review history from JSON lines with the declared schema; lines that don't parse are skipped."""
+    """Review history from JSON lines with the declared schema; lines that don't parse are skipped.
+
+    Where a rewrite broke off between its two renames, the history before it is read.
+    """
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(of(path)) and fs.exists(of(f"{path}.before")):
+        path = f"{path}.before"
     s = schema("history").add("_corrupt_record", "string")
     raw = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return raw.filter("_corrupt_record is null and pr_number is not null").drop("_corrupt_record")
 
 
 def write_history(df: DataFrame, path: str) -> None:
-    """Rewrite the history; written beside and moved, so a failure leaves the old one."""
+    """Rewrite the history: written beside it, then two renames; a failure at any point leaves the old one or the new one readable."""
     spark = df.sparkSession
     fresh = f"{path}.next"
     df.write.mode("overwrite").json(fresh)
     of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = of(f"{path}.before")
     if fs.exists(of(path)):
-        fs.delete(of(path), True)
+        fs.delete(before, True)
+        fs.rename(of(path), before)
     fs.rename(of(fresh), of(path))
+    fs.delete(before, True)
 
 
 class KeyValues:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import events as ev
 from tallyloom.operators import mutations as mu
-from tallyloom.operators.model_calls import chain_of, ensemble, generate, script_problem
+from tallyloom.operators.model_calls import chain_of, ensemble, generate, script_problem, validated
 from tallyloom.operators.python_symbols import parse_python
 from tallyloom.sources import stores, tools
 from tallyloom.streaming import streams as st
@@ -62,12 +62,19 @@ def test_key_values_and_cache(spark, tmp_path):
     assert stores.with_cache(req, cache, "k", now(4000))[0].count() == 0
 
 
+def test_validated(spark):
+    f = spark.createDataFrame([("a", 0, 0.9), ("a", 1, 0.9), ("a", 2, 0.9), ("a", 3, 0.9), ("b", 0, 0.1), ("c", 0, 0.2), (None, 0, 0.3)], "req string, idx int, confidence double")
+    v = spark.createDataFrame([("a", True, 0, True, 0.8), ("a", True, 1, False, 0.9), ("a", True, 2, None, None), ("a", True, 3, True, 0.5), ("a", True, 3, True, 0.65), ("a", True, 9, True, 1.0), ("b", False, None, None, None), (None, True, 0, True, 0.95)], "req string, ok boolean, idx int, is_valid boolean, confidence double")
+    got = {(r.req, r.idx): r.confidence for r in validated(f, v, ["req"]).collect()}
+    assert got == {("a", 0): 0.8, ("a", 3): 0.65, ("b", 0): 0.7, ("c", 0): 0.7, (None, 0): 0.95}
+
+
 def test_python_symbols(spark):
     src = "import os\nfrom a.b import c as d\nMAX_SIZE = 1\nclass K(Base):\n    '''Doc.'''\n    async def m(self, x: int = 1) -> int:\n        def inner(): pass\n        return os.path.join(x)\ndef _p(): pass\n"
     f = spark.createDataFrame([("llm/k.py", src), ("bad.py", "def ("), ("n.py", None), (None, src)], "file_path string, content string")
     rows = {r.name: r for r in parse_python(f).collect()}
     assert set(rows) == {"MAX_SIZE", "K", "m", "_p"}
-    assert rows["m"].qualified_name == "llm.k.K.m" and rows["m"].kind == "method" and rows["m"].signature == "async def m(self, x: int=1) -> int"
+    assert rows["m"].qualified_name == "llm.k.K.m" and rows["m"].kind == "method" and rows["m"].signature == "(self, x: int=1) -> int"
     assert not rows["_p"].is_exported and rows["K"].docstring == "Doc."
     e = {(r.source, r.target, r.kind) for r in parse_python(f, "edges").collect()}
     assert {("llm.k", "os", "import"), ("llm.k", "a.b.c", "import"), ("llm.k.K", "Base", "inherit"), ("llm.k.K.m", "os.path.join", "call")} <= e

@@ -78,7 +78,7 @@ def test_bm25_equals_a_loop(spark):
         rt.SCORE_CELLS = cells
         scan = rt.search_texts(df, queries, "id", "t", "q", "qt", 5).collect()
         assert {(r["query"], r.id): r.score for r in scan} == got and {r["rank"] for r in scan} == {1, 2, 3, 4, 5}
-    rt.SCORE_CELLS = 2_000_000
+    rt.SCORE_CELLS = 1_000_000
     assert rt.search_texts(df.limit(0), queries, "id", "t", "q", "qt").count() == 0 and rt.search_texts(df, queries.limit(0), "id", "t", "q", "qt").count() == 0
     named = rt.search_texts(df.selectExpr("concat('d', id) as id", "t"), queries.selectExpr("concat('q', q) as q", "qt"), "id", "t", "q", "qt", 5).collect()
     assert {(r["query"], r["score"]) for r in named} == {(f"q{q}", s) for (q, _), s in got.items()}
