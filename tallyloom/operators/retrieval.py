@@ -64,6 +64,15 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
 SCORE_CELLS = 1_000_000
 
 
+def _first(k: int, sign: int, q: np.ndarray, value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``k`` rows of least ``sign`` * value, then key, in this order."""
+    order = np.lexsort((key, sign * value, q))
+    q, value, key = q[order], value[order], key[order]
+    begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    top = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)])) < k
+    return q[top], value[top], key[top]
+
+
 def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.ndarray, n_queries: int, avgdl: float, k: int):
     """The ``k`` best documents of each query among those of one partition, from rows (key, tokens).
 
@@ -71,14 +80,6 @@ def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.
     """
     uses = np.diff(first)
 
-    def kept(q: np.ndarray, score: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((key, -score, q))
-        q, score, key = q[order], score[order], key[order]
-        begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
-        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)]))
-        top = place < k
-        return q[top], score[top], key[top]
-
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(terms, pa.string())
         step = max(1, SCORE_CELLS // n_queries)
@@ -115,7 +116,7 @@ def _best(terms: list[str], first: np.ndarray, query_of: np.ndarray, weight: np.
                 key = b.column(0).to_numpy(zero_copy_only=False)
                 key = (key.astype(str) if key.dtype == object else key)[d]
                 new = (q, score[d, q], key)
-                held = kept(*(new if held is None else (np.concatenate(x) for x in zip(held, new))))
+                held = _first(k, -1, *(new if held is None else (np.concatenate(x) for x in zip(held, new))))
                 full = np.bincount(held[0], minlength=n_queries) >= k
                 last = np.zeros(n_queries)
                 last[held[0]] = held[1]  # rows are sorted: the last of a query is its least
@@ -170,24 +171,76 @@ def search_texts(docs: DataFrame, queries: DataFrame, key: str, text: str, query
 QUERY_BLOCK = 4096
 
 
+def _nearest(asked: np.ndarray, k: int):
+    """The ``k`` vectors of one partition that are nearest to each row of ``asked``, from rows (key, vector).
+
+    A matrix product tells which can be among them, with room for its rounding; only for these the
+    distance is computed, from the differences.
+    """
+    norms = (asked * asked).sum(axis=1)
+    n_queries, dim = asked.shape
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORE_CELLS // n_queries)
+        held: tuple | None = None
+        most = np.full(n_queries, np.inf)
+        for whole in batches:
+            right = pc.equal(pc.list_value_length(whole.column(1)), dim)
+            usable = whole.filter(pc.fill_null(right, False))
+            for at in range(0, usable.num_rows, step):
+                b = usable.slice(at, step)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                size = (v * v).sum(axis=1)
+                square = size[:, None] + norms[None, :] - 2.0 * (v @ asked.T)
+                room = 1e-9 * (size.max() + norms.max() + 1.0)
+                limit = most * most
+                if len(v) > k:
+                    limit = np.minimum(limit, np.partition(square, k - 1, axis=0)[k - 1])
+                d, q = np.nonzero(square <= limit + 2e-6 * (np.sqrt(np.maximum(limit, 0.0)) + 1.0) + room)
+                key = b.column(0).to_numpy(zero_copy_only=False)
+                key = (key.astype(str) if key.dtype == object else key)[d]
+                diff = v[d] - asked[q]
+                new = (q, np.round(np.sqrt((diff * diff).sum(axis=1)), 6), key)
+                held = _first(k, 1, *(new if held is None else (np.concatenate(x) for x in zip(held, new))))
+                last = np.full(n_queries, np.inf)
+                last[held[0]] = held[1]  # rows are sorted: the last of a query is its farthest
+                most = np.where(np.bincount(held[0], minlength=n_queries) >= k, np.minimum(most, last), np.inf)
+        if held is not None and len(held[0]):
+            ok = np.isfinite(held[1])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][ok], pa.int32()), pa.array(held[2][ok]), pa.array(held[1][ok])], names=["no", "key", "distance"])
+
+    return kernel
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int = 10) -> DataFrame:
     """(query, key, distance, rank): the ``k`` nearest vectors of each query by L2 distance, exactly.
 
-    The queries are a stated set; blocks of ``QUERY_BLOCK`` of them are broadcast to every row, and
-    each partition keeps its best ``k`` per query before the shuffle (rank limit below it).
+    The queries are a stated set; blocks of ``QUERY_BLOCK`` of them go to every task, which keeps the
+    best ``k`` of each among its own vectors, so no pairs are shuffled. Distances are rounded before
+    ranking, ties go to the smaller key. Null vectors, and those of another length than the query's, match nothing.
     """
-    q = queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    v = vectors.select(F.col(key).alias(key), F.col(vector).alias("__v"))
-    diff = F.zip_with("__v", "__q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    dist = F.round(F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)), 6).alias("distance")
-    w = W.partitionBy("query").orderBy(F.asc("distance"), F.asc(key))
+    spark = vectors.sparkSession
+    q = queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")).dropna().withColumn("__n", F.size("__q"))
+    lengths = q.groupBy("__n").count().collect()  # one row per length of vectors
+    named = {"query": queries.schema[query_key].dataType, "key": vectors.schema[key].dataType}
+    schema = T.StructType([T.StructField("no", T.IntegerType()), T.StructField("key", named["key"]), T.StructField("distance", T.DoubleType())])
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("__v"))
     out: DataFrame | None = None
-    for n in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)
-        top = v.join(F.broadcast(part)).select("query", key, dist).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    for length in lengths:
+        blocks = -(-length["count"] // QUERY_BLOCK)
+        for n in range(blocks):
+            part = q.filter(F.col("__n") == length["__n"])
+            mine = (part if blocks == 1 else part.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)).select("query", "__q").collect()  # one block of queries
+            if not mine or not length["__n"]:
+                continue
+            asked = np.array([r["__q"] for r in mine], dtype=np.float64)
+            of = spark.createDataFrame([(i, r["query"]) for i, r in enumerate(mine)], T.StructType([T.StructField("no", T.IntegerType()), T.StructField("query", named["query"])]))
+            found = rows.mapInArrow(_nearest(asked, k), schema).join(F.broadcast(of), "no").select("query", F.col("key").alias(key), "distance")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([T.StructField("query", named["query"]), T.StructField(key, named["key"]), T.StructField("distance", T.DoubleType())]))
+    w = W.partitionBy("query").orderBy(F.asc("distance"), F.asc(key))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def fuse(lists: dict[str, DataFrame], keys: list[str], rrf_k: int = 60, final_k: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import chunks as ch
@@ -57,6 +58,24 @@ def test_boundaries(spark):
     assert [(r.start_line, r.end_line) for r in ch.boundary_chunks(df.filter("id = 2"), "id", "t", F.lit("text")).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("cells", [1_000_000, 7])
+def test_dense_top_equals_a_loop(spark, monkeypatch, cells):
+    monkeypatch.setattr(rt, "SCORE_CELLS", cells)
+    rng = random.Random(6)
+    rows = [(i, [1000.0 + rng.choice([0.0, 0.5, rng.random()]) for _ in range(4)]) for i in range(60)] + [(90, None), (91, [1.0]), (92, []), (93, [1000.0] * 4), (94, [1000.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {}
+    for r in rt.dense_top(df, df.filter("id % 10 = 0 or id = 91"), "id", "v", "id", "v", 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.distance, r.id))
+    want = {}
+    for q, a in rows:
+        if a and (q % 10 == 0 or q == 91):
+            near = sorted((round(math.dist(a, b), 6), i) for i, b in rows if b and len(a) == len(b))[:5]
+            want[q] = [(n + 1, d, i) for n, (d, i) in enumerate(near)]
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert rt.dense_top(df.limit(0), df, "id", "v", "id", "v").count() == 0 and rt.dense_top(df, df.limit(0), "id", "v", "id", "v").count() == 0
+
+
 def test_rrf(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query int, doc string, rank int")
     got = {r.doc: r for r in rt.fuse({"dense": a, "bm25": a}, ["doc"], final_k=2).collect()}
