@@ -207,48 +207,6 @@ def _json_open(text: str) -> bool | None:
     return quoted or bool(stack)
 
 
-def _code_open(code: str) -> bool:
-    """Whether code breaks off: a bracket, string or comment left open, or an end that asks for more."""
-    stack: list[str] = []
-    k, n = 0, len(code)
-    while k < n:
-        c = code[k]
-        two = code[k : k + 2]
-        if c == "\n":
-            k += 1
-        elif two == "/*":
-            e = code.find("*/", k + 2)
-            if e < 0:
-                return True
-            k = e + 2
-        elif two == "//" or c == "#":
-            e = code.find("\n", k)
-            k = n if e < 0 else e
-        elif c in "\"'`":
-            q = code[k : k + 3] if code[k : k + 3] in ('"""', "'''") else c
-            e = k + len(q)
-            while e < n and not code.startswith(q, e):
-                if code[e] == "\\":
-                    e += 1
-                elif code[e] == "\n" and len(q) == 1 and q != "`":
-                    break
-                e += 1
-            if e >= n and (len(q) > 1 or q != "'"):
-                return True
-            k = e + len(q)
-        elif c in "([{":
-            stack.append(c)
-            k += 1
-        elif c in ")]}":
-            if stack and stack[-1] == _PAIRS[c]:
-                stack.pop()
-            k += 1
-        else:
-            k += 1
-    last = code.rstrip()
-    return bool(stack) or bool(re.search(r"(?:[=,+\-*/&|<\\.(\[{]|\b(?:return|def|func|const|let|var|if|for|while|and|or|not|in|new|import|from)|:)$", last)) and not last.endswith(("--", "++", "*/", "..."))
-
-
 #: Markup elements that are always closed.
 _ELEMENTS = re.compile(r"<(/?)(details|summary|table|thead|tbody|tr|ul|ol|pre|code|blockquote|div|span|strong|em)\b[^<>]*?(/?)>", re.I)
 
@@ -344,8 +302,8 @@ DANGLING = frozenset(
 def is_truncated(answer: str) -> bool:
     """Breaks off inside a sentence, code block or JSON.
 
-    Fences are parsed by lines, whole JSON by its own grammar, code in a closed fence for what it
-    leaves open, and all prose by one pushdown parse. Then the last line decides: whether it ends a
+    Fences are parsed by lines (code whose fence is closed is whole unless it is tagged JSON), whole
+    JSON by its own grammar, and all prose by one pushdown parse. Then the last line decides: whether it ends a
     sentence, or in a word after which a sentence goes on. Short whole answers, list items without
     a full stop beside others of that kind, signatures, links and code are whole.
     """
