@@ -203,10 +203,11 @@ def tree(text: str, starts: list[int], limit: int) -> Node:
     return root
 
 
-def pack(root: Node, limit: int, overlap: int) -> list[tuple[int, int]]:
+def pack(root: Node, limit: int, overlap: int, starts: list[int] | None = None) -> list[tuple[int, int]]:
     """New-token spans of the pieces, bottom up: what fits is merged with its siblings, what is too large is opened.
 
-    The first piece may hold ``limit`` new tokens, later ones ``limit - overlap``.
+    The first piece may hold ``limit`` new tokens, later ones ``limit - overlap``. With ``starts``
+    no piece ends within a character that is several tokens.
     """
 
     def fits(a: int, b: int) -> bool:
@@ -234,7 +235,11 @@ def pack(root: Node, limit: int, overlap: int) -> list[tuple[int, int]]:
         if not node.kids:  # one stretch without any boundary
             out, a = [], node.a
             while a < node.b:
-                b = min(node.b, a + (limit if a == 0 else limit - overlap))
+                b = most = min(node.b, a + (limit if a == 0 else limit - overlap))
+                while starts and a + 1 < b < node.b and starts[b] == starts[b - 1]:
+                    b -= 1
+                if starts and b < node.b and starts[b] == starts[b - 1]:
+                    b = most  # one character of more tokens than a piece holds
                 out.append((a, b))
                 a = b
             return out
@@ -267,15 +272,6 @@ def tokens_of(path: str | None) -> Callable[[str], list[int]]:
     return starts
 
 
-def _whole_characters(spans: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
-    """``spans`` whose borders don't lie within a character that is several tokens."""
-    at = [a for a, _ in spans] + [spans[-1][1]]
-    for k in range(1, len(at) - 1):
-        while at[k] > at[k - 1] + 1 and starts[at[k]] == starts[at[k] - 1]:
-            at[k] -= 1
-    return list(zip(at, at[1:]))
-
-
 def split_text(text: str, limit: int = 512, overlap: int = 64, spans_of: Callable[[str], list[int]] = _words_only) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, repeated tokens) of the pieces of a text, as character offsets; one piece if it fits.
 
@@ -290,8 +286,7 @@ def split_text(text: str, limit: int = 512, overlap: int = 64, spans_of: Callabl
     n = len(starts)
     if n <= limit:
         return [(0, len(text), n, 0)]
-    spans = pack(tree(text, starts, limit - overlap), limit, overlap)
-    spans = _whole_characters(spans, starts)
+    spans = pack(tree(text, starts, limit - overlap), limit, overlap, starts)
 
     def inside(k: int) -> bool:
         return k > 0 and not text[starts[k] - 1].isspace() and not text[starts[k]].isspace()

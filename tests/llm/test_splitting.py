@@ -4,7 +4,7 @@ import os
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tallyloom.llm.packing import TOKENIZER
@@ -86,6 +86,7 @@ def test_nested_lists_underlined_headings_and_elements():
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file")
 @settings(max_examples=60, deadline=None)
 @given(st.lists(PART, max_size=100).map("".join) | st.text(max_size=200))
+@example("0:0\x80¸¼𐀀𐀀0𐀀𐀀")
 def test_public_tokenizer(text):
     spans_of, limit = tokens_of(TOKENIZER), 16
     pieces = split_text(text, limit, 4, spans_of)
