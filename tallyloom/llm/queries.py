@@ -196,21 +196,28 @@ def p4_day_counts(spark: SparkSession, directory: str) -> DataFrame:
     return review_day_counts(spark, directory).withColumnRenamed("grp", "model_used")
 
 
-@R.add(
-    "p5_found",
-    f"""
+_ALIKE = f"""
     WITH f AS (SELECT DISTINCT id, {_PATH} AS path, line_start AS line, {_WORDS} AS w FROM findings WHERE file_path IS NOT NULL AND message IS NOT NULL AND line_start IS NOT NULL),
     ok AS (SELECT * FROM f WHERE path <> '' AND len(w) > 0)
     SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM ok a JOIN ok b ON a.path = b.path AND a.id < b.id AND abs(a.line - b.line) <= 3
     WHERE len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9
-    """,
-)
+    """
+
+
+@R.add("p5_found", _ALIKE)
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of findings of one place whose messages share 60 % of their words."""
     return near_duplicates(load(spark, directory, "findings"), "id", "file_path", "line_start", "message", threshold=0.6, max_gap=3)
 
 
-@R.add("p5_groups")
+@R.add(
+    "p5_groups",
+    f"""
+    WITH RECURSIVE pairs AS ({_ALIKE}), e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a
+    """,
+)
 def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
     """Findings that report the same at the same place, with their group (its least id), one row per grouped finding."""
     return components(near_duplicates(load(spark, directory, "findings"), "id", "file_path", "line_start", "message", threshold=0.6, max_gap=3, every=False))
