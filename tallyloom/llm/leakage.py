@@ -376,15 +376,17 @@ def _intersected(item_ids: list[int], words: list[list[str]], n: dict[str, int],
                     continue
                 r, x = (np.concatenate(v) for v in zip(*met))
                 i, d = table[r, 1], np.searchsorted(doc_at, x, side="right") - 1
-                order = np.lexsort((x, i, d))
-                i, d, x = i[order], d[order], x[order]
+                offset = x - doc_at[d] - (table[r, 2] - item_at[i])  # where the item would begin in the text
+                order = np.lexsort((offset, i, d))
+                i, d, offset = i[order], d[order], offset[order]
                 bounds = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]), True]) if len(i) else []
                 found = []
                 for lo, hi in zip(bounds[:-1], bounds[1:]):
                     k, dn = int(i[lo]), int(d[lo])
-                    margin = int(sizes[k]) + int(sizes[k]) // edits_in + 1
-                    if close(k, text[max(int(doc_at[dn]), int(x[lo]) - margin) : min(int(doc_at[dn] + length[dn]), int(x[hi - 1]) + margin + 1)]):
-                        found.append((dn, item_ids[k], int(x[lo] - doc_at[dn]), int(x[hi - 1] - doc_at[dn])))
+                    drift = int(sizes[k]) // edits_in + 1
+                    begins, stops = int(offset[lo]) - drift, int(offset[hi - 1] + sizes[k]) + drift
+                    if close(k, text[int(doc_at[dn]) + max(0, begins) : int(doc_at[dn]) + min(int(length[dn]), stops)]):
+                        found.append((dn, item_ids[k], max(0, begins), min(int(length[dn]), stops) - 1))
                 if found:
                     dn, k, lo, hi = zip(*found)
                     yield pa.RecordBatch.from_arrays([docs.take(pa.array(dn)), full.take(pa.array(dn)), pa.array(k, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["hit_id", "full", "item", "lo", "hi"])
@@ -400,15 +402,11 @@ _FOUND = "doc_id long, item_id long, words int, edits int, item_from int, doc_fr
 def _aligned(min_words: int, edits_in: int):
     spoiled = window_edits(min_words, edits_in)
 
-    def best_of(text: str, full: bool, lo: int, hi: int, item: list[str]) -> tuple[int, int, int, int] | None:
-        words, head = text_words(text)
-        place = range(len(words)) if full else [k for k, h in enumerate(head) if not h]
-        margin = len(item) + len(item) // edits_in + 1
-        lo, hi = max(0, lo - margin), min(len(place) - 1, hi + margin)
-        step = 4 * margin  # repeats far apart: windows that overlap by more than a stretch
+    def best_of(words: list[str], head: list[bool], place: list[int], lo: int, hi: int, item: list[str]) -> tuple[int, int, int, int] | None:
+        span = len(item) + 2 * (len(item) // edits_in + 1)
         best = None
-        for s in range(lo, hi + 1, step):
-            e = min(hi, s + step + 2 * margin)
+        for s in range(lo, hi + 1, 4 * span):  # repeats far apart: windows that overlap by more than a stretch
+            e = min(hi, s + 5 * span)
             a, z = place[s], place[e] + 1
             part = words[a:z]
             if _may_align(item, part, min_words, spoiled):
@@ -422,8 +420,12 @@ def _aligned(min_words: int, edits_in: int):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
+            last, words, head, places = None, [], [], {}
             for i, t, k, item, hits in zip(*(b.column(c).to_pylist() for c in range(5))):
-                found = [x for x in (best_of(t, h["full"], h["lo"], h["hi"], item_words(item)) for h in hits) if x]
+                if last is None or t != last:  # the rows of one text mostly come together
+                    words, head = text_words(t)
+                    last, places = t, {True: range(len(words)), False: [n for n, h in enumerate(head) if not h]}
+                found = [x for x in (best_of(words, head, places[h["full"]], h["lo"], h["hi"], item_words(item)) for h in hits) if x]
                 if found:
                     size, edits, at, begins = max(found, key=lambda x: (x[0], -x[1], -x[2], -x[3]))
                     out.append((i, k, size, edits, at + 1, begins + 1, "proximity" if edits else "phrase"))
