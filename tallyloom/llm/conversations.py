@@ -67,9 +67,9 @@ def latest_comments(comments: DataFrame, lines: bool = False) -> DataFrame:
     return latest_by_id(c, "id", "edited_at").withColumn("role", role_of(F.col("author"), F.col("is_bot")))
 
 
-def _offset_of(constraints: DataFrame, offsets: DataFrame, end: str) -> DataFrame:
-    """``constraints`` with ``o<end>``, the offset of the sender ``s<end>`` (0 where none is known)."""
-    if offsets.limit(BROADCAST_SENDERS + 1).count() <= BROADCAST_SENDERS:
+def _offset_of(constraints: DataFrame, offsets: DataFrame, end: str, n: int) -> DataFrame:
+    """``constraints`` with ``o<end>``, the offset of the sender ``s<end>`` (0 where none is known), of ``n`` offsets."""
+    if n <= BROADCAST_SENDERS:
         named = F.broadcast(offsets.select(F.col("sender").alias("__s"), F.col("offset").alias("__o")))
         both = constraints.join(named, F.col(f"s{end}") == F.col("__s"), "left")
     else:
@@ -78,11 +78,11 @@ def _offset_of(constraints: DataFrame, offsets: DataFrame, end: str) -> DataFram
     return both.withColumn(f"o{end}", F.coalesce("__o", F.lit(0.0))).drop("__s", "__o")
 
 
-def _violated(constraints: DataFrame, offsets: DataFrame | None, min_gap: float) -> DataFrame:
+def _violated(constraints: DataFrame, offsets: DataFrame | None, min_gap: float, n: int = 0) -> DataFrame:
     """Constraints (thread, si, sj, gap) with ``short``: by how many seconds each is missed, where it is."""
     if offsets is None:
         return constraints.withColumn("short", F.lit(min_gap) - F.col("gap")).filter("short > 0")
-    both = _offset_of(_offset_of(constraints, offsets, "i"), offsets, "j")
+    both = _offset_of(_offset_of(constraints, offsets, "i", n), offsets, "j", n)
     return both.withColumn("short", F.lit(min_gap) - F.col("gap") - F.col("oj") + F.col("oi")).drop("oi", "oj").filter("short > 0")
 
 
@@ -100,12 +100,12 @@ def clock_offsets(constraints: DataFrame, min_gap: float = 0.0, ridge: float = 0
         return None  # the least-squares solution of least norm
     across = cut(across)
     state: DataFrame | None = None  # sender, offset, last: the offset one step before
-    calm, moved_before, damping = 0, math.inf, 0.5
+    calm, moved_before, damping, n = 0, math.inf, 0.5, 0
     kept = Rounds(constraints.sparkSession)
     for _ in range(rounds):
         ahead = F.lit(calm / (calm + 3))
         at = None if state is None else state.select("sender", (F.col("offset") + ahead * (F.col("offset") - F.col("last"))).alias("offset"), F.col("offset").alias("last"))
-        v = _violated(across, at, min_gap + tolerance / 2)
+        v = _violated(across, at, min_gap + tolerance / 2, n)
         pulls = v.select(F.explode(F.array(F.struct(F.col("sj").alias("sender"), F.col("short").alias("pull")), F.struct(F.col("si").alias("sender"), (-F.col("short")).alias("pull")))).alias("e")).select("e.*")
         steps = pulls.groupBy("sender").agg(F.sum("pull").alias("pull"), F.count("*").alias("deg"), F.max("pull").alias("short"))
         if at is None:
@@ -115,7 +115,8 @@ def clock_offsets(constraints: DataFrame, min_gap: float = 0.0, ridge: float = 0
             joined = joined.select(F.coalesce("s0", "sender").alias("sender"), F.coalesce("o", F.lit(0.0)).alias("o"), F.coalesce("l", F.lit(0.0)).alias("last"), "pull", "deg", "short")
         step = F.when(F.col("deg").isNull(), F.lit(0.0)).otherwise(F.lit(damping) * (F.col("pull") - F.lit(ridge) * F.col("o")) / F.greatest(F.col("deg") + F.lit(ridge), F.lit(1.0)))
         state = kept.cut(joined.select("sender", (F.col("o") + step).alias("offset"), "last", F.coalesce("short", F.lit(0.0)).alias("short"), F.abs(F.col("o") + step - F.col("last")).alias("moved")))
-        r = state.agg(F.max("short").alias("short"), F.max("moved").alias("most"), F.sum(F.col("moved") * F.col("moved")).alias("moved")).first()
+        r = state.agg(F.count("*").alias("n"), F.max("short").alias("short"), F.max("moved").alias("most"), F.sum(F.col("moved") * F.col("moved")).alias("moved")).first()
+        n = r.n
         if at is not None and r.short <= tolerance:
             return kept.done(at.select("sender", "offset"))
         if r.most <= tolerance / 100:
@@ -189,8 +190,9 @@ def ordered_turns(comments: DataFrame, threads: DataFrame, replies: DataFrame |
     offsets = clock_offsets(constraints, min_gap, tolerance=tolerance)
     if offsets is not None:
         named = turns.select("thread_id", "id", "role", "t", F.col("sender").alias("si"), F.col("thread_id").alias("thread"), F.col("t").alias("gap"))
-        turns = _offset_of(named, offsets, "i").select("thread_id", "id", "role", (F.col("t") + F.col("oi")).alias("t"))
-    missed = cut(_violated(constraints, offsets, min_gap).filter(F.col("short") > tolerance).select(F.col("thread").alias("bad")).distinct())
+        n = offsets.count()
+        turns = _offset_of(named, offsets, "i", n).select("thread_id", "id", "role", (F.col("t") + F.col("oi")).alias("t"))
+    missed = cut(_violated(constraints, offsets, min_gap, n if offsets is not None else 0).filter(F.col("short") > tolerance).select(F.col("thread").alias("bad")).distinct())
     if offsets is not None:
         turns = _settled(cut(turns), constraints.join(missed, F.col("thread") == F.col("bad"), "left_anti"))
     if missed.limit(1).count():
