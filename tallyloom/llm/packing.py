@@ -82,45 +82,48 @@ def _reachable(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def _exact(sizes: list[int], count: dict[int, int], sums: list[int], target: int) -> Iterator[tuple[int, ...]]:
-    """All multisets of items that sum up to ``target``, the largest items first; the bits of ``sums`` leave no dead ends."""
-    stack = [(0, target, ())]
+def _undominated(sizes: list[int], count: dict[int, int], sums: list[int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """The undominated multisets that leave ``waste`` of ``room``, the largest items first; the bits of ``sums`` leave no sums that can't be met.
+
+    A filling is dominated if an item left out fits beside it, or could replace a smaller item, or
+    several items, and still fit: the container so changed packs at least as much and leaves items
+    over that are no harder to pack. Both only become truer as more sizes are decided, so a choice
+    is dropped as soon as the sizes decided so far show it, with all that would follow it.
+    """
+    least = sizes[-1] if sizes else 0
+    fits = (1 << (waste + 1)) - 1
+    stack = [(0, room - waste, (), 0, 0, 0, 0)]
     while stack:
-        k, left, chosen = stack.pop()
+        # Bits: sizes from an item chosen on to ``waste`` more, the like without the item's own, the like of sums of several; sizes left out.
+        k, left, chosen, one, above, several, others = stack.pop()
         if not left:
-            yield chosen
+            if k == len(sizes) or least > waste:  # what remains is smaller than all items chosen
+                yield chosen
             continue
         s = sizes[k]
         for n in range(0, min(count[s], left // s) + 1):  # the last pushed, with most of the largest, comes first
-            if (sums[k + 1] >> (left - n * s)) & 1:
-                stack.append((k + 1, left - n * s, chosen + (s,) * n))
-
-
-def _dominated(filling: tuple[int, ...], waste: int, others: int) -> bool:
-    """Whether an item left out (bits of ``others``) could replace a smaller item, or several items, of the filling and still fit.
-
-    The container so changed packs at least as much and leaves items over that are no harder to pack.
-    """
-    one = several = 0
-    for y in filling:
-        several |= (several << y) | (one << y)
-        one |= 1 << y
-    return any(((several << w) | ((one << w) if w else 0)) & others for w in range(waste + 1))
-
-
-def _fillings(count: dict[int, int], room: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, items) of the undominated fillings of ``room`` from the multiset ``count``, least waste first, lazily and without a limit."""
+            if n:
+                several |= (several << s) | (one << s)
+                one |= fits << s
+                above |= (fits ^ 1) << s
+            if not (sums[k + 1] >> (left - n * s)) & 1:
+                continue
+            out = others
+            if n < count[s]:
+                if s <= waste:
+                    continue
+                out |= 1 << s
+            if not (several | above) & out:
+                stack.append((k + 1, left - n * s, chosen + (s,) * n, one, above, several, out))
+
+
+def _fillings(count: dict[int, int], room: int, most: int | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, items) of the undominated fillings of ``room`` from the multiset ``count``, least waste first, lazily and without a limit but ``most``, the waste up to which they are wanted."""
     sizes = sorted((s for s, n in count.items() if n and s <= room), reverse=True)
     sums = _reachable(sizes, count, room)
-    for waste in range(room + 1):
-        if not (sums[0] >> (room - waste)) & 1:
-            continue
-        for filling in _exact(sizes, count, sums, room - waste):
-            others = 0
-            for s in sizes:
-                if count[s] > filling.count(s):
-                    others |= 1 << s
-            if not _dominated(filling, waste, others) and not (others & ((1 << (waste + 1)) - 1)):
+    for waste in range(room + 1 if most is None else min(room, most) + 1):
+        if (sums[0] >> (room - waste)) & 1:
+            for filling in _undominated(sizes, count, sums, room, waste):
                 yield waste, filling
 
 
@@ -181,7 +184,9 @@ def pack_items(items: list[int], capacity: int, nodes: int | None = 1_000) -> tu
         count[s] -= 1
         rest = {x: n for x, n in count.items() if n}
         count[s] += 1
-        return ((w, (s, *f)) for w, f in _fillings(rest, capacity - s))
+        over = sum(x * n for x, n in rest.items()) - (capacity - s)
+        # Only the container that takes all that is left may waste more than the rest of ``spare``.
+        return ((w, (s, *f)) for w, f in _fillings(rest, capacity - s, None if over <= 0 else spare - waste))
 
     stack = [options()]
     while stack and (nodes is None or used < nodes):

@@ -2,6 +2,7 @@
 
 import os
 import random
+import signal
 from collections import Counter
 from itertools import combinations
 
@@ -98,6 +99,24 @@ def test_search_decides_the_rows():
     assert any(less)
 
 
+def test_like_sizes_end_the_search():
+    """A mix of a late level, hundreds of items of nearly one size: its dominated fillings, far too many, aren't listed one by one."""
+    count = {33: 1, 43: 1, 50: 1, 79: 1, 91: 1, 96: 1, 98: 1, 100: 1, 102: 1, 103: 1, 104: 2, 105: 2, 106: 1, 107: 2, 108: 3, 109: 3, 110: 4, 111: 5, 112: 4, 113: 4, 114: 4, 115: 9, 116: 5, 117: 6, 118: 8, 119: 8, 120: 7, 121: 8, 122: 9, 123: 9, 124: 7, 125: 10, 126: 9, 127: 8, 128: 6, 129: 7, 130: 8, 131: 7, 132: 7, 133: 4, 134: 8, 135: 8, 136: 6, 137: 3, 138: 4, 139: 5, 140: 4, 141: 2, 142: 3, 143: 1, 144: 2, 146: 1, 148: 1, 1972: 1, 1994: 1, 2003: 1, 2029: 1, 2042: 1}
+    items = list(Counter(count).elements())
+
+    def late(*_):
+        raise TimeoutError("still searching after 30 s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(30)
+    try:
+        bins, searched = pack_items(items, 2048)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert searched and valid(bins, items, 2048) and len(bins) <= len(best_fit(items, 2048))
+
+
 def test_rests_of_shards_are_packed_together(spark):
     rng = random.Random(7)
     rows = [(i, 1, rng.randint(1, 900), 0) for i in range(3000)] + [(i, 1, 700, 0) for i in range(5000, 6500)]
