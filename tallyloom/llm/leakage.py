@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -45,6 +46,8 @@ _WORD = re.compile(r"\w+")
 _LINE_NUMBER = re.compile(r"(?m)^[ \t>#*+|/•·(\[{\"'-]*(\d+)(?=[ \t.):\]|}>-])")
 #: Postings per segment of the index, beyond the one document that fills it; rows of about 1 MB.
 SEGMENT = 200_000
+#: Bytes of a row group of the index (as written) and segments handed to Python at once: readers hold as much, however many segments a file has.
+ROW_GROUP, BATCH = 8 << 20, 4
 #: Hits that are held at once; a segment with more is taken in parts, by documents and then by items.
 HELD = 4_000_000
 #: Ids of documents up to this number are broadcast (8 bytes each); more are joined by shuffle.
@@ -256,10 +259,10 @@ def build_index(documents: DataFrame, path: str | None = None) -> str:
 
     Without ``path`` a new folder in the shared folder of the session is taken. One pass over the
     texts, no shuffle; null and empty texts have no postings. Row groups are small, as a row holds a
-    whole segment.
+    whole segment; their size is looked at after every row, not only after a hundred.
     """
     at = path or shared_folder(documents.sparkSession, "postings")
-    _texts(documents).mapInArrow(_segments, _INDEX).write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(at)
+    _texts(documents).mapInArrow(_segments, _INDEX).write.mode("overwrite").options(**{"parquet.block.size": str(ROW_GROUP), "parquet.page.size.row.check.min": "1"}).parquet(at)
     return at
 
 
@@ -436,12 +439,25 @@ def _aligned(min_words: int, edits_in: int):
     return kernel
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """``BATCH`` rows at once go to Python in what runs inside: a row of the index is a whole segment."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _hits(index: DataFrame, block: list[tuple[int, str]], min_words: int, edits_in: int) -> DataFrame:
     """Candidates (hit_id, full, item, lo, hi) of one block of items."""
     ids = [k for k, _ in block]
     words = [item_words(t) for _, t in block]
     counts = index.select("terms", "ends").mapInArrow(_frequencies(list({w for ws in words for w in ws})), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    n = {r.term: r.n for r in counts.collect()}  # one row per term of the block's items
+    with _small_batches(index.sparkSession):
+        n = {r.term: r.n for r in counts.collect()}  # one row per term of the block's items
     return index.mapInArrow(_intersected(ids, words, n, min_words, edits_in), "hit_id long, full boolean, item long, lo int, hi int")
 
 
@@ -463,7 +479,8 @@ def search(spark: SparkSession, index: str, documents: DataFrame, items: DataFra
         blocks.append(_hits(table, block, min_words, edits_in))
     if not blocks:
         return spark.createDataFrame([], _FOUND)
-    hits = cut(reduce(DataFrame.unionByName, blocks).groupBy("hit_id", "item").agg(F.collect_set(F.struct("full", "lo", "hi")).alias("hits")))  # the few hits of one pair
+    with _small_batches(spark):
+        hits = cut(reduce(DataFrame.unionByName, blocks).groupBy("hit_id", "item").agg(F.collect_set(F.struct("full", "lo", "hi")).alias("hits")))  # the few hits of one pair
     docs = _texts(documents)
     few = hits.select("hit_id").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(hits.select("hit_id").distinct()) if few else hits.select("hit_id").distinct(), F.col("doc_id") == F.col("hit_id"), "left_semi")

@@ -183,3 +183,42 @@ def test_hot_terms_are_taken_in_parts(spark, monkeypatch):
     monkeypatch.setattr(leakage, "HELD", 50)
     monkeypatch.setattr(leakage, "SEGMENT", 300)
     assert sorted(leaked(dd, ii).collect()) == want
+
+
+def test_readers_of_the_index_hold_few_segments(spark, monkeypatch, tmp_path):
+    """However many segments a file of the index has, a row group and a batch handed to Python hold few of them."""
+    from pyarrow.parquet import ParquetFile
+
+    monkeypatch.setattr(leakage, "SEGMENT", 300)
+    monkeypatch.setattr(leakage, "ROW_GROUP", 50_000, raising=False)
+    rng = random.Random(8)
+    docs = [(d, " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(320))) for d in range(60)]
+    dd = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    at = build_index(dd, str(tmp_path / "index"))
+    files = [ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(m.num_rows for m in files) == 60
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 30
+
+    def watched(make):
+        def made(*args):
+            kernel = make(*args)
+
+            def few(batches):
+                def each():
+                    for b in batches:
+                        if b.num_rows > 8:
+                            raise ValueError(f"{b.num_rows} segments at once")
+                        yield b
+
+                return kernel(each())
+
+            return few
+
+        return made
+
+    for name in ("_frequencies", "_intersected"):
+        monkeypatch.setattr(leakage, name, watched(getattr(leakage, name)))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    items = spark.createDataFrame([(k, " ".join(docs[k][1].split()[:40])) for k in range(5)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in search(spark, at, dd, items).collect()} >= {(k, k) for k in range(5)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == size
